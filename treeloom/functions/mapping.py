@@ -40,18 +40,18 @@ class Value:
 
     text: Column
     bare: Column | None = None
+    data_type: T.DataType | None = None
 
     def json(self) -> Column:
-        if self.bare is None:
-            return json_value(self.text)
-        return F.when(self.bare, self.text).otherwise(json_value(self.text))
+        quoted = json_value(self.text, self.data_type)
+        return quoted if self.bare is None else F.when(self.bare, self.text).otherwise(quoted)
 
 
 def field_value(column: Column, data_type: T.DataType, mapping: FieldMapping | None) -> Value:
     if mapping is not None and mapping.data_type == NATIVE:
         return _native(column, data_type)
     text = text_of(column, data_type)
-    return Value(text) if mapping is None else _coerce(mapped_text(text, mapping), mapping.data_type)
+    return Value(text, None, data_type) if mapping is None else _coerce(mapped_text(text, mapping), mapping.data_type)
 
 
 def mapped_text(text: Column, mapping: FieldMapping) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KEEP_NULLS = {"ignoreNullFields": "false"}
+# Types whose text holds nothing that JSON escapes.
+PLAIN_TYPES = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def text_of(column: Column, data_type: T.DataType) -> Column:
@@ -45,16 +46,15 @@ def export_text(column: Column, data_type: T.DataType) -> Column:
     return text_of(column, data_type)
 
 
-def json_value(column: Column) -> Column:
-    """One value as JSON text; NULL becomes ``null``."""
-    document = F.to_json(F.struct(column.alias("v")), KEEP_NULLS)
-    return F.substring(document, F.lit(6), F.length(document) - 6)
-
-
-def json_members(columns: list[Column]) -> Column:
-    """Several named values as ``"a":1,"b":null``, without the braces."""
-    document = F.to_json(F.struct(*columns), KEEP_NULLS)
-    return F.substring(document, F.lit(2), F.length(document) - 2)
+def json_value(text: Column, data_type: T.DataType | None = None) -> Column:
+    """Text as a JSON string; NULL becomes ``null``. Only text that needs escapes goes through the
+    JSON writer, and text of numbers, dates and booleans never does."""
+    quoted = F.concat(F.lit('"'), text, F.lit('"'))
+    if data_type is None or not isinstance(data_type, PLAIN_TYPES):
+        document = F.to_json(F.struct(text.alias("v")))
+        escaped = F.substring(document, F.lit(6), F.length(document) - 6)
+        quoted = F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(quoted)
+    return F.coalesce(quoted, F.lit("null"))
 
 
 def json_key(key: str) -> str:

@@ -48,7 +48,14 @@ def measure_heavy(rows: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> He
 
 
 def skew_join(
-    many: DataFrame, few: DataFrame, many_key: str, few_key: str, row_id: str, how: str, heavy: Heavy
+    many: DataFrame,
+    few: DataFrame,
+    many_key: str,
+    few_key: str,
+    row_id: str,
+    how: str,
+    heavy: Heavy,
+    strategy: str | None = None,
 ) -> DataFrame:
     """``many`` joined to ``few`` on one key. Rows of heavy keys in ``many`` are spread by ``row_id``
     and the matching rows of ``few`` repeated once per salt; all others join as usual.
@@ -56,6 +63,7 @@ def skew_join(
     ``row_id`` must be stable under task retries, which is why it is a column made at the scan.
     """
     if not heavy.values:
+        few = few.hint(strategy) if strategy else few
         return many.join(few, F.col(many_key) == F.col(few_key), how)
     salts = heavy.salts
     left = many.withColumn(
@@ -65,5 +73,6 @@ def skew_join(
     right = few.withColumn(
         "__copy", F.explode(F.when(heavy.holds(F.col(few_key)), every).otherwise(F.array(F.lit(0))))
     )
+    right = right.hint(strategy) if strategy else right
     on = (F.col(many_key) == F.col(few_key)) & (F.col("__salt") == F.col("__copy"))
     return left.join(right, on, how).drop("__salt", "__copy")

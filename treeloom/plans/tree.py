@@ -12,6 +12,7 @@ concatenate to exactly the record. Records within the budget are one row with ``
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 
 from treeloom.definition import DefinitionError, Node, assert_no_denied, check_depth, denied_names
 from treeloom.functions.mapping import field_value
-from treeloom.functions.text import export_text, json_key, json_members
+from treeloom.functions.text import PLAIN_TYPES, export_text, json_key
 from treeloom.operators.checkpoints import checkpointed
 from treeloom.operators.skew import (
     HEAVY_ROWS,
@@ -85,7 +86,7 @@ class TreeExport:
     """One export: ``json_lines()`` for nested records, ``flat_rows()`` for one column per leaf.
 
     ``keys`` are root columns to return beside each line, ``limit`` takes the first root rows by
-    the root's ``order_by``.
+    the root's ``order_by``. ``dates`` writes root dates as ``yyyy-MM-dd`` in flat rows.
     """
 
     def __init__(
@@ -100,20 +101,23 @@ class TreeExport:
         record_bytes: int = RECORD_BYTES,
         heavy_rows: int = HEAVY_ROWS,
         dates: bool = False,
+        named_by_leaf: bool = False,
     ):
         check_depth(node)
         denied = denied_names(denylist)
         assert_no_denied(node, denied)
-        self.resolve = resolve
+        self.resolve = functools.cache(resolve)
         self.keys = tuple(keys)
         self.limit = limit
         self.record_bytes = record_bytes
         self.heavy_rows = heavy_rows
         self.dates = dates
+        self.named_by_leaf = named_by_leaf
         self._heavy: dict[int, Heavy] = {}
         self._weights: dict[int, DataFrame] = {}
         self._row_ids = False
         self._counter = 0
+        self.split_records = 0
         self.root = self._plan(_pruned(node, denied), root_table, None)
         self._limited = self._take_roots() if limit is not None else None
 
@@ -121,24 +125,41 @@ class TreeExport:
 
     def json_lines(self) -> DataFrame:
         """``keys…, part, json``: one nested record per row, or its pieces in ``part`` order."""
+        whole, pieces = self.json_parts()
+        return whole if pieces is None else whole.unionByName(pieces.select(*[_quoted(name) for name in whole.columns]))
+
+    def json_parts(self) -> tuple[DataFrame, DataFrame | None]:
+        """Whole records, and the pieces of the oversize ones, with their ``__record``, if there are any."""
         if not self.root.node.active:
-            return self._nothing("json string")
+            return self._nothing("part", "json"), None
         roots, oversize = self._split()
         rows, items = self._assemble(self.root, roots, inline=True)
-        lines = rows.select(*self._key_columns(), F.lit(0).cast("long").alias("part"), _joined(items).alias("json"))
-        return lines if oversize is None else lines.unionByName(self._json_pieces(oversize))
+        whole = rows.select(*self._key_columns(), F.lit(0).cast("long").alias("part"), F.concat(*items).alias("json"))
+        return whole, None if oversize is None else self._json_pieces(oversize)
 
     def flat_rows(self) -> DataFrame:
-        """One text column per leaf, named by its path, plus ``part``. In the rows of a split record
-        plain cells repeat and joined cells concatenate in ``part`` order."""
-        names = [".".join(path) for path in self.paths()]
+        """``keys…, part`` and one text column per leaf, named by its path. In the rows of a split
+        record plain cells repeat and joined cells concatenate in ``part`` order."""
+        whole, pieces = self.flat_parts()
+        return whole if pieces is None else whole.unionByName(pieces.select(*[_quoted(name) for name in whole.columns]))
+
+    def flat_parts(self) -> tuple[DataFrame, DataFrame | None]:
+        """Whole flat rows, and the fragments of the oversize ones with their ``__record``."""
+        names = self.column_names()
         if not names:
-            return self._nothing()
+            return self._nothing("part"), None
         roots, oversize = self._split()
         rows, outputs = self._assemble_flat(self.root, roots, inline=True)
         cells = [F.coalesce(column, F.lit("")).alias(name) for name, (_, column) in zip(names, outputs)]
-        flat = rows.select(*self._key_columns(), *cells, F.lit(0).cast("long").alias("part"))
-        return flat if oversize is None else flat.union(self._flat_pieces(oversize, names))
+        whole = rows.select(*self._key_columns(), F.lit(0).cast("long").alias("part"), *cells)
+        return whole, None if oversize is None else self._flat_pieces(oversize, names)
+
+    def root_keys(self) -> DataFrame:
+        return self._read(self.root).select(*self._key_columns())
+
+    def column_names(self) -> list[str]:
+        """Names of the flat columns: whole paths, or their last parts for flat mappings."""
+        return [path[-1] if self.named_by_leaf else ".".join(path) for path in self.paths()]
 
     def paths(self) -> list[tuple[str, ...]]:
         return leaf_paths(self.root.node)
@@ -216,53 +237,50 @@ class TreeExport:
             return self._read(self.root), None
         self._row_ids = True
         oversize = checkpointed(self._weighed(self.root).where(F.col("__bytes") > self.record_bytes).drop("__bytes"))
-        if oversize.isEmpty():
+        self.split_records = oversize.count()
+        if self.split_records == 0:
             return self._read(self.root), None
         within = self._weighed(self.root).where(F.col("__bytes") <= self.record_bytes).drop("__bytes")
         return within, oversize
 
     def _measure(self) -> None:
-        """One small job: largest row and group of each node, frequent join keys of each parent.
-
-        The per-key sums combine map-side and read only keys and text columns."""
-        checks = []
-        for planned in self.root.below():
-            rows = self._read(planned)
-            size = _row_bytes(planned)
-            if planned.node.kind == "array":
-                groups = rows.groupBy(planned.key).agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n"))
-                checks.append(groups.agg(
-                    F.lit(planned.number).alias("node"), F.max("s").alias("bytes"), F.max("n").alias("rows"),
-                    F.lit(None).cast("array<array<struct<item:string,count:bigint>>>").alias("sketches"),
-                ))
-            if planned.node.kind != "array" or planned.groups:
-                sketches = F.array(*[heavy_sketch(F.col(g.parent_key)) for g in planned.groups])
-                checks.append(rows.agg(
-                    F.lit(-planned.number - 1).alias("node"), F.max(size).alias("bytes"),
-                    F.count(F.lit(1)).alias("rows"),
-                    sketches.cast("array<array<struct<item:string,count:bigint>>>").alias("sketches"),
-                ))
-        union = checks[0]
-        for check in checks[1:]:
-            union = union.union(check)
-        found = {row["node"]: row for row in union.collect()}  # two rows per node at most
-        self._found = found
-        for planned in self.root.below():
-            row = found.get(-planned.number - 1)
-            for group, sketch in zip(planned.groups, (row["sketches"] if row else None) or ()):
-                self._heavy[group.number] = heavy_from_sketch(sketch, row["rows"], self.heavy_rows)
+        """How large a record can get, and which join keys are frequent enough to salt.
+
+        First whole tables (no shuffle, reads text columns only). If those totals leave room for an
+        oversize record, the largest group of each array; its sums combine map-side. Frequent keys
+        are sketched only for parents with enough rows to have any. All results are single rows.
+        """
+        nodes = self.root.below()
+        totals = [self._read(p).agg(*_facts(p.number, F.max(_row_bytes(p)), _row_bytes(p))) for p in nodes]
+        self._tables = {row["node"]: row for row in _together(totals)}
+        self._groups = {p.number: self._tables[p.number] for p in nodes}
+        if self._row_bound(self.root) > self.record_bytes:
+            groups = [
+                self._read(p).groupBy(p.key).agg(F.sum(_row_bytes(p)).alias("s"), F.count(F.lit(1)).alias("n"))
+                .agg(F.lit(p.number).alias("node"), F.max("s").alias("bytes"), F.max("n").alias("rows"))
+                for p in nodes if p.node.kind == "array"
+            ]
+            self._groups |= {row["node"]: row for row in _together(groups)}
+        sketches = [
+            self._read(g.parent).agg(F.lit(g.number).alias("node"), heavy_sketch(F.col(g.parent_key)).alias("items"))
+            for g in nodes if g.parent is not None and self._tables[g.parent.number]["rows"] > self.heavy_rows
+        ]
+        for row in _together(sketches):
+            parent = next(g for g in nodes if g.number == row["node"]).parent
+            rows = self._tables[parent.number]["rows"]
+            self._heavy[row["node"]] = heavy_from_sketch(row["items"], rows, self.heavy_rows)
         self._row_ids = self._row_ids or any(heavy.values for heavy in self._heavy.values())
 
     def _row_bound(self, planned: _Planned) -> int:
-        own = self._found[-planned.number - 1]["bytes"] or 0
+        own = self._tables[planned.number]["most"] or 0
         return own + sum(self._group_bound(group) for group in planned.groups)
 
     def _group_bound(self, planned: _Planned) -> int:
         if planned.node.kind != "array":
             return self._row_bound(planned)
-        row = self._found[planned.number]
-        below = sum(self._group_bound(group) for group in planned.groups)
-        return (row["bytes"] or 0) + (row["rows"] or 0) * below
+        group = self._groups[planned.number]
+        below = sum(self._group_bound(child) for child in planned.groups)
+        return (group["bytes"] or 0) + (group["rows"] or 0) * below
 
     def _weighed(self, planned: _Planned) -> DataFrame:
         """Rows with the exact size of everything they embed."""
@@ -311,34 +329,15 @@ class TreeExport:
 
     def _assemble(self, planned: _Planned, rows: DataFrame, inline: bool) -> tuple[DataFrame, list]:
         """``rows`` with all lookups attached, and the record as a list of text columns and slots."""
-        items: list = [F.lit("{")]
-        pending: list[Column] = []
-        separator = ""
-
-        def flush():
-            nonlocal separator
-            if pending:
-                items.extend([F.lit(separator), json_members(pending)])
-                pending.clear()
-                separator = ","
-
+        items: list = []
         groups = iter(planned.groups)
         attached: dict[int, Column] = {}
         for child in planned.node.active:
+            items.append(F.lit(("," if items else "{") + json_key(child.target_key)))
             if child.kind == "scalar-field":
-                value = field_value(
-                    F.col(planned.columns[child.source_field]), planned.types[child.source_field], child.mapping
-                )
-                if value.bare is None:
-                    pending.append(value.text.alias(child.target_key))
-                    continue
-                flush()
-                items.extend([F.lit(separator + json_key(child.target_key)), value.json()])
-                separator = ","
+                column, kind = F.col(planned.columns[child.source_field]), planned.types[child.source_field]
+                items.append(field_value(column, kind, child.mapping).json())
                 continue
-            flush()
-            items.append(F.lit(separator + json_key(child.target_key)))
-            separator = ","
             group = next(groups)
             if child.kind == "object":
                 rows, inner = self._attach_object(group, rows, inline)
@@ -350,8 +349,7 @@ class TreeExport:
                 items.extend([F.lit("["), attached[group.number], F.lit("]")])
             else:
                 items.extend([F.lit("["), _Slot(group), F.lit("]")])
-        flush()
-        items.append(F.lit("}"))
+        items.append(F.lit("}" if items else "{}"))
         return rows, items
 
     def _sharing(self, planned: _Planned) -> list[_Planned]:
@@ -364,13 +362,13 @@ class TreeExport:
         lead = group[0]
         if len(group) == 1:
             children, items = self._assemble(lead, self._children(lead), inline=True)
-            lists = [self._list(lead, [_joined(items)], None)]
+            lists = [self._list(lead, [F.concat(*items)], None)]
         else:
             children = self._read_shared(group)
             lists = []
             for member in group:
                 _, items = self._assemble(member, children, inline=True)
-                lists.append(self._list(member, [_joined(items)], F.col(f"in{member.number}")))
+                lists.append(self._list(member, [F.concat(*items)], F.col(f"in{member.number}")))
         key = f"k{lead.number}"
         names = [f"t{member.number}" for member in group]
         grouped = children.groupBy(F.col(lead.key).alias(key)).agg(*[l.alias(n) for l, n in zip(lists, names)])
@@ -404,7 +402,7 @@ class TreeExport:
         found, items = self._assemble(planned, self._children(planned), inline)
         key, value, count = f"k{planned.number}", f"t{planned.number}", f"c{planned.number}"
         whole = not any(isinstance(item, _Slot) for item in items)
-        content = _joined(items) if whole else F.struct(*[c for c in found.columns])
+        content = F.concat(*items) if whole else F.struct(*[c for c in found.columns])
         unique = found.groupBy(F.col(planned.key).alias(key)).agg(
             F.first(content).alias(value), F.count(F.lit(1)).alias(count)
         )
@@ -424,8 +422,10 @@ class TreeExport:
         return rows, out
 
     def _attach(self, rows: DataFrame, right: DataFrame, planned: _Planned, key: str) -> DataFrame:
+        # Joined lists may be far larger than the files they come from: never broadcast them.
+        strategy = "merge" if planned.node.kind == "array" else None
         joined = skew_join(
-            rows, right, planned.parent_key, key, planned.parent.row_id, "left", self._heavy_for(planned)
+            rows, right, planned.parent_key, key, planned.parent.row_id, "left", self._heavy_for(planned), strategy
         )
         return joined.drop(key)
 
@@ -506,7 +506,8 @@ class TreeExport:
         for more in pieces[1:]:
             union = union.unionByName(more)
         ordered = _numbered(union)
-        return ordered.select(*self._key_columns(), "part", F.col("__text").alias("json"))
+        record = F.col("__pos")[0].alias("__record")
+        return ordered.select(*self._key_columns(), "part", F.col("__text").alias("json"), record)
 
     def _emit_json(self, planned: _Planned, rows: DataFrame, carried: list[str]) -> list[DataFrame]:
         rows, items = self._assemble(planned, rows, inline=False)
@@ -564,8 +565,8 @@ class TreeExport:
         union = pieces[0]
         for more in pieces[1:]:
             union = union.unionByName(more)
-        union = checkpointed(union.withColumn("__root", F.col("__pos")[0]))
-        firsts = union.groupBy("__root").agg(
+        union = checkpointed(union.withColumn("__record", F.col("__pos")[0]))
+        firsts = union.groupBy("__record").agg(
             *[F.min(F.when(F.col(cells[p]).isNotNull(), F.col("__pos"))).alias(cells[p]) for p in leaves]
         )
         marks = F.array(*[F.struct(F.col(cells[p]).alias("pos"), F.lit(cells[p]).alias("cell")) for p in leaves])
@@ -582,7 +583,7 @@ class TreeExport:
                 cell = F.when(leads, cell).otherwise(F.concat(F.lit(delimiters[path]), cell))
                 cell = F.coalesce(cell, F.lit(""))
             shown.append(cell.alias(name))
-        return ordered.select(*self._key_columns(), *shown, "part")
+        return ordered.select(*self._key_columns(), "part", *shown, "__record", (F.size("__pos") == 1).alias("__starts"))
 
     def _emit_flat(self, rows, outputs, carried, cells, blank, prefix) -> list[DataFrame]:
         out = []
@@ -609,10 +610,9 @@ class TreeExport:
 
     def _nothing(self, *columns: str) -> DataFrame:
         spark = self.resolve(self.root.table).sparkSession
-        keys = [T.StructField(name, self.root.types[name]) for name in self.keys]
-        schema = T.StructType(keys)
-        if columns:
-            schema = schema.add("part", T.LongType()).add("json", T.StringType())
+        schema = T.StructType([T.StructField(name, self.root.types[name]) for name in self.keys])
+        for name in columns:
+            schema = schema.add(name, T.LongType() if name == "part" else T.StringType())
         return spark.createDataFrame([], schema)
 
 
@@ -689,21 +689,38 @@ def _check_comparable(planned: _Planned) -> None:
 
 def _row_bytes(planned: _Planned) -> Column:
     """About the bytes a row adds to its record; reads text columns only."""
-    fixed, total = 2, None
+    fixed, total = 2 + sum(len(group.target_key) + 6 for group in planned.node.groups), F.lit(0)
     for child in planned.node.scalars:
         fixed += len(child.target_key) + 6
         if child.mapping is not None:
             fixed += len(child.mapping.default_value or "") + len(child.mapping.transform_arg or "")
         kind = planned.types[child.source_field]
-        column = F.col(planned.columns[child.source_field])
-        if isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            fixed += 40
-            continue
-        size = F.coalesce(F.octet_length(column.cast("string")), F.lit(4))
-        total = size if total is None else total + size
-    fixed += sum(len(group.target_key) + 6 for group in planned.node.groups)
-    base = F.lit(fixed).cast("long")
-    return base if total is None else total.cast("long") + base
+        if isinstance(kind, PLAIN_TYPES):
+            fixed += _widest(kind)
+        else:
+            text = F.col(planned.columns[child.source_field]).cast("string")
+            total = total + F.coalesce(F.octet_length(text), F.lit(4))
+    return total + F.lit(fixed).cast("long")
+
+
+def _widest(kind: T.DataType) -> int:
+    """Longest text of a value, with its quotes."""
+    narrow = {T.BooleanType: 7, T.ByteType: 7, T.ShortType: 8, T.IntegerType: 13, T.DateType: 12, T.LongType: 22}
+    return narrow.get(type(kind), 42)
+
+
+def _facts(number: int, most: Column, size: Column) -> list[Column]:
+    return [
+        F.lit(number).alias("node"), most.alias("most"), F.sum(size).alias("bytes"),
+        F.count(F.lit(1)).alias("rows"),
+    ]
+
+
+def _together(checks: list[DataFrame]) -> list:
+    """One job for single-row results."""
+    if not checks:
+        return []
+    return functools.reduce(DataFrame.union, checks).collect()
 
 
 def _runs(items: list) -> list:
@@ -719,10 +736,6 @@ def _runs(items: list) -> list:
     return runs + [F.concat(*texts)] if texts else runs
 
 
-def _joined(items: list) -> Column:
-    return F.concat(*items)
-
-
 def _pick(name: str, planned: _Planned, output: int, outputs: int) -> Column:
     """One output of all elements of a list made by ``_list``, in order."""
     listed = F.sort_array(F.col(name)) if planned.order else F.col(name)
@@ -747,6 +760,7 @@ def _position(above: Column, slot: int, identifier: Column) -> Column:
 
 
 def _numbered(pieces: DataFrame) -> DataFrame:
-    """``part`` rises in document order over all partitions: the rows are range-partitioned and sorted."""
+    """``part``, from 1, rises in document order over all partitions: the rows are range-partitioned
+    and sorted."""
     ordered = pieces.repartitionByRange("__pos").sortWithinPartitions("__pos")
-    return ordered.withColumn("part", F.monotonically_increasing_id())
+    return ordered.withColumn("part", F.monotonically_increasing_id() + 1)
