@@ -34,8 +34,8 @@ def heavy_sketch(key: Column) -> Column:
 
 
 def heavy_from_sketch(items, rows: int, heavy_rows: int = HEAVY_ROWS) -> Heavy:
-    share = max(heavy_rows, rows // FAIR_TASKS)
-    found = [item for item in items or () if item["count"] > share]
+    share = max(heavy_rows, rows // FAIR_TASKS, 1)
+    found = [item for item in items or () if item["count"] >= share]
     if not found:
         return Heavy()
     most = max(item["count"] for item in found)

@@ -23,7 +23,7 @@ checked AS (
   SELECT q.*, r.status AS run_status, CASE
     WHEN action = 'release' AND trim(approver) = '' THEN 'Approver is required.'
     WHEN action = 'release' AND lower(actor) = lower(approver) THEN 'Operator and approver must be different users.'
-    WHEN action = 'release' AND lower(approver) NOT IN (SELECT 'u' || user_id FROM events WHERE value > 60)
+    WHEN action = 'release' AND lower(approver) NOT IN (SELECT 'u' || user_id FROM events WHERE value > 200)
       THEN 'Unknown approver: ' || approver
     WHEN r.status IS NULL THEN 'No run #' || q.sequence_no
     WHEN action = 'release' AND r.status <> 'Pending' THEN 'Run #' || q.sequence_no || ' is already ' || r.status

@@ -16,7 +16,7 @@ import functools
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +148,9 @@ class TreeExport:
         names = self.column_names()
         if not names:
             return self._nothing("part"), None
+        taken = {"part", *self.keys} & set(names)
+        if taken:
+            raise DefinitionError(f"flat columns and key columns share names: {sorted(taken)}")
         roots, oversize = self._split()
         rows, outputs = self._assemble_flat(self.root, roots, inline=True)
         cells = [F.coalesce(column, F.lit("")).alias(name) for name, (_, column) in zip(names, outputs)]
@@ -246,39 +249,47 @@ class TreeExport:
     def _measure(self) -> None:
         """How large a record can get, and which join keys are frequent enough to salt.
 
-        First whole tables (no shuffle, reads text columns only). If those totals leave room for an
-        oversize record, the largest group of each array; its sums combine map-side. Frequent keys
-        are sketched only for parents with enough rows to have any. All results are single rows.
+        One job over all nodes: per-key sums that combine map-side and read keys and text columns
+        only. Frequent keys are sketched only for parents with enough rows to have any. All results
+        are single rows.
         """
         nodes = self.root.below()
-        totals = [self._read(p).agg(*_facts(p.number, F.max(_row_bytes(p)), _row_bytes(p))) for p in nodes]
-        self._tables = {row["node"]: row for row in _together(totals)}
-        self._groups = {p.number: self._tables[p.number] for p in nodes}
-        if self._row_bound(self.root) > self.record_bytes:
-            groups = [
-                self._read(p).groupBy(p.key).agg(F.sum(_row_bytes(p)).alias("s"), F.count(F.lit(1)).alias("n"))
-                .agg(F.lit(p.number).alias("node"), F.max("s").alias("bytes"), F.max("n").alias("rows"))
-                for p in nodes if p.node.kind == "array"
-            ]
-            self._groups |= {row["node"]: row for row in _together(groups)}
+        checks = [
+            rows.groupBy(members[0].key).agg(_facts(members)).agg(_largest(members))
+            if members[0].node.kind == "array" else rows.agg(_facts(members))
+            for members, rows in self._sets()
+        ]
+        found = functools.reduce(DataFrame.union, checks).collect()
+        self._sizes = {fact["node"]: fact for row in found for fact in row["facts"]}
         sketches = [
             self._read(g.parent).agg(F.lit(g.number).alias("node"), heavy_sketch(F.col(g.parent_key)).alias("items"))
-            for g in nodes if g.parent is not None and self._tables[g.parent.number]["rows"] > self.heavy_rows
+            for g in nodes if g.parent is not None and self._sizes[g.parent.number]["all"] > self.heavy_rows
         ]
-        for row in _together(sketches):
+        for row in functools.reduce(DataFrame.union, sketches).collect() if sketches else ():
             parent = next(g for g in nodes if g.number == row["node"]).parent
-            rows = self._tables[parent.number]["rows"]
+            rows = self._sizes[parent.number]["all"]
             self._heavy[row["node"]] = heavy_from_sketch(row["items"], rows, self.heavy_rows)
         self._row_ids = self._row_ids or any(heavy.values for heavy in self._heavy.values())
 
+    def _sets(self) -> list[tuple[list[_Planned], DataFrame]]:
+        """Nodes that are read together, with their rows before any reduction."""
+        found, seen = [], set()
+        for planned in self.root.below():
+            if planned.number in seen:
+                continue
+            members = [planned] if planned is self.root else self._sharing(planned)
+            seen |= {member.number for member in members}
+            found.append((members, self._read(planned) if len(members) == 1 else self._read_together(members)))
+        return found
+
     def _row_bound(self, planned: _Planned) -> int:
-        own = self._tables[planned.number]["most"] or 0
+        own = self._sizes[planned.number]["most"] or 0
         return own + sum(self._group_bound(group) for group in planned.groups)
 
     def _group_bound(self, planned: _Planned) -> int:
         if planned.node.kind != "array":
             return self._row_bound(planned)
-        group = self._groups[planned.number]
+        group = self._sizes[planned.number]
         below = sum(self._group_bound(child) for child in planned.groups)
         return (group["bytes"] or 0) + (group["rows"] or 0) * below
 
@@ -371,7 +382,7 @@ class TreeExport:
                 lists.append(self._list(member, [F.concat(*items)], F.col(f"in{member.number}")))
         key = f"k{lead.number}"
         names = [f"t{member.number}" for member in group]
-        grouped = children.groupBy(F.col(lead.key).alias(key)).agg(*[l.alias(n) for l, n in zip(lists, names)])
+        grouped = _by_key(children, lead.key, key).agg(*[l.alias(n) for l, n in zip(lists, names)])
         texts = grouped.select(
             key, *[F.array_join(_pick(n, m, 0, 1), ",").alias(n) for n, m in zip(names, group)]
         )
@@ -379,16 +390,21 @@ class TreeExport:
         return joined, {m.number: F.coalesce(F.col(n), F.lit("")) for m, n in zip(group, names)}
 
     def _read_shared(self, group: list[_Planned]) -> DataFrame:
-        df = self.resolve(group[0].table).where(_quoted(group[0].node.join_key).isNotNull())
-        tests = [F.expr(m.node.filter) if m.node.filter else F.lit(True) for m in group]
-        anywhere = tests[0]
-        for test in tests[1:]:
-            anywhere = anywhere | test
-        columns = [c for m in group[1:] for c in (_quoted(n).alias(a) for n, a in m.columns.items())]
-        flags = [test.alias(f"in{m.number}") for m, test in zip(group, tests)]
-        rows = self._renamed(df.where(anywhere), group[0], *columns, *flags)
+        rows = self._read_together(group)
         return self._reduced(group[0], rows) if _narrowed(group[0]) else rows
 
+    def _read_together(self, group: list[_Planned]) -> DataFrame:
+        """Rows that any of the siblings wants, flagged per sibling, each source column once."""
+        lead = group[0]
+        for member in group[1:]:
+            for name in member.columns:
+                member.columns[name] = lead.columns.setdefault(name, member.columns[name])
+        df = self.resolve(lead.table).where(_quoted(lead.node.join_key).isNotNull())
+        tests = [F.expr(m.node.filter) if (m.node.filter or "").strip() else F.lit(True) for m in group]
+        wanted = functools.reduce(lambda left, right: left | right, tests)
+        flags = [F.coalesce(test, F.lit(False)).alias(f"in{m.number}") for m, test in zip(group, tests)]
+        return self._renamed(df.where(wanted), lead, *flags)
+
     def _list(self, planned: _Planned, outputs: list[Column], only: Column | None) -> Column:
         """The group's elements in order. With one output and no order the elements are plain."""
         if len(outputs) == 1 and not planned.order:
@@ -472,7 +488,7 @@ class TreeExport:
             for n, (path, _) in enumerate(outputs):
                 texts = _pick(name, member, n, len(outputs))
                 picks.append(_join_present(texts, delimiters[path]).alias(f"{name}_{n}"))
-        grouped = children.groupBy(F.col(lead.key).alias(key)).agg(*lists).select(key, *picks)
+        grouped = _by_key(children, lead.key, key).agg(*lists).select(key, *picks)
         columns = {m.number: [F.col(f"t{m.number}_{n}") for n in range(len(outs))] for m, outs, _ in members}
         return self._attach(rows, grouped, lead, key), columns
 
@@ -709,18 +725,35 @@ def _widest(kind: T.DataType) -> int:
     return narrow.get(type(kind), 42)
 
 
-def _facts(number: int, most: Column, size: Column) -> list[Column]:
-    return [
-        F.lit(number).alias("node"), most.alias("most"), F.sum(size).alias("bytes"),
-        F.count(F.lit(1)).alias("rows"),
-    ]
-
-
-def _together(checks: list[DataFrame]) -> list:
-    """One job for single-row results."""
-    if not checks:
-        return []
-    return functools.reduce(DataFrame.union, checks).collect()
+def _facts(members: list[_Planned]) -> Column:
+    """Per node the largest row, the bytes of all rows and their number, in one pass."""
+    facts = []
+    for member in members:
+        mine = F.col(f"in{member.number}") if len(members) > 1 else F.lit(True)
+        size = F.when(mine, _row_bytes(member))
+        facts.append(F.struct(
+            F.lit(member.number).alias("node"), F.max(size).alias("most"), F.sum(size).alias("bytes"),
+            F.count(size).alias("rows"), F.count(size).alias("all"),
+        ))
+    return F.array(*facts).alias("facts")
+
+
+def _largest(members: list[_Planned]) -> Column:
+    """The same over groups: the largest row, the largest group and the number of all rows."""
+    facts = []
+    for n, member in enumerate(members):
+        fact = F.col("facts")[n]
+        facts.append(F.struct(
+            F.lit(member.number).alias("node"), F.max(fact["most"]).alias("most"), F.max(fact["bytes"]).alias("bytes"),
+            F.max(fact["rows"]).alias("rows"), F.coalesce(F.sum(fact["rows"]), F.lit(0)).alias("all"),
+        ))
+    return F.array(*facts).alias("facts")
+
+
+def _by_key(rows: DataFrame, column: str, key: str) -> GroupedData:
+    """Rows grouped where they are shuffled to: collecting lists before the shuffle would not make
+    them smaller."""
+    return rows.repartition(column).groupBy(F.col(column).alias(key))
 
 
 def _runs(items: list) -> list:

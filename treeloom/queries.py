@@ -461,7 +461,7 @@ def _requests(t: Resolve) -> DataFrame:
 
 
 def _users(t: Resolve) -> DataFrame:
-    return t("events").where("value > 60").select(F.expr("concat('u', user_id)").alias("username")).distinct()
+    return t("events").where("value > 200").select(F.expr("concat('u', user_id)").alias("username")).distinct()
 
 
 def ledger_release_check(t: Resolve) -> DataFrame:

@@ -29,6 +29,7 @@ from treeloom.plans.tree import TreeExport
 # Part names fall into this many groups, so that no checksum is taken over an unbounded list.
 CHECKSUM_BUCKETS = 4096
 RECORDS_PER_FILE = 100_000
+PART_BYTES = 1 << 30
 
 
 class EmptyExportError(RuntimeError):
@@ -91,16 +92,11 @@ def write_package(
             raise PackageError(f"{taken} exists already")
     counted = Observation("records")
     try:
-        observed = whole.observe(counted, F.count(F.lit(1)).alias("n"))
-        if writer.extension == "cells":
-            names = export.column_names()
-            cells = typed_cells(
-                observed.withColumn("__row", F.monotonically_increasing_id()), ["__row", *export.keys], names
-            )
-            cells.write.parquet(f"{staging}/rows")
-        else:
-            lines = observed.select(F.col("line").alias("value"))
-            lines.write.option("maxRecordsPerFile", records_per_file).text(f"{staging}/rows")
+        _write_rows(export, whole.observe(counted, F.count(F.lit(1)).alias("n")), f"{staging}/rows", records_per_file)
+        while (largest := _largest_file(spark, f"{staging}/rows")) > PART_BYTES and records_per_file > 1:
+            # A part is hashed in one read: write smaller parts rather than fail on a large one.
+            records_per_file = max(1, records_per_file * PART_BYTES // (2 * largest))
+            _write_rows(export, whole, f"{staging}/rows", records_per_file)
         if pieces is not None:
             pieces.write.parquet(f"{staging}/split")
         records = counted.get["n"] + export.split_records
@@ -109,7 +105,7 @@ def write_package(
         head = writer.head(export, version, extracted_at)
         if head is not None:
             _write_text(spark, f"{staging}/head.{writer.extension}", head)
-        part_checksums(spark, staging).coalesce(1).write.parquet(parts_table)
+        part_checksums(spark, staging).write.parquet(parts_table)
         digest = package_checksum(spark.read.parquet(parts_table))
         _rename(spark, staging, final)
         manifest = {
@@ -126,9 +122,23 @@ def write_package(
     return manifest
 
 
-def write_document(
-    lines: DataFrame, keys: list[str], target: str
-) -> None:
+def _write_rows(export: TreeExport, whole: DataFrame, target: str, records_per_file: int) -> None:
+    if "line" in whole.columns:
+        whole.select(F.col("line").alias("value")).write.mode("overwrite").option(
+            "maxRecordsPerFile", records_per_file
+        ).text(target)
+        return
+    rows = whole.withColumn("__row", F.monotonically_increasing_id())
+    cells = typed_cells(rows, ["__row", *export.keys], export.column_names())
+    cells.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(target)
+
+
+def _largest_file(spark: SparkSession, folder: str) -> int:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.agg(F.max("length")).first()[0] or 0
+
+
+def write_document(lines: DataFrame, keys: list[str], target: str) -> None:
     """One JSON document over ordered text files: reading them in name order gives the document."""
     order = ["section", *keys, "part"]
     ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
