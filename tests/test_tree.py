@@ -21,6 +21,11 @@ TREES = {
     "nested arrays": root(scalar("id"), ADDRESSES, scalar("mail")),
     "object with array": root(scalar("id"), CITY, scalar("name")),
     "two arrays": root(array("first", "address", "maker_id", "id", scalar("city"), scalar("zip"), order_by=("no",)), ADDRESSES, CITY),
+    "siblings": root(
+        scalar("id"),
+        array("low", "address", "maker_id", "id", scalar("city"), order_by=("no",)),
+        array("same", "address", "maker_id", "id", scalar("zip"), scalar("town", "city"), order_by=("no",)),
+    ),
     "object under array": root(
         scalar("id"),
         array("addresses", "address", "maker_id", "id", scalar("city"),

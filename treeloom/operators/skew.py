@@ -42,9 +42,11 @@ def heavy_from_sketch(items, rows: int, heavy_rows: int = HEAVY_ROWS) -> Heavy:
     return Heavy(tuple(item["item"] for item in found), min(MAX_SALTS, max(2, -(-most // share))))
 
 
-def measure_heavy(rows: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> Heavy:
-    found = rows.agg(heavy_sketch(F.col(key)).alias("items"), F.count(F.lit(1)).alias("n")).first()
-    return heavy_from_sketch(found["items"], found["n"], heavy_rows)
+def measure_heavy(rows: DataFrame, *keys: str, heavy_rows: int = HEAVY_ROWS) -> list[Heavy]:
+    """The heavy values of each key column, in one pass."""
+    sketches = [heavy_sketch(F.col(key)).alias(f"k{n}") for n, key in enumerate(keys)]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), *sketches).first()
+    return [heavy_from_sketch(found[f"k{n}"], found["n"], heavy_rows) for n in range(len(keys))]
 
 
 def skew_join(

@@ -154,12 +154,9 @@ def check_requests(
         F.col("delivered_at").alias("__delivered"),
     )
     known = users.select(F.lower("username").alias("__user")).where("__user is not null").distinct()
-    asked = skew_join(
-        requests, found, "sequence_no", "__seq", "request_no", "left", measure_heavy(requests, "sequence_no", heavy_rows)
-    )
-    asked = skew_join(
-        asked, known, "__who", "__user", "request_no", "left", measure_heavy(requests, "__who", heavy_rows)
-    )
+    runs_heavy, users_heavy = measure_heavy(requests, "sequence_no", "__who", heavy_rows=heavy_rows)
+    asked = skew_join(requests, found, "sequence_no", "__seq", "request_no", "left", runs_heavy)
+    asked = skew_join(asked, known, "__who", "__user", "request_no", "left", users_heavy)
     asked = asked.withColumn("reason", _refusal())
     winners = asked.where("reason is null").groupBy("sequence_no").agg(F.min("request_no").alias("__first"))
     judged = asked.join(winners.select("__first"), F.col("request_no") == F.col("__first"), "left")

@@ -235,6 +235,8 @@ class TreeExport:
 
     def _split(self) -> tuple[DataFrame, DataFrame | None]:
         """Root rows within the record budget, and those over it if there are any."""
+        if not self.root.groups:
+            return self._read(self.root), None
         self._measure()
         if self._row_bound(self.root) <= self.record_bytes:
             return self._read(self.root), None
@@ -326,7 +328,7 @@ class TreeExport:
             return rows
         if len(listed) <= LISTED_KEYS:
             return rows.where(~F.col(planned.key).isin(listed))
-        heavy = measure_heavy(rows, planned.key, self.heavy_rows)
+        [heavy] = measure_heavy(rows, planned.key, heavy_rows=self.heavy_rows)
         return skew_join(rows, over, planned.key, over.columns[0], planned.row_id, "left_anti", heavy)
 
     # --- records within the budget --------------------------------------------------------------
@@ -553,7 +555,7 @@ class TreeExport:
             *carried, F.col("__pos").alias("__above"), F.col(planned.parent_key).alias("__wanted")
         ).where(F.col("__wanted").isNotNull())
         rows = self._read(planned)
-        heavy = measure_heavy(rows, planned.key, self.heavy_rows)
+        [heavy] = measure_heavy(rows, planned.key, heavy_rows=self.heavy_rows)
         rows = skew_join(rows, above, planned.key, "__wanted", planned.row_id, "inner", heavy).drop("__wanted")
         if planned.order:
             order = [F.col(name) for name in (*planned.order, planned.row_id)]
