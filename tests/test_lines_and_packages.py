@@ -20,7 +20,7 @@ MAPPING = FlatMapping(
      Relation("address", "maker_id", "id", (Field("no", "numbers"),), flatten_strategy="array_join", delimiter="|", order_by=("no",))),
 )
 WANT = {
-    1: ["m1", '"Nord", 'Dallas; "Austin; "Austin', '10; "; "10', "1,2,3,4"],
+    1: ["m1", "Nord", 'Dallas; "Austin; "Austin', '10; "; "10', "1,2,3,4"],
     None: ["m2", 'Sü"d\\', "", "", ""],
     9: ["m3", "", "Rome\nSouth", "7.50", "1"],
     2: ["", "keyless", "", "", ""],
