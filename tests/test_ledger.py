@@ -117,6 +117,16 @@ def test_salted_joins_equal_plain_joins(spark, how):
     assert run(heavy) == run(Heavy())
 
 
+def test_both_sides_may_be_heavy(spark):
+    many = spark.createDataFrame([(n, "hot" if n % 2 else f"k{n}") for n in range(40)], "n int, k string")
+    few = spark.createDataFrame([(m, "hot" if m % 3 else "k4") for m in range(30)], "m int, key string")
+    [left], [right] = measure_heavy(many, "k", heavy_rows=5), measure_heavy(few, "key", heavy_rows=5)
+    assert "hot" in left.values and {"hot", "k4"} == set(right.values)
+    plain = skew_join(many, few, "k", "key", "n", "inner", Heavy())
+    salted = skew_join(many, few, "k", "key", "n", "inner", left, few_heavy=right, few_id="m")
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_first_match(spark):
     rows = spark.createDataFrame([("a", 2, "x"), ("a", 1, None), ("b", 5, "y"), (None, 0, "z")], "k string, o int, v string")
     assert sorted(map(tuple, first_match(rows, "k", "o", ["o", "v"]).collect())) == [("a", 1, None), ("b", 5, "y")]

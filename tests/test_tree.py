@@ -129,6 +129,22 @@ def test_limit_keeps_children_of_the_first_rows(shop):
     assert json.loads(got["m1"]) == record(tree, tables["maker"][0], tables)
 
 
+def test_limit_beyond_the_broadcast_size(shop, monkeypatch):
+    resolve, tables = shop
+    monkeypatch.setattr("treeloom.plans.tree.BROADCAST_ROWS", 1)
+    tree = root(scalar("id"), ADDRESSES, filter="id is not null", order_by=("id",))
+    got = joined(TreeExport(resolve, "maker", tree, keys=["id"], limit=3, heavy_rows=1).json_lines(), "id", "json")
+    assert {k: json.loads(v) for k, v in got.items()} == {r["id"]: record(tree, r, tables) for r in tables["maker"] if r["id"]}
+
+
+def test_many_oversize_keys_are_joined_out(shop, monkeypatch):
+    resolve, tables = shop
+    monkeypatch.setattr("treeloom.plans.tree.LISTED_KEYS", 0)
+    tree = TREES["nested arrays"]
+    got = joined(TreeExport(resolve, "maker", tree, keys=["name"], record_bytes=150, heavy_rows=1).json_lines(), "name", "json")
+    assert {k: json.loads(v) for k, v in got.items()} == {r["name"]: record(tree, r, tables) for r in tables["maker"]}
+
+
 def test_disabled_and_denied_nodes_are_absent(shop):
     resolve, _ = shop
     tree = root(

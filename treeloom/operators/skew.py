@@ -28,6 +28,9 @@ class Heavy:
         return hit | key.isNull() if None in self.values else hit
 
 
+NOT_HEAVY = Heavy()
+
+
 def heavy_sketch(key: Column) -> Column:
     """Most frequent key values with their counts: a bounded sketch, merged map-side."""
     return F.call_function("approx_top_k", key.cast("string"), F.lit(FAIR_TASKS), F.lit(TRACKED))
@@ -37,7 +40,7 @@ def heavy_from_sketch(items, rows: int, heavy_rows: int = HEAVY_ROWS) -> Heavy:
     share = max(heavy_rows, rows // FAIR_TASKS, 1)
     found = [item for item in items or () if item["count"] >= share]
     if not found:
-        return Heavy()
+        return NOT_HEAVY
     most = max(item["count"] for item in found)
     return Heavy(tuple(item["item"] for item in found), min(MAX_SALTS, max(2, -(-most // share))))
 
@@ -58,23 +61,32 @@ def skew_join(
     how: str,
     heavy: Heavy,
     strategy: str | None = None,
+    few_heavy: Heavy = NOT_HEAVY,
+    few_id: str | None = None,
 ) -> DataFrame:
     """``many`` joined to ``few`` on one key. Rows of heavy keys in ``many`` are spread by ``row_id``
     and the matching rows of ``few`` repeated once per salt; all others join as usual.
 
-    ``row_id`` must be stable under task retries, which is why it is a column made at the scan.
+    ``row_id`` must be stable under task retries, which is why it is a column made at the scan. For
+    inner joins ``few`` may have heavy keys of its own, spread by ``few_id`` in the same way.
     """
-    if not heavy.values:
-        few = few.hint(strategy) if strategy else few
-        return many.join(few, F.col(many_key) == F.col(few_key), how)
-    salts = heavy.salts
-    left = many.withColumn(
-        "__salt", F.when(heavy.holds(F.col(many_key)), F.pmod(F.xxhash64(row_id), F.lit(salts))).otherwise(F.lit(0))
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    right = few.withColumn(
-        "__copy", F.explode(F.when(heavy.holds(F.col(few_key)), every).otherwise(F.array(F.lit(0))))
-    )
-    right = right.hint(strategy) if strategy else right
-    on = (F.col(many_key) == F.col(few_key)) & (F.col("__salt") == F.col("__copy"))
-    return left.join(right, on, how).drop("__salt", "__copy")
+    on = F.col(many_key) == F.col(few_key)
+    if heavy.values:
+        many = many.withColumn("__salt", _salt(heavy, many_key, row_id))
+        few = few.withColumn("__copy", F.explode(_copies(heavy, few_key)))
+        on = on & (F.col("__salt") == F.col("__copy"))
+    if few_heavy.values:
+        few = few.withColumn("__few_salt", _salt(few_heavy, few_key, few_id))
+        many = many.withColumn("__few_copy", F.explode(_copies(few_heavy, many_key)))
+        on = on & (F.col("__few_salt") == F.col("__few_copy"))
+    few = few.hint(strategy) if strategy else few
+    return many.join(few, on, how).drop("__salt", "__copy", "__few_salt", "__few_copy")
+
+
+def _salt(heavy: Heavy, key: str, row_id: str) -> Column:
+    return F.when(heavy.holds(F.col(key)), F.pmod(F.xxhash64(row_id), F.lit(heavy.salts))).otherwise(F.lit(0))
+
+
+def _copies(heavy: Heavy, key: str) -> Column:
+    every = F.sequence(F.lit(0), F.lit(heavy.salts - 1))
+    return F.when(heavy.holds(F.col(key)), every).otherwise(F.array(F.lit(0)))

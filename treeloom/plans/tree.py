@@ -26,6 +26,7 @@ from treeloom.functions.text import PLAIN_TYPES, export_text, json_key
 from treeloom.operators.checkpoints import checkpointed
 from treeloom.operators.skew import (
     HEAVY_ROWS,
+    NOT_HEAVY,
     Heavy,
     heavy_from_sketch,
     heavy_sketch,
@@ -114,6 +115,7 @@ class TreeExport:
         self.dates = dates
         self.named_by_leaf = named_by_leaf
         self._heavy: dict[int, Heavy] = {}
+        self._heavy_children: dict[int, Heavy] = {}
         self._weights: dict[int, DataFrame] = {}
         self._row_ids = False
         self._counter = 0
@@ -193,15 +195,18 @@ class TreeExport:
     def _read(self, planned: _Planned) -> DataFrame:
         if planned is self.root and self._limited is not None:
             return self._limited
+        rows = self._read_table(planned)
+        if self._limited is not None and planned.parent is not None:
+            rows = self._reduced(planned, rows)
+        return rows
+
+    def _read_table(self, planned: _Planned) -> DataFrame:
         df = self.resolve(planned.table)
-        if planned.node.filter and planned.node.filter.strip():
+        if (planned.node.filter or "").strip():
             df = df.where(planned.node.filter)
         if planned.parent is not None:
             df = df.where(_quoted(planned.node.join_key).isNotNull())
-        rows = self._renamed(df, planned)
-        if self._limited is not None and planned.parent is not None:
-            rows = self._reduced(planned, rows)
-        return rows
+        return self._renamed(df, planned)
 
     def _renamed(self, df: DataFrame, planned: _Planned, *more: Column) -> DataFrame:
         chosen = [_quoted(name).alias(alias) for name, alias in planned.columns.items()]
@@ -212,24 +217,23 @@ class TreeExport:
     def _take_roots(self) -> DataFrame:
         """The first rows, written once: without an order every reading could pick others."""
         self._row_ids = True
-        rows = self._read_root()
+        rows = self._read_table(self.root)
         rows = rows.orderBy(*self.root.order) if self.root.order else rows
         return checkpointed(rows.limit(self.limit))
 
-    def _read_root(self) -> DataFrame:
-        df = self.resolve(self.root.table)
-        if self.root.node.filter and self.root.node.filter.strip():
-            df = df.where(self.root.node.filter)
-        return self._renamed(df, self.root)
-
     def _reduced(self, planned: _Planned, rows: DataFrame) -> DataFrame:
         """Child rows of the parents that are exported, before any grouping."""
         above = planned.parent
         rows_above = self._read(above) if self._limited is not None or above is self.root else self._children(above)
         parents = rows_above.select(F.col(planned.parent_key).alias("__wanted")).distinct()
-        if planned.parent is self.root and self.limit is not None and self.limit <= BROADCAST_ROWS:
-            parents = F.broadcast(parents)
-        return rows.join(parents, F.col(planned.key) == F.col("__wanted"), "left_semi")
+        heavy = NOT_HEAVY
+        if self._limited is not None:
+            if above is self.root and self.limit <= BROADCAST_ROWS:
+                parents = F.broadcast(parents)
+            else:
+                # Groups are still whole here; otherwise oversize ones have been taken out before.
+                heavy = self._heavy_child(planned, rows)
+        return skew_join(rows, parents, planned.key, "__wanted", planned.row_id, "left_semi", heavy)
 
     # --- sizes ----------------------------------------------------------------------------------
 
@@ -315,7 +319,14 @@ class TreeExport:
         return self._weights[planned.number]
 
     def _heavy_for(self, planned: _Planned) -> Heavy:
-        return self._heavy.get(planned.number, Heavy())
+        return self._heavy.get(planned.number, NOT_HEAVY)
+
+    def _heavy_child(self, planned: _Planned, rows: DataFrame) -> Heavy:
+        """Heavy values of a child's own join key, measured once."""
+        if planned.number not in self._heavy_children:
+            [heavy] = measure_heavy(rows, planned.key, heavy_rows=self.heavy_rows)
+            self._heavy_children[planned.number] = heavy
+        return self._heavy_children[planned.number]
 
     def _within_budget(self, planned: _Planned, rows: DataFrame) -> DataFrame:
         """Child rows without the groups that belong to oversize records."""
@@ -328,7 +339,7 @@ class TreeExport:
             return rows
         if len(listed) <= LISTED_KEYS:
             return rows.where(~F.col(planned.key).isin(listed))
-        [heavy] = measure_heavy(rows, planned.key, heavy_rows=self.heavy_rows)
+        heavy = self._heavy_child(planned, rows)
         return skew_join(rows, over, planned.key, over.columns[0], planned.row_id, "left_anti", heavy)
 
     # --- records within the budget --------------------------------------------------------------
@@ -555,10 +566,13 @@ class TreeExport:
             *carried, F.col("__pos").alias("__above"), F.col(planned.parent_key).alias("__wanted")
         ).where(F.col("__wanted").isNotNull())
         rows = self._read(planned)
-        [heavy] = measure_heavy(rows, planned.key, heavy_rows=self.heavy_rows)
-        rows = skew_join(rows, above, planned.key, "__wanted", planned.row_id, "inner", heavy).drop("__wanted")
+        heavy = self._heavy_child(planned, rows)
+        [above_heavy] = measure_heavy(above, "__wanted", heavy_rows=self.heavy_rows)
+        rows = skew_join(
+            rows, above, planned.key, "__wanted", planned.row_id, "inner", heavy, few_heavy=above_heavy, few_id="__above"
+        ).drop("__wanted")
         if planned.order:
-            order = [F.col(name) for name in (*planned.order, planned.row_id)]
+            order = [F.col(name) for name in (*planned.order, planned.row_id, "__above")]
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
             rows = rows.withColumn("__id", F.monotonically_increasing_id())
         else:
