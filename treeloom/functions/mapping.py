@@ -36,22 +36,27 @@ REFUSED_LETTERS = "dMyHhmsfFgKtz"
 
 @dataclass(frozen=True)
 class Value:
-    """A mapped field: its text, and the condition under which that text is bare JSON."""
+    """A mapped field: its text or, where ``bare`` holds, text that is JSON without quotes."""
 
-    text: Column
+    plain: Column
     bare: Column | None = None
+    unquoted: Column | None = None
     data_type: T.DataType | None = None
 
+    @property
+    def text(self) -> Column:
+        return self.plain if self.bare is None else F.when(self.bare, self.unquoted).otherwise(self.plain)
+
     def json(self) -> Column:
-        quoted = json_value(self.text, self.data_type)
-        return quoted if self.bare is None else F.when(self.bare, self.text).otherwise(quoted)
+        quoted = json_value(self.plain, self.data_type)
+        return quoted if self.bare is None else F.when(self.bare, self.unquoted).otherwise(quoted)
 
 
 def field_value(column: Column, data_type: T.DataType, mapping: FieldMapping | None) -> Value:
     if mapping is not None and mapping.data_type == NATIVE:
         return _native(column, data_type)
     text = text_of(column, data_type)
-    return Value(text, None, data_type) if mapping is None else _coerce(mapped_text(text, mapping), mapping.data_type)
+    return Value(text, data_type=data_type) if mapping is None else _coerce(mapped_text(text, mapping), mapping.data_type)
 
 
 def mapped_text(text: Column, mapping: FieldMapping) -> Column:
@@ -115,25 +120,23 @@ def date_pattern(pattern: str) -> str:
 
 def is_number(text: Column) -> Column:
     digits = F.length(F.regexp_replace(F.regexp_replace(text, "[^0-9]", ""), "^0+", ""))
-    return F.coalesce(text.rlike(NUMBER) & (digits <= MAX_DIGITS), F.lit(False))
+    short = (F.length(text) <= MAX_DIGITS) | (digits <= MAX_DIGITS)
+    return F.coalesce(text.rlike(NUMBER) & short, F.lit(False))
 
 
 def number_text(text: Column) -> Column:
     """Accepted number text in plain form, scale kept: ``" 1,234.50- "`` becomes ``-1234.50``."""
-    digits = F.regexp_replace(text, "[^0-9.]", "")
-    digits = F.regexp_replace(F.regexp_replace(digits, r"\.$", ""), r"^0+(?=\d)", "")
+    digits = F.regexp_replace(F.translate(text, "+-, \t\n\x0b\x0c\r", ""), r"^0+(?=\d)|\.$", "")
     digits = F.when(digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
-    negative = text.contains("-") & digits.rlike("[1-9]")
-    return F.when(negative, F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(text.contains("-") & digits.rlike("[1-9]"), F.concat(F.lit("-"), digits)).otherwise(digits)
 
 
 def _coerce(text: Column, data_type: str) -> Value:
     if data_type == "number":
-        bare = is_number(text)
-        return Value(F.when(bare, number_text(text)).otherwise(text), bare)
+        return Value(text, is_number(text), number_text(text))
     if data_type == "boolean":
         bare = F.coalesce(text.rlike(BOOLEAN), F.lit(False))
-        return Value(F.when(bare, F.lower(F.regexp_replace(text, r"[^A-Za-z]", ""))).otherwise(text), bare)
+        return Value(text, bare, F.lower(F.regexp_replace(text, "[^A-Za-z]", "")))
     return Value(text)
 
 
@@ -142,10 +145,10 @@ def _native(column: Column, data_type: T.DataType) -> Value:
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
         return Value(F.replace(text, F.lit(" "), F.lit("T")))
     if isinstance(data_type, (T.StructType, T.ArrayType, T.MapType)):
-        return Value(F.to_json(column), column.isNotNull())
+        return Value(text, column.isNotNull(), F.to_json(column))
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         finite = column.isNotNull() & ~F.isnan(column) & (F.abs(column) != float("inf"))
-        return Value(text, finite)
+        return Value(text, finite, text, data_type)
     if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return Value(text, column.isNotNull())
+        return Value(text, column.isNotNull(), text, data_type)
     return Value(text)

@@ -18,18 +18,6 @@ NOTES_LIMIT = 2000
 GAP_SHOWN = 3
 GAP_CHUNK = 10_000
 
-RUNS = (
-    "id int, sequence_no int, extracted_at string, record_count int, sha256 string, status string, "
-    "released_at string, operated_by string, approved_by string, data_file_name string, delivered_at string, "
-    "delivered_by string, imported_record_count int, delivery_notes string"
-)
-DEFINITION_RUNS = (
-    "id int, export_definition_id int, config_version int, started_at string, finished_at string, "
-    "status string, record_count int, error_message string, triggered_by string, is_test_run boolean"
-)
-AUDIT = "id int, timestamp string, username string, action string, detail string"
-
-
 def extracted_time() -> Column:
     return F.col("extracted_at").try_cast("timestamp")
 
