@@ -51,13 +51,11 @@ def test_flat_rows_equal_plain_loops(shop, name, limits):
     resolve, tables = shop
     tree = TREES[name]
     export = TreeExport(resolve, "maker", tree, keys=["city_id"], **limits)
-    repeated = {".".join(p) for p in export.repeated_paths()}
-    names = export.column_names()
     rows = sorted((tuple(r) for r in export.flat_rows().collect()), key=lambda r: r[1])
     got: dict = {}
     for key, _, *cells in rows:
         before = got.setdefault(key, [""] * len(cells))
-        got[key] = [b + c if n in repeated else c for n, b, c in zip(names, before, cells)]
+        got[key] = [b + c for b, c in zip(before, cells)]
     want = {row["city_id"]: list(flat(tree, row, tables, leaf_paths(tree)).values()) for row in tables["maker"]}
     assert got == want
 
@@ -137,6 +135,24 @@ def test_limit_beyond_the_broadcast_size(shop, monkeypatch):
     assert {k: json.loads(v) for k, v in got.items()} == {r["id"]: record(tree, r, tables) for r in tables["maker"] if r["id"]}
 
 
+@pytest.mark.parametrize("text", ["json", "flat"])
+def test_split_without_broadcasts(shop, monkeypatch, text):
+    resolve, tables = shop
+    monkeypatch.setattr("treeloom.plans.tree.BROADCAST_ROWS", 0)
+    tree = TREES["two arrays"]
+    export = TreeExport(resolve, "maker", tree, keys=["name"], record_bytes=1, heavy_rows=1)
+    if text == "json":
+        got = {k: json.loads(v) for k, v in joined(export.json_lines(), "name", "json").items()}
+        assert got == {r["name"]: record(tree, r, tables) for r in tables["maker"]}
+        return
+    rows = export.flat_rows()
+    got = {}
+    for row in rows.orderBy("part").collect():
+        before = got.setdefault(row["name"], [""] * (len(row) - 2))
+        got[row["name"]] = [b + c for b, c in zip(before, row[2:])]
+    assert got == {r["name"]: list(flat(tree, r, tables, leaf_paths(tree)).values()) for r in tables["maker"]}
+
+
 def test_many_oversize_keys_are_joined_out(shop, monkeypatch):
     resolve, tables = shop
     monkeypatch.setattr("treeloom.plans.tree.LISTED_KEYS", 0)

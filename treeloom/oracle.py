@@ -168,11 +168,11 @@ ORACLE: dict[str, str] = {
         coalesce((SELECT string_agg(s_name, ', ' ORDER BY s_suppkey) FROM supplier
           WHERE s_nationkey = n_nationkey), '') AS "suppliers.name", {PART}
         FROM nation JOIN region ON r_regionkey = n_regionkey""",
-    "tree_flatten_split": """SELECT n_name AS nation, r_name AS "region.name", '' AS "suppliers.key", '' AS "suppliers.name"
+    "tree_flatten_split": """SELECT n_nationkey, n_name AS nation, r_name AS "region.name", '' AS "suppliers.key", '' AS "suppliers.name"
         FROM nation JOIN region ON r_regionkey = n_regionkey
-        UNION ALL SELECT n_name, r_name, d || s_suppkey, d || s_name FROM (SELECT *, CASE WHEN row_number()
+        UNION ALL SELECT s_nationkey, '', '', d || s_suppkey, d || s_name FROM (SELECT *, CASE WHEN row_number()
           OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) > 1 THEN ', ' ELSE '' END AS d FROM supplier)
-          JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""",
+          JOIN nation ON n_nationkey = s_nationkey""",
     "scope_exists_filter": f"""SELECT c_custkey, {PART}, CAST(json_object('id', CAST(c_custkey AS VARCHAR), 'name', c_name) AS VARCHAR) AS json
         FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)""",
     "preview_first_n": f"""SELECT o_orderkey, {PART}, CAST(json_object('key', CAST(o_orderkey AS VARCHAR), 'customer',

@@ -93,14 +93,12 @@ def _flat_lines(export: TreeExport, whole, opening, fragment, ending: str) -> tu
 
 def _split_lines(export: TreeExport, pieces: DataFrame, names: list[str], opening, fragment, ending: str) -> DataFrame:
     """The fragments turned from row order into line order: all of one cell, then the next cell."""
-    repeated = export.repeated_paths()
     spots = []
-    for number, (path, name) in enumerate(zip(export.paths(), names)):
+    for number, name in enumerate(names):
         close = '"' + (ending if number == len(names) - 1 else "")
-        shown = F.col("__starts") if path not in repeated else F.lit(True)
         spots += [
             _spot(number, 0, F.when(F.col("__starts"), F.lit(opening(number, name)))),
-            _spot(number, 1, F.when(shown, fragment(_cell(name)))),
+            _spot(number, 1, fragment(_cell(name))),
             _spot(number, 2, F.when(F.col("__starts"), F.lit(close))),
         ]
     spread = pieces.select(*export.keys, "part", "__record", F.explode(F.array(*spots)).alias("spot"))

@@ -37,8 +37,9 @@ from treeloom.operators.skew import (
 RECORD_BYTES = 16 << 20
 # Key lists up to this length are written into the plan; longer ones are joined.
 LISTED_KEYS = 1_000
-# Limited exports up to this many rows may broadcast their root keys.
+# Keys and positions may be broadcast up to this number of rows and bytes of text.
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 8 << 20
 
 Resolve = Callable[[str], DataFrame]
 
@@ -118,6 +119,7 @@ class TreeExport:
         self._heavy_children: dict[int, Heavy] = {}
         self._weights: dict[int, DataFrame] = {}
         self._row_ids = False
+        self._divided: tuple[DataFrame, DataFrame | None] | None = None
         self._counter = 0
         self.split_records = 0
         self.root = self._plan(_pruned(node, denied), root_table, None)
@@ -141,7 +143,7 @@ class TreeExport:
 
     def flat_rows(self) -> DataFrame:
         """``keys…, part`` and one text column per leaf, named by its path. In the rows of a split
-        record plain cells repeat and joined cells concatenate in ``part`` order."""
+        record every cell is in fragments that concatenate in ``part`` order."""
         whole, pieces = self.flat_parts()
         return whole if pieces is None else whole.unionByName(pieces.select(*[_quoted(name) for name in whole.columns]))
 
@@ -238,7 +240,12 @@ class TreeExport:
     # --- sizes ----------------------------------------------------------------------------------
 
     def _split(self) -> tuple[DataFrame, DataFrame | None]:
-        """Root rows within the record budget, and those over it if there are any."""
+        """Root rows within the record budget, and those over it if there are any; measured once."""
+        if self._divided is None:
+            self._divided = self._divide()
+        return self._divided
+
+    def _divide(self) -> tuple[DataFrame, DataFrame | None]:
         if not self.root.groups:
             return self._read(self.root), None
         self._measure()
@@ -530,11 +537,7 @@ class TreeExport:
     def _json_pieces(self, roots: DataFrame) -> DataFrame:
         carried = [self.root.columns[name] for name in self.keys]
         start = roots.withColumn("__pos", F.array(F.col(self.root.row_id))).withColumn("__lead", F.lit(""))
-        pieces = self._emit_json(self.root, start, carried)
-        union = pieces[0]
-        for more in pieces[1:]:
-            union = union.unionByName(more)
-        ordered = _numbered(union)
+        ordered = _numbered(functools.reduce(DataFrame.unionByName, self._emit_json(self.root, start, carried)))
         record = F.col("__pos")[0].alias("__record")
         return ordered.select(*self._key_columns(), "part", F.col("__text").alias("json"), record)
 
@@ -556,7 +559,7 @@ class TreeExport:
             first = level.groupBy("__above").agg(F.min("__id").alias("__first"))
             first = first.select(_position(F.col("__above"), number, F.col("__first")).alias("__head"))
             lead = F.when(F.col("__head").isNull(), F.lit(",")).otherwise(F.lit(""))
-            level = level.join(first, F.col("__pos") == F.col("__head"), "left").withColumn("__lead", lead)
+            level = _marked(level, first).withColumn("__lead", lead)
             out += self._emit_json(slot.child, level.drop("__head", "__above", "__id"), carried)
         return out
 
@@ -566,11 +569,16 @@ class TreeExport:
             *carried, F.col("__pos").alias("__above"), F.col(planned.parent_key).alias("__wanted")
         ).where(F.col("__wanted").isNotNull())
         rows = self._read(planned)
-        heavy = self._heavy_child(planned, rows)
-        [above_heavy] = measure_heavy(above, "__wanted", heavy_rows=self.heavy_rows)
-        rows = skew_join(
-            rows, above, planned.key, "__wanted", planned.row_id, "inner", heavy, few_heavy=above_heavy, few_id="__above"
-        ).drop("__wanted")
+        if _is_small(above):
+            # The child table stays where it is: nothing is shuffled and no key can be hot.
+            rows = rows.join(F.broadcast(above), F.col(planned.key) == F.col("__wanted"))
+        else:
+            [above_heavy] = measure_heavy(above, "__wanted", heavy_rows=self.heavy_rows)
+            rows = skew_join(
+                rows, above, planned.key, "__wanted", planned.row_id, "inner", self._heavy_child(planned, rows),
+                few_heavy=above_heavy, few_id="__above",
+            )
+        rows = rows.drop("__wanted")
         if planned.order:
             order = [F.col(name) for name in (*planned.order, planned.row_id, "__above")]
             rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -580,32 +588,22 @@ class TreeExport:
         return checkpointed(rows.withColumn("__pos", _position(F.col("__above"), slot, F.col("__id"))))
 
     def _flat_pieces(self, roots: DataFrame, names: list[str]) -> DataFrame:
-        """Plain cells on every row; each joined cell in fragments, delimiters included."""
+        """Cells in fragments, delimiters included; plain cells are in the first row of a record."""
         repeated = self.repeated_paths()
         cells = {path: f"cell{n}" for n, path in enumerate(self.paths())}
         keys = [self.root.columns[name] for name in self.keys]
         start = roots.withColumn("__pos", F.array(F.col(self.root.row_id)))
         rows, outputs = self._assemble_flat(self.root, start, inline=False)
-        plain = [F.coalesce(c, F.lit("")).alias(cells[p]) for p, c in outputs if p not in repeated]
-        # The root row keeps the columns its arrays join on.
-        rows = rows.select("*", *plain)
-        carried = keys + [cells[path] for path, _ in outputs if path not in repeated]
+        pieces = functools.reduce(DataFrame.unionByName, self._emit_flat(rows, outputs, keys, cells, ()))
+        pieces = checkpointed(pieces.withColumn("__record", F.col("__pos")[0]))
         leaves = [path for path in cells if path in repeated]
-        blank = {cells[path]: F.lit(None).cast("string") for path in leaves}
-        own = rows.select(*carried, "__pos", *[c.alias(n) for n, c in blank.items()])
-        pieces = [own] + self._emit_flat(rows, outputs, carried, cells, blank, ())
-        union = pieces[0]
-        for more in pieces[1:]:
-            union = union.unionByName(more)
-        union = checkpointed(union.withColumn("__record", F.col("__pos")[0]))
-        firsts = union.groupBy("__record").agg(
+        firsts = pieces.groupBy("__record").agg(
             *[F.min(F.when(F.col(cells[p]).isNotNull(), F.col("__pos"))).alias(cells[p]) for p in leaves]
         )
         marks = F.array(*[F.struct(F.col(cells[p]).alias("pos"), F.lit(cells[p]).alias("cell")) for p in leaves])
         heads = firsts.select(F.explode(marks).alias("m")).where("m.pos is not null")
         heads = heads.groupBy(F.col("m.pos").alias("__head")).agg(F.collect_set("m.cell").alias("__cells"))
-        marked = union.join(heads, F.col("__pos") == F.col("__head"), "left")
-        ordered = _numbered(marked)
+        ordered = _numbered(_marked(pieces, heads))
         delimiters = _delimiters(self.root.node)
         shown = []
         for path, name in zip(self.paths(), names):
@@ -613,26 +611,23 @@ class TreeExport:
             if path in repeated:
                 leads = F.coalesce(F.array_contains("__cells", cells[path]), F.lit(False))
                 cell = F.when(leads, cell).otherwise(F.concat(F.lit(delimiters[path]), cell))
-                cell = F.coalesce(cell, F.lit(""))
-            shown.append(cell.alias(name))
+            shown.append(F.coalesce(cell, F.lit("")).alias(name))
         return ordered.select(*self._key_columns(), "part", *shown, "__record", (F.size("__pos") == 1).alias("__starts"))
 
-    def _emit_flat(self, rows, outputs, carried, cells, blank, prefix) -> list[DataFrame]:
-        out = []
+    def _emit_flat(self, rows, outputs, carried, cells, prefix) -> list[DataFrame]:
+        """The cells each row holds itself, for this level and all below."""
+        values = {name: F.lit(None).cast("string") for name in cells.values()}
         slots: dict[int, tuple[_Planned, tuple]] = {}
         for path, output in outputs:
             if isinstance(output, _Slot):
                 slots.setdefault(output.child.number, (output.child, path[: len(path) - len(output.path)]))
+            else:
+                values[cells[prefix + path]] = output
+        out = [rows.select(*carried, "__pos", *[c.alias(n) for n, c in values.items()])]
         for number, (child, at) in enumerate(slots.values()):
             level = self._level(child, rows, carried, number).drop("__above", "__id")
             level, inner = self._assemble_flat(child, level, inline=False)
-            here = prefix + at
-            values = dict(blank)
-            for path, output in inner:
-                if not isinstance(output, _Slot):
-                    values[cells[here + path]] = output
-            out.append(level.select(*carried, "__pos", *[c.alias(n) for n, c in values.items()]))
-            out += self._emit_flat(level, inner, carried, cells, blank, here)
+            out += self._emit_flat(level, inner, carried, cells, prefix + at)
         return out
 
     # --- small parts ----------------------------------------------------------------------------
@@ -808,6 +803,20 @@ def _position(above: Column, slot: int, identifier: Column) -> Column:
     return F.concat(above, F.array(F.lit(2 * slot + 1).cast("long"), identifier))
 
 
+def _is_small(rows: DataFrame) -> bool:
+    """Whether rows may be broadcast, by their counted number and text."""
+    texts = [F.octet_length(F.col(f.name)) for f in rows.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = functools.reduce(lambda a, b: a + b, [F.coalesce(text, F.lit(0)) for text in texts], F.lit(0))
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES
+
+
+def _marked(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows with what is known of the few that stand first, found by their position."""
+    heads = checkpointed(heads)
+    return rows.join(F.broadcast(heads) if _is_small(heads) else heads, F.col("__pos") == F.col("__head"), "left")
+
+
 def _numbered(pieces: DataFrame) -> DataFrame:
     """``part``, from 1, rises in document order over all partitions: the rows are range-partitioned
     and sorted."""

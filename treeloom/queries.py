@@ -218,7 +218,7 @@ def tree_flatten_columns(t: Resolve) -> DataFrame:
 
 def tree_flatten_split(t: Resolve) -> DataFrame:
     """Every nation with suppliers over the budget: cells in fragments, delimiters included."""
-    export = tree_export(t, "nation", _suppliers(), record_bytes=SPLIT_BYTES)
+    export = tree_export(t, "nation", _suppliers(), keys=["n_nationkey"], record_bytes=SPLIT_BYTES)
     return export.flat_rows().drop("part")
 
 
