@@ -34,10 +34,12 @@ TREES = {
 }
 
 
-@pytest.mark.parametrize("limits", [{}, {"record_bytes": 220}, {"record_bytes": 1, "heavy_rows": 0}])
+@pytest.mark.parametrize("limits", [{}, {"heavy_rows": 0}, {"record_bytes": 220, "heavy_rows": 0}, {"record_bytes": 1}])
 @pytest.mark.parametrize("name", TREES)
-def test_records_equal_plain_loops(shop, name, limits):
+def test_records_equal_plain_loops(shop, name, limits, monkeypatch):
     resolve, tables = shop
+    if "heavy_rows" in limits:  # salted joins only
+        monkeypatch.setattr("treeloom.plans.tree.BROADCAST_BYTES", -1)
     tree = TREES[name]
     got = joined(TreeExport(resolve, "maker", tree, keys=["name"], **limits).json_lines(), "name", "json")
     want = {row["name"]: record(tree, row, tables) for row in tables["maker"]}
@@ -47,8 +49,10 @@ def test_records_equal_plain_loops(shop, name, limits):
 
 @pytest.mark.parametrize("limits", [{}, {"record_bytes": 1, "heavy_rows": 0}])
 @pytest.mark.parametrize("name", TREES)
-def test_flat_rows_equal_plain_loops(shop, name, limits):
+def test_flat_rows_equal_plain_loops(shop, name, limits, monkeypatch):
     resolve, tables = shop
+    if "heavy_rows" in limits:
+        monkeypatch.setattr("treeloom.plans.tree.BROADCAST_BYTES", -1)
     tree = TREES[name]
     export = TreeExport(resolve, "maker", tree, keys=["city_id"], **limits)
     rows = sorted((tuple(r) for r in export.flat_rows().collect()), key=lambda r: r[1])
@@ -139,6 +143,7 @@ def test_limit_beyond_the_broadcast_size(shop, monkeypatch):
 def test_split_without_broadcasts(shop, monkeypatch, text):
     resolve, tables = shop
     monkeypatch.setattr("treeloom.plans.tree.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("treeloom.plans.tree.BROADCAST_BYTES", -1)
     tree = TREES["two arrays"]
     export = TreeExport(resolve, "maker", tree, keys=["name"], record_bytes=1, heavy_rows=1)
     if text == "json":
@@ -216,6 +221,19 @@ def test_mapped_values_inside_split_records(shop):
     assert got["m3"] == '{"a":[{"c":"ROME\\nSOUTH","z":7.50}]}'
 
 
+def test_joined_sides_are_broadcast_by_measured_size(shop, monkeypatch):
+    resolve, _ = shop
+    tree = TREES["object with array"]
+
+    def plan():
+        df = TreeExport(resolve, "maker", tree).json_lines()
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "SortMergeJoin" not in plan()
+    monkeypatch.setattr("treeloom.plans.tree.BROADCAST_BYTES", -1)
+    assert "BroadcastHashJoin" not in plan()
+
+
 def test_plans_read_only_what_they_use(spark):
     from treeloom import queries
     df = queries.run("array_embed", spark, "/root/testdata/sf0.001")

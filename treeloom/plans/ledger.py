@@ -13,6 +13,10 @@ from treeloom.operators.skew import HEAVY_ROWS, measure_heavy, skew_join
 
 # Run states.
 PENDING, RELEASED, FAILED, SKIPPED = "Pending", "Released", "Failed", "Skipped"
+# Fixed value: the warning of a run with unresolved predecessors.
+GAP_WARNING = (
+    "Sequence gap: %d earlier run(s) are unresolved (%s). Investigate or skip them before releasing #%d."
+)
 STALE_AFTER = timedelta(hours=24)
 NOTES_LIMIT = 2000
 GAP_SHOWN = 3
@@ -68,11 +72,7 @@ def gap_warnings(runs: DataFrame, blocks: int | None = None) -> DataFrame:
     near = F.array_compact(F.array(*_lookback()))
     found = F.slice(F.concat(near, carry), 1, GAP_SHOWN)
     texts = F.transform(found, lambda n: F.concat(F.lit("#"), n.cast("string")))
-    warning = F.concat(
-        F.lit("Sequence gap: "), F.size(found).cast("string"), F.lit(" earlier run(s) are unresolved ("),
-        F.array_join(texts, ", "), F.lit("). Investigate or skip them before releasing #"),
-        F.col("sequence_no").cast("string"), F.lit("."),
-    )
+    warning = F.format_string(GAP_WARNING, F.size(found), F.array_join(texts, ", "), F.col("sequence_no"))
     looked = placed.withColumn("gap_warning", F.when(F.size(found) > 0, warning))
     return looked.where(F.col("status") == PENDING).select("sequence_no", "gap_warning")
 

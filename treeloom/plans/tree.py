@@ -37,7 +37,7 @@ from treeloom.operators.skew import (
 RECORD_BYTES = 16 << 20
 # Key lists up to this length are written into the plan; longer ones are joined.
 LISTED_KEYS = 1_000
-# Keys and positions may be broadcast up to this number of rows and bytes of text.
+# Tables may be broadcast up to this many bytes of text, keys and positions up to this many rows.
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 8 << 20
 
@@ -276,7 +276,9 @@ class TreeExport:
         self._sizes = {fact["node"]: fact for row in found for fact in row["facts"]}
         sketches = [
             self._read(g.parent).agg(F.lit(g.number).alias("node"), heavy_sketch(F.col(g.parent_key)).alias("items"))
-            for g in nodes if g.parent is not None and self._sizes[g.parent.number]["all"] > self.heavy_rows
+            for g in nodes
+            if g.parent is not None and self._sizes[g.parent.number]["all"] > self.heavy_rows
+            and not self._is_small_side(g)
         ]
         for row in functools.reduce(DataFrame.union, sketches).collect() if sketches else ():
             parent = next(g for g in nodes if g.number == row["node"]).parent
@@ -306,14 +308,18 @@ class TreeExport:
         below = sum(self._group_bound(child) for child in planned.groups)
         return (group["bytes"] or 0) + (group["rows"] or 0) * below
 
+    def _is_small_side(self, planned: _Planned) -> bool:
+        """Whether all texts of a node, with what they embed, may be broadcast."""
+        size = self._sizes[planned.number]
+        below = sum(self._group_bound(child) for child in planned.groups)
+        return (size["total"] or 0) + size["all"] * below <= BROADCAST_BYTES
+
     def _weighed(self, planned: _Planned) -> DataFrame:
         """Rows with the exact size of everything they embed."""
         rows, total = self._read(planned), _row_bytes(planned)
         for group in planned.groups:
             weights = self._group_weights(group)
-            rows = skew_join(
-                rows, weights, group.parent_key, weights.columns[0], planned.row_id, "left", self._heavy_for(group)
-            ).drop(weights.columns[0])
+            rows = self._attach(rows, weights, group, weights.columns[0])
             total = total + F.coalesce(F.col(weights.columns[1]), F.lit(0))
         rows = rows.withColumn("__bytes", total)
         return rows.drop(*[f"w{group.number}" for group in planned.groups])
@@ -325,9 +331,6 @@ class TreeExport:
             self._weights[planned.number] = checkpointed(grouped.agg(total.alias(f"w{planned.number}")))
         return self._weights[planned.number]
 
-    def _heavy_for(self, planned: _Planned) -> Heavy:
-        return self._heavy.get(planned.number, NOT_HEAVY)
-
     def _heavy_child(self, planned: _Planned, rows: DataFrame) -> Heavy:
         """Heavy values of a child's own join key, measured once."""
         if planned.number not in self._heavy_children:
@@ -458,11 +461,12 @@ class TreeExport:
         return rows, out
 
     def _attach(self, rows: DataFrame, right: DataFrame, planned: _Planned, key: str) -> DataFrame:
-        # Joined lists may be far larger than the files they come from: never broadcast them.
-        strategy = "merge" if planned.node.kind == "array" else None
-        joined = skew_join(
-            rows, right, planned.parent_key, key, planned.parent.row_id, "left", self._heavy_for(planned), strategy
-        )
+        """``right`` has one row per key. It is broadcast only by its measured size; file sizes say
+        little about the text that rows become."""
+        if self._is_small_side(planned):
+            return rows.join(F.broadcast(right), F.col(planned.parent_key) == F.col(key), "left").drop(key)
+        heavy = self._heavy.get(planned.number, NOT_HEAVY)
+        joined = skew_join(rows, right, planned.parent_key, key, planned.parent.row_id, "left", heavy, "merge")
         return joined.drop(key)
 
     def _assemble_flat(self, planned: _Planned, rows: DataFrame, inline: bool) -> tuple[DataFrame, list]:
@@ -737,26 +741,27 @@ def _widest(kind: T.DataType) -> int:
 
 
 def _facts(members: list[_Planned]) -> Column:
-    """Per node the largest row, the bytes of all rows and their number, in one pass."""
+    """Per node the largest row, the bytes of all rows and their number, in one pass; here one group."""
     facts = []
     for member in members:
         mine = F.col(f"in{member.number}") if len(members) > 1 else F.lit(True)
         size = F.when(mine, _row_bytes(member))
         facts.append(F.struct(
             F.lit(member.number).alias("node"), F.max(size).alias("most"), F.sum(size).alias("bytes"),
-            F.count(size).alias("rows"), F.count(size).alias("all"),
+            F.count(size).alias("rows"), F.sum(size).alias("total"), F.count(size).alias("all"),
         ))
     return F.array(*facts).alias("facts")
 
 
 def _largest(members: list[_Planned]) -> Column:
-    """The same over groups: the largest row, the largest group and the number of all rows."""
+    """The same over groups: the largest row, the largest group, and the sums over all."""
     facts = []
     for n, member in enumerate(members):
         fact = F.col("facts")[n]
         facts.append(F.struct(
             F.lit(member.number).alias("node"), F.max(fact["most"]).alias("most"), F.max(fact["bytes"]).alias("bytes"),
-            F.max(fact["rows"]).alias("rows"), F.coalesce(F.sum(fact["rows"]), F.lit(0)).alias("all"),
+            F.max(fact["rows"]).alias("rows"), F.sum(fact["bytes"]).alias("total"),
+            F.coalesce(F.sum(fact["rows"]), F.lit(0)).alias("all"),
         ))
     return F.array(*facts).alias("facts")
 
