@@ -20,42 +20,52 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUFFER = 1024
+BUFFER = 256
 #: Pieces of the public tokenizer's own split pattern, for lower-cased text (fixed values of its file).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters whose lower case or composition depends on more than the letter, and separators on which libraries differ.
+ODD = regex.compile(r"[\x1c-\x1f\u0250-\U0010ffff]|<\|")
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. Pieces are encoded one by one and remembered, which gives
-    the tokenizer's ids because it never merges across pieces; texts with special tokens or letters beyond the
-    first Unicode blocks go through the tokenizer whole."""
+    """Token ids as little-endian unsigned 32-bit bytes. Words between white space are encoded once and remembered,
+    which gives the tokenizer's ids because it never merges across white space; texts with special tokens or
+    letters beyond the first Unicode blocks go through the tokenizer whole."""
 
-    BOUND = 400_000
+    BOUND = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text or max(text) >= "ɐ" or not unicodedata.is_normalized("NFC", text):
-            return self._whole(text.encode("utf-8", "replace").decode("utf-8"))
-        pieces = PIECES.findall(text.lower())
-        known = self.known
+        if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
+            return self._ids(text.encode("utf-8", "replace").decode("utf-8")).tobytes()
+        words, known = text.lower().split(), self.known
         try:
-            return b"".join(map(known.__getitem__, pieces))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > self.BOUND:
                 known.clear()
-            new = [piece for piece in dict.fromkeys(pieces) if piece not in known]
-            for piece, encoded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[piece] = np.array(encoded.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, pieces))
+            self._learn([word for word in dict.fromkeys(words) if word not in known])
+            return b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words in one call; tokens go to words by the number of the word's pieces."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        of_piece = np.bincount([piece for piece in encoded.word_ids if piece is not None])
+        pieces = np.cumsum([len(PIECES.findall(word)) for word in words])
+        ends = np.cumsum(of_piece)[pieces - 1] * 4
+        ids, start = np.array(encoded.ids, "<u4").tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.known[word] = ids[start:end]
+            start = end
 
 
 @dataclass(frozen=True)
@@ -102,20 +112,20 @@ class Packer:
 
     def _pack(self, until: int) -> Iterator[tuple]:
         """Fill sequences until at most ``until`` examples wait; with 0, all goes."""
-        limits = self.limits
-        size = np.array([total - start for _, _, start, _, total in self.waiting], np.int64)
-        loss = np.array([total - max(start, source) for _, _, start, source, total in self.waiting], np.int64)
-        loss = np.maximum(loss, 0)
-        alive = np.ones(len(size), bool)
-        scale = np.array([limits.tokens, limits.segments, limits.loss], float)
-        while (count := int(alive.sum())) > until:
-            room, pieces = np.array([limits.tokens, limits.segments, limits.loss], np.int64), []
-            ends = not until and int(size[alive].sum()) < limits.tokens
-            while room[0] and room[1] and alive.any():
-                need = np.stack([size, np.ones_like(size), loss], axis=1)
-                score = (need / scale * (room / scale) * (need[alive].mean(axis=0) / scale)).sum(axis=1)
-                fits = alive & (need <= room).all(axis=1)
-                pick = int(np.where(fits if fits.any() else alive, score, -1).argmax())
+        full = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.int64)
+        need = np.array([(total - at, 1, total - min(total, max(at, source))) for _, _, at, source, total in self.waiting], np.int64)
+        alive = np.ones(len(need), bool)
+        weight = need.mean(axis=0) / full / full / full if len(need) else full
+        left = len(need)
+        while left > until:
+            room, pieces = full.copy(), []
+            ends = not until and int(need[alive, 0].sum()) < full[0]
+            while room[0] and room[1] and left:
+                score = np.where(alive, need @ (room * weight), -1.0)
+                whole = np.where((need <= room).all(axis=1), score, -1.0)
+                pick = int(whole.argmax())
+                if whole[pick] < 0:
+                    pick = int(score.argmax())
                 key, ids, start, source, total = self.waiting[pick]
                 took = self._fit(start, total - start, source, int(room[0]), int(room[2]))
                 if not took:
@@ -124,10 +134,11 @@ class Packer:
                 used = max(0, start + took - max(start, source))
                 room -= (took, 1, used)
                 self.waiting[pick] = (key, ids, start + took, source, total)
-                size[pick] -= took
-                loss[pick] -= used
-                alive[pick] = size[pick] > 0
-            if ends and not alive.any():
+                need[pick] -= (took, 0, used)
+                if not need[pick, 0]:
+                    alive[pick] = False
+                    left -= 1
+            if ends and not left:
                 for part in _powers(pieces):
                     yield from self._sequence(part)
             else:
