@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import decontaminate, language, line_dedup, ngram_join, packing
+from treeloom.llm import chunks, decontaminate, language, line_dedup, neighbours, ngram_join, packing, secrets, url_filter, warc
 from treeloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
 def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, folder, "documents"))
 
@@ -32,6 +36,25 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages")).drop("url")
+
+
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    rules = url_filter.rules(spark, block=[("net", "/"), ("example.com", "/de/")], allow=[("example.net", "/en/"), ("org", "/fr/")])
+    return url_filter.judge(pages, rules, url_filter.links_in_pages(pages))
+
+
+def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -45,8 +68,13 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_ngram_join": op2_ngram_join,
     "op3_language": op3_language,
+    "op4_warc": op4_warc,
+    "op5_url_filter": op5_url_filter,
+    "op6_neighbours": op6_neighbours,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
