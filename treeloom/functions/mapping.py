@@ -3,6 +3,7 @@ converted stays text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -20,7 +21,9 @@ NUMBER = (
     r"|(?:\d[\d,]*(?:\.\d*)?|\.\d+)[\t-\r ]*[+-])[\t-\r ]*$"
 )
 BOOLEAN = r"^[\s\p{Z}\x00]*(?i:true|false)[\s\p{Z}\x00]*$"
-MAX_DIGITS = 28
+# The range of the source system's decimals, 96 bits with up to 28 digits behind the point.
+MOST = "79228162514264337593543950335"
+PLAIN_DIGITS, MOST_DIGITS, MOST_SCALE = 28, 29, 28
 
 # Date tokens of definition documents and their Spark spellings.
 DATE_TOKENS = {
@@ -119,16 +122,67 @@ def date_pattern(pattern: str) -> str:
 
 
 def is_number(text: Column) -> Column:
-    digits = F.length(F.regexp_replace(F.regexp_replace(text, "[^0-9]", ""), "^0+", ""))
-    short = (F.length(text) <= MAX_DIGITS) | (digits <= MAX_DIGITS)
-    return F.coalesce(text.rlike(NUMBER) & short, F.lit(False))
+    """Whether a text is a number within the range of decimals; its fraction may be of any length."""
+    fits = (F.length(text) <= PLAIN_DIGITS) | _with(_digits(text), _in_range)
+    return F.coalesce(text.rlike(NUMBER) & fits, F.lit(False))
 
 
 def number_text(text: Column) -> Column:
-    """Accepted number text in plain form, scale kept: ``" 1,234.50- "`` becomes ``-1234.50``."""
+    """Accepted number text in plain form, scale kept: ``" 1,234.50- "`` becomes ``-1234.50``. Digits that a decimal
+    cannot hold behind the point are rounded away, halves to the even neighbour."""
+    plain = _digits(text)
+    plain = F.when(F.length(text) <= PLAIN_DIGITS, plain).otherwise(_with(plain, _rounded))
+    return F.when(text.contains("-") & plain.rlike("[1-9]"), F.concat(F.lit("-"), plain)).otherwise(plain)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _in_range(plain: Column) -> Column:
+    whole = F.regexp_replace(F.substring_index(plain, ".", 1), "^0+", "")
+    top = _mantissa(plain, F.lit(0)) <= F.lit(MOST).cast("decimal(38,0)")
+    return (F.length(whole) < MOST_DIGITS) | ((F.length(whole) == MOST_DIGITS) & top)
+
+
+def _digits(text: Column) -> Column:
+    """Digits and point, with one digit before the point and none of the zeros before that."""
     digits = F.regexp_replace(F.translate(text, "+-, \t\n\x0b\x0c\r", ""), r"^0+(?=\d)|\.$", "")
-    digits = F.when(digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
-    return F.when(text.contains("-") & digits.rlike("[1-9]"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
+
+
+def _fraction(plain: Column) -> Column:
+    return F.when(plain.contains("."), F.substring_index(plain, ".", -1)).otherwise("")
+
+
+def _mantissa(plain: Column, scale: Column) -> Column:
+    """The digits down to ``scale`` behind the point as a whole number, rounded by those after them."""
+    fraction = _fraction(plain)
+    kept = F.concat(F.substring_index(plain, ".", 1), F.substring(fraction, F.lit(1), scale)).try_cast("decimal(38,0)")
+    rest = F.substring(fraction, scale + 1, F.length(fraction))
+    above = (F.substring(rest, 1, 1) > "5") | rest.rlike("^5.*[1-9]") | (rest.rlike("^5") & (kept % 2 == 1))
+    return kept + F.when(above, F.lit(1)).otherwise(F.lit(0))
+
+
+def _rounded(plain: Column) -> Column:
+    whole = F.regexp_replace(F.substring_index(plain, ".", 1), "^0+", "")
+    scale = F.least(F.length(_fraction(plain)), F.lit(MOST_SCALE), F.lit(MOST_DIGITS) - F.length(whole))
+
+    def at(scale: Column) -> Column:
+        fits = _mantissa(plain, scale) <= F.lit(MOST).cast("decimal(38,0)")
+        used = F.when(fits, scale).otherwise(scale - 1)
+        return _with(used, lambda s: _with(_mantissa(plain, s), lambda m: _pointed(m, s)))
+
+    return _with(scale, at)
+
+
+def _pointed(mantissa: Column, scale: Column) -> Column:
+    text = mantissa.cast("decimal(38,0)").cast("string")
+    text = F.when(F.length(text) > scale, text).otherwise(F.lpad(text, scale + 1, "0"))
+    size = F.length(text) - scale
+    behind = F.concat(F.substring(text, F.lit(1), size), F.lit("."), F.substring(text, size + 1, scale))
+    return F.when(scale > 0, behind).otherwise(text)
 
 
 def _coerce(text: Column, data_type: str) -> Value:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 512
+ROWS_PER_BLOCK = 2_000_000
 
 
 def block_bounds(rows: DataFrame, key: str, blocks: int | None = None) -> list:
-    """Key values that cut the table into about equal ranges: at most ``MAX_BLOCKS`` numbers."""
+    """Key values that cut the table into about equal ranges: as many as the session has shuffle partitions, or more
+    where a range would pass ``ROWS_PER_BLOCK`` rows. The accuracy follows the number of ranges."""
     if blocks is None:
-        blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    blocks = max(1, min(MAX_BLOCKS, blocks))
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        blocks = max(partitions, -(-rows.count() // ROWS_PER_BLOCK))
+    blocks = max(1, blocks)
     if blocks == 1:
         return []
     shares = [n / blocks for n in range(1, blocks)]
-    found = rows.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first()["b"]
+    found = rows.agg(F.percentile_approx(key, shares, max(10_000, 20 * blocks)).alias("b")).first()["b"]
     return sorted(set(found or ()))
 
 

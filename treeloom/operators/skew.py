@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 
 # A value is heavy from this many rows on, if it is also above the fair share of one task.
 HEAVY_ROWS = 1_000_000
-FAIR_TASKS = 2_000
-MAX_SALTS = 512
-TRACKED = 20_000
+# The fair share is this part of all rows: at 10^12 rows, 5 * 10^7 of them. It bounds the heavy values as well.
+FAIR_TASKS = 20_000
+TRACKED = 200_000
 
 
 @dataclass(frozen=True)
 class Heavy:
-    """Key values (as text, None for NULL) that must not stay in one task. By the fair share there
-    are at most ``FAIR_TASKS`` of them, however large the table is."""
+    """Key values (as text, None for NULL) that must not stay in one task, and how many tasks each is spread over.
+    By the fair share there are at most ``FAIR_TASKS`` values, and at most twice as many tasks in all."""
 
     values: tuple[str | None, ...] = ()
-    salts: int = 1
-
-    def holds(self, key: Column) -> Column:
-        known = [value for value in self.values if value is not None]
-        hit = F.coalesce(key.cast("string").isin(known), F.lit(False)) if known else F.lit(False)
-        return hit | key.isNull() if None in self.values else hit
+    tasks: tuple[int, ...] = ()
+
+    @property
+    def salts(self) -> int:
+        return max(self.tasks, default=1)
+
+    def spread(self, key: Column) -> Column:
+        """The number of tasks for a key: 1 unless it is heavy. Values are told apart by their classes, so that the
+        expression stays small."""
+        classes: dict[int, list[str | None]] = {}
+        for value, tasks in zip(self.values, self.tasks):
+            classes.setdefault(tasks, []).append(value)
+        found = F.lit(1)
+        for tasks, values in sorted(classes.items()):
+            known = [value for value in values if value is not None]
+            hit = F.coalesce(key.cast("string").isin(known), F.lit(False)) if known else F.lit(False)
+            found = F.when(hit | key.isNull() if None in values else hit, F.lit(tasks)).otherwise(found)
+        return found
 
 
 NOT_HEAVY = Heavy()
@@ -37,12 +49,11 @@ def heavy_sketch(key: Column) -> Column:
 
 
 def heavy_from_sketch(items, rows: int, heavy_rows: int = HEAVY_ROWS) -> Heavy:
+    """Each heavy value gets a power of two of tasks, so that none of them holds more than the fair share."""
     share = max(heavy_rows, rows // FAIR_TASKS, 1)
     found = [item for item in items or () if item["count"] >= share]
-    if not found:
-        return NOT_HEAVY
-    most = max(item["count"] for item in found)
-    return Heavy(tuple(item["item"] for item in found), min(MAX_SALTS, max(2, -(-most // share))))
+    tasks = [1 << max(1, (-(-item["count"] // share) - 1).bit_length()) for item in found]
+    return Heavy(tuple(item["item"] for item in found), tuple(tasks))
 
 
 def measure_heavy(rows: DataFrame, *keys: str, heavy_rows: int = HEAVY_ROWS) -> list[Heavy]:
@@ -84,9 +95,8 @@ def skew_join(
 
 
 def _salt(heavy: Heavy, key: str, row_id: str) -> Column:
-    return F.when(heavy.holds(F.col(key)), F.pmod(F.xxhash64(row_id), F.lit(heavy.salts))).otherwise(F.lit(0))
+    return F.pmod(F.xxhash64(row_id), heavy.spread(F.col(key)))
 
 
 def _copies(heavy: Heavy, key: str) -> Column:
-    every = F.sequence(F.lit(0), F.lit(heavy.salts - 1))
-    return F.when(heavy.holds(F.col(key)), every).otherwise(F.array(F.lit(0)))
+    return F.sequence(F.lit(0).cast("long"), (heavy.spread(F.col(key)) - 1).cast("long"))

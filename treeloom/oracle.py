@@ -123,6 +123,26 @@ ORACLE: dict[str, str] = {
         coalesce((SELECT to_json(list(json_object('key', CAST(o_orderkey AS VARCHAR), 'status', o_orderstatus) ORDER BY o_orderkey))
           FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
           CAST('[]' AS JSON))) AS VARCHAR) AS json FROM customer""",
+    "object_lookup_mixed_keys": f"""SELECT c_custkey, {PART}, CAST(json_object('id', CAST(c_custkey AS VARCHAR), 'nation',
+        json_object('name', n_name)) AS VARCHAR) AS json FROM customer JOIN nation ON n_nationkey = c_nationkey""",
+    "array_embed_mixed_keys": f"""SELECT c_name, {PART}, CAST(json_object('name', c_name, 'orders',
+        coalesce((SELECT to_json(list(json_object('key', CAST(o_orderkey AS VARCHAR)) ORDER BY o_orderkey)) FROM orders
+          WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+          CAST('[]' AS JSON))) AS VARCHAR) AS json FROM customer""",
+    "null_join_keys": f"""SELECT n_nationkey, {PART}, CAST(json_object('nation', n_name, 'region',
+        CASE WHEN n_regionkey <> 2 THEN json_object('name', r_name) END, 'customers', coalesce(
+        (SELECT to_json(list(json_object('id', CAST(c_custkey AS VARCHAR)) ORDER BY c_custkey)) FROM customer
+          WHERE c_nationkey = n_nationkey AND c_nationkey <> 3), CAST('[]' AS JSON))) AS VARCHAR) AS json
+        FROM nation JOIN region ON r_regionkey = n_regionkey""",
+    "map_number_long": f"""SELECT {PART}, '{{"id":"' || p_partkey || '","value":' || CASE p_partkey % 4
+        WHEN 0 THEN '1234567890123456789012345678' || (p_size % 10) WHEN 1 THEN '0.' || repeat('3', 28)
+        WHEN 2 THEN '"9' || repeat('0', 27) || (p_size % 10) || '"'
+        ELSE '-' || p_size || '.' || repeat('6', 28 - length(CAST(p_size AS VARCHAR)) - CASE WHEN p_size > 7 AND p_size < 10 OR p_size > 78 THEN 1 ELSE 0 END) || '7' END || '}}' AS json,
+        CAST(p_partkey AS BIGINT) AS p_partkey FROM part""",
+    "csv_lines_same_names": f"""WITH j AS ({_joined_orders("; ")})
+        SELECT CAST(id AS BIGINT) AS c_custkey, part, id || ',' || name || ',' || orders AS line FROM j""",
+    "package_manifests": """SELECT format, (SELECT count(*) FROM customer) AS record_count, CAST(0 AS BIGINT) AS problems
+        FROM (VALUES ('json'), ('csv'), ('xlsx')) AS f(format)""",
     "tree_three_levels": f"""WITH n AS (SELECT n_nationkey, n_regionkey, json_object('name', n_name, 'customers',
           coalesce((SELECT to_json(list(json_object('id', CAST(c_custkey AS VARCHAR), 'name', c_name) ORDER BY c_custkey))
             FROM customer WHERE c_nationkey = n_nationkey), CAST('[]' AS JSON))) AS j FROM nation)

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from treeloom.functions.text import iso_date
 
 
-def typed_cells(rows: DataFrame, keys: list[str], names: list[str], part: str | None = None) -> DataFrame:
-    """``keys…, column, kind, text, date``: text that is exactly an ISO date becomes a date, every
+def typed_cells(
+    rows: DataFrame, keys: list[str], names: list[str], part: str | None = None, cells: list[str] | None = None
+) -> DataFrame:
+    """``cells`` are the columns that hold the values, those of ``names`` if not given. ``keys…, column, kind, text, date``: text that is exactly an ISO date becomes a date, every
     other value stays text. With ``part``, fragments of split rows are never read as dates."""
     cells = F.array(*[
-        F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").alias("text")) for name in names
+        F.struct(F.lit(name).alias("column"), F.col(f"`{cell}`").alias("text")) for name, cell in zip(names, cells or names)
     ])
     kept = keys + ([part] if part else [])
     spread = rows.select(*kept, F.explode(cells).alias("cell")).select(*kept, "cell.column", "cell.text")

@@ -14,7 +14,7 @@ def flat_export(
     """Text columns of one table with related columns joined to text; dates as ``yyyy-MM-dd``."""
     validate_flat(mapping, denylist)
     tree = flat_tree(mapping, order_by)
-    return TreeExport(resolve, mapping.source_table, tree, denylist=denylist, dates=True, named_by_leaf=True, **more)
+    return TreeExport(resolve, mapping.source_table, tree, denylist=denylist, dates=True, named_by_leaf=True, envelope=mapping.envelope, **more)
 
 
 def nested_export(
@@ -22,7 +22,7 @@ def nested_export(
 ) -> TreeExport:
     """The nested-JSON reading of a flat mapping."""
     validate_flat(mapping, denylist)
-    return TreeExport(resolve, mapping.source_table, nested_tree(mapping, order_by), denylist=denylist, **more)
+    return TreeExport(resolve, mapping.source_table, nested_tree(mapping, order_by), denylist=denylist, envelope=mapping.envelope, **more)
 
 
 def tree_export(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeloom.functions.text import sha256_short
+from treeloom.operators.checkpoints import checkpointed
 from treeloom.operators.ordered import block_bounds, block_of
 from treeloom.operators.skew import HEAVY_ROWS, measure_heavy, skew_join
 
@@ -145,7 +146,8 @@ def check_requests(
     runs_heavy, users_heavy = measure_heavy(requests, "sequence_no", "__who", heavy_rows=heavy_rows)
     asked = skew_join(requests, found, "sequence_no", "__seq", "request_no", "left", runs_heavy)
     asked = skew_join(asked, known, "__who", "__user", "request_no", "left", users_heavy)
-    asked = asked.withColumn("reason", _refusal())
+    # Joined once: the winners and the answers both read it.
+    asked = checkpointed(asked.withColumn("reason", _refusal()).drop("__user", "__status", "__delivered", "__seq"))
     winners = asked.where("reason is null").groupBy("sequence_no").agg(F.min("request_no").alias("__first"))
     judged = asked.join(winners.select("__first"), F.col("request_no") == F.col("__first"), "left")
     accepted = F.col("__first").isNotNull()

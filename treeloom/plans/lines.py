@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from treeloom.definition import Envelope
 from treeloom.functions.text import csv_line, json_key, json_value
-from treeloom.plans.tree import TreeExport
+from treeloom.operators.checkpoints import checkpointed
+from treeloom.plans.tree import TreeExport, cell_name
 
 SCHEMA_VERSION = "2.0"
 
@@ -40,16 +41,13 @@ def csv_lines(export: TreeExport) -> DataFrame:
 def csv_parts(export: TreeExport) -> tuple[DataFrame, DataFrame | None]:
     """Whole CSV lines, and the fragments of oversize lines if there are any."""
 
-    def whole(names):
-        return csv_line([_cell(name) for name in names])
-
     def fragment(cell):
         return F.replace(cell, F.lit('"'), F.lit('""'))
 
     def opening(number, name):
         return '"' if number == 0 else ',"'
 
-    return _flat_lines(export, whole, opening, fragment, "")
+    return _flat_lines(export, list(enumerate(export.column_names())), csv_line, opening, fragment, "")
 
 
 def flat_json_lines(export: TreeExport) -> DataFrame:
@@ -58,9 +56,13 @@ def flat_json_lines(export: TreeExport) -> DataFrame:
 
 
 def flat_json_parts(export: TreeExport) -> tuple[DataFrame, DataFrame | None]:
-    def whole(names):
-        members = [F.concat(F.lit(json_key(name)), json_value(_cell(name))) for name in names]
-        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    # A repeated name keeps its place and takes the last value.
+    last = {name: number for number, name in enumerate(export.column_names())}
+    members = [(number, name) for name, number in last.items()]
+
+    def whole(cells):
+        texts = [F.concat(F.lit(json_key(name)), json_value(cell)) for (_, name), cell in zip(members, cells)]
+        return F.concat(F.lit("{"), F.concat_ws(",", *texts), F.lit("}"))
 
     def fragment(cell):
         text = json_value(cell)
@@ -69,7 +71,7 @@ def flat_json_parts(export: TreeExport) -> tuple[DataFrame, DataFrame | None]:
     def opening(number, name):
         return ("{" if number == 0 else ",") + json_key(name) + '"'
 
-    return _flat_lines(export, whole, opening, fragment, "}")
+    return _flat_lines(export, members, whole, opening, fragment, "}")
 
 
 def nested_json_parts(export: TreeExport) -> tuple[DataFrame, DataFrame | None]:
@@ -84,22 +86,22 @@ def _together(parts: tuple[DataFrame, DataFrame | None]) -> DataFrame:
     return whole if pieces is None else whole.union(pieces.select(whole.columns))
 
 
-def _flat_lines(export: TreeExport, whole, opening, fragment, ending: str) -> tuple[DataFrame, DataFrame | None]:
-    names = export.column_names()
+def _flat_lines(export: TreeExport, members, whole, opening, fragment, ending: str) -> tuple[DataFrame, DataFrame | None]:
+    """``members``: the number and name of each cell of a line, in order."""
     rows, pieces = export.flat_parts()
-    lines = rows.select(*export.keys, "part", whole(names).alias("line"))
-    return lines, None if pieces is None else _split_lines(export, pieces, names, opening, fragment, ending)
+    lines = rows.select(*export.keys, "part", whole([F.col(cell_name(number)) for number, _ in members]).alias("line"))
+    return lines, None if pieces is None else _split_lines(export, pieces, members, opening, fragment, ending)
 
 
-def _split_lines(export: TreeExport, pieces: DataFrame, names: list[str], opening, fragment, ending: str) -> DataFrame:
+def _split_lines(export: TreeExport, pieces: DataFrame, members, opening, fragment, ending: str) -> DataFrame:
     """The fragments turned from row order into line order: all of one cell, then the next cell."""
     spots = []
-    for number, name in enumerate(names):
-        close = '"' + (ending if number == len(names) - 1 else "")
+    for place, (number, name) in enumerate(members):
+        close = '"' + (ending if place == len(members) - 1 else "")
         spots += [
-            _spot(number, 0, F.when(F.col("__starts"), F.lit(opening(number, name)))),
-            _spot(number, 1, fragment(_cell(name))),
-            _spot(number, 2, F.when(F.col("__starts"), F.lit(close))),
+            _spot(place, 0, F.when(F.col("__starts"), F.lit(opening(place, name)))),
+            _spot(place, 1, fragment(F.col(cell_name(number)))),
+            _spot(place, 2, F.when(F.col("__starts"), F.lit(close))),
         ]
     spread = pieces.select(*export.keys, "part", "__record", F.explode(F.array(*spots)).alias("spot"))
     spread = spread.where("length(spot.text) > 0")
@@ -116,10 +118,6 @@ def _spot(cell: int, kind: int, text: Column) -> Column:
     return F.struct(F.lit(cell).alias("cell"), F.lit(kind).alias("kind"), text.alias("text"))
 
 
-def _cell(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 # --- envelope -----------------------------------------------------------------------------------
 
 
@@ -151,33 +149,43 @@ def document_lines(
     export: TreeExport, envelope: Envelope | None, extracted_at: datetime, version: str = SCHEMA_VERSION,
     nested: bool = True,
 ) -> DataFrame:
-    """One JSON document as ``section, keys…, part, line``; its text is the lines in that order.
+    """One JSON document as ``section, keys…, record, part, line``; its text is the lines in the order of
+    ``section, record, part``, with nothing between them.
 
-    Section 0 opens the envelope, section 1 holds the records and section 2 closes it. A separator
-    line (part -1) stands before every record but the first. The keys must identify root rows.
+    Section 0 opens the envelope, section 1 holds the records and section 2 closes it. ``record`` numbers the
+    records whatever their keys; records in pieces have negative numbers, so they come first. A separator line
+    (part -1) stands before every record but the first.
     """
     before, after = envelope_frame(envelope, extracted_at, version)
-    records = _together(nested_json_parts(export) if nested else flat_json_parts(export))
-    roots = export.root_keys()
-    first = roots.agg(F.min(F.struct(*export.keys)).alias("k")).first()["k"]
+    whole, pieces = nested_json_parts(export) if nested else flat_json_parts(export)
+    body = whole.select(*export.keys, F.monotonically_increasing_id().alias("record"), "part", "line")
+    if pieces is not None:
+        body = pieces.select(*export.keys, (-1 - F.col("__record")).alias("record"), "part", "line").union(body)
+    # Written once: numbering, separators and lines then come from the same rows.
+    body = checkpointed(body)
+    least = body.agg(F.min("record")).first()[0]
+    opens = F.col("record") != F.lit(least)
+    if pieces is not None:
+        firsts = body.where("record < 0").groupBy("record").agg(F.min(F.struct("part", *export.keys)).alias("first"))
+        commas = firsts.where(opens).select(*[F.col(f"first.{_tick(key)}").alias(key) for key in export.keys], "record")
+        commas = commas.union(body.where("record >= 0").where(opens).select(*export.keys, "record"))
+    else:
+        commas = body.where(opens).select(*export.keys, "record")
+    commas = commas.select(*export.keys, "record", F.lit(-1).cast("long").alias("part"), F.lit(",").alias("line"))
     section = F.lit(1).alias("section")
-    body = records.select(section, *export.keys, "part", "line")
-    if first is not None:
-        is_first = F.lit(True)
-        for key in export.keys:
-            is_first = is_first & F.col(key).eqNullSafe(F.lit(first[key]))
-        commas = roots.where(~is_first).select(
-            section, *export.keys, F.lit(-1).cast("long").alias("part"), F.lit(",").alias("line")
-        )
-        body = body.union(commas)
-    nothing = [F.lit(None).cast(body.schema[key].dataType).alias(key) for key in export.keys]
-    frame = roots.sparkSession.range(1).select(
+    lines = body.union(commas).select(section, *export.keys, "record", "part", "line")
+    nothing = [F.lit(None).cast(lines.schema[key].dataType).alias(key) for key in export.keys]
+    frame = body.sparkSession.range(1).select(
         F.explode(F.array(
             F.struct(F.lit(0).alias("section"), F.lit(before).alias("line")),
             F.struct(F.lit(2).alias("section"), F.lit(after).alias("line")),
         )).alias("e")
-    ).select("e.section", *nothing, F.lit(0).cast("long").alias("part"), "e.line")
-    return frame.union(body)
+    ).select("e.section", *nothing, F.lit(0).cast("long").alias("record"), F.lit(0).cast("long").alias("part"), "e.line")
+    return frame.union(lines)
+
+
+def _tick(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _blank(text: str | None) -> bool:

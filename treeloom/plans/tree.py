@@ -13,6 +13,7 @@ concatenate to exactly the record. Records within the budget are one row with ``
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from treeloom.definition import DefinitionError, Node, assert_no_denied, check_depth, denied_names
+from treeloom.definition import DefinitionError, DeniedFieldError, Envelope, Node, assert_no_denied, check_depth, denied_names
 from treeloom.functions.mapping import field_value
 from treeloom.functions.text import PLAIN_TYPES, export_text, json_key
 from treeloom.operators.checkpoints import checkpointed
@@ -42,6 +43,7 @@ BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 8 << 20
 
 Resolve = Callable[[str], DataFrame]
+SUBQUERY = re.compile(r"\bselect\b", re.IGNORECASE)
 
 
 @dataclass
@@ -55,6 +57,10 @@ class _Planned:
     types: dict[str, T.DataType] = field(default_factory=dict)
     groups: list[_Planned] = field(default_factory=list)
     parent: _Planned | None = None
+    #: Columns made for joins whose keys differ in type: name of the new column -> (source column, common type).
+    casts: dict[str, tuple[str, T.DataType]] = field(default_factory=dict)
+    own_key: str | None = None
+    key_above: str | None = None
 
     @property
     def row_id(self) -> str:
@@ -62,11 +68,11 @@ class _Planned:
 
     @property
     def key(self) -> str:
-        return self.columns[self.node.join_key]
+        return self.own_key or self.columns[self.node.join_key]
 
     @property
     def parent_key(self) -> str:
-        return self.parent.columns[self.node.source_join_key]
+        return self.key_above or self.parent.columns[self.node.source_join_key]
 
     @property
     def order(self) -> list[str]:
@@ -102,19 +108,26 @@ class TreeExport:
         limit: int | None = None,
         record_bytes: int = RECORD_BYTES,
         heavy_rows: int = HEAVY_ROWS,
+        broadcast_bytes: int | None = None,
         dates: bool = False,
         named_by_leaf: bool = False,
+        envelope: Envelope | None = None,
     ):
         check_depth(node)
         denied = denied_names(denylist)
         assert_no_denied(node, denied)
         self.resolve = functools.cache(resolve)
         self.keys = tuple(keys)
+        hidden = sorted(key for key in self.keys if key.lower() in denied)
+        if hidden:
+            raise DeniedFieldError("personal data must not be exported: " + ", ".join(hidden))
+        self.broadcast_bytes = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
         self.limit = limit
         self.record_bytes = record_bytes
         self.heavy_rows = heavy_rows
         self.dates = dates
         self.named_by_leaf = named_by_leaf
+        self.envelope = envelope
         self._heavy: dict[int, Heavy] = {}
         self._heavy_children: dict[int, Heavy] = {}
         self._weights: dict[int, DataFrame] = {}
@@ -144,26 +157,26 @@ class TreeExport:
     def flat_rows(self) -> DataFrame:
         """``keys…, part`` and one text column per leaf, named by its path. In the rows of a split
         record every cell is in fragments that concatenate in ``part`` order."""
+        names = self.column_names()
+        taken = {"part", *self.keys} & set(names)
+        if taken:
+            raise DefinitionError(f"flat columns and key columns share names: {sorted(taken)}")
         whole, pieces = self.flat_parts()
-        return whole if pieces is None else whole.unionByName(pieces.select(*[_quoted(name) for name in whole.columns]))
+        rows = whole if pieces is None else whole.union(pieces.select(*whole.columns))
+        return rows.toDF(*self.keys, "part", *names)
 
     def flat_parts(self) -> tuple[DataFrame, DataFrame | None]:
-        """Whole flat rows, and the fragments of the oversize ones with their ``__record``."""
-        names = self.column_names()
+        """Whole flat rows, and the fragments of the oversize ones with their ``__record``. Cells are named by
+        their place (see ``cell_name``), because targets may repeat."""
+        names = [cell_name(number) for number in range(len(self.column_names()))]
         if not names:
             return self._nothing("part"), None
-        taken = {"part", *self.keys} & set(names)
-        if taken:
-            raise DefinitionError(f"flat columns and key columns share names: {sorted(taken)}")
         roots, oversize = self._split()
         rows, outputs = self._assemble_flat(self.root, roots, inline=True)
         cells = [F.coalesce(column, F.lit("")).alias(name) for name, (_, column) in zip(names, outputs)]
         whole = rows.select(*self._key_columns(), F.lit(0).cast("long").alias("part"), *cells)
         return whole, None if oversize is None else self._flat_pieces(oversize, names)
 
-    def root_keys(self) -> DataFrame:
-        return self._read(self.root).select(*self._key_columns())
-
     def column_names(self) -> list[str]:
         """Names of the flat columns: whole paths, or their last parts for flat mappings."""
         return [path[-1] if self.named_by_leaf else ".".join(path) for path in self.paths()]
@@ -191,9 +204,24 @@ class TreeExport:
             planned.types[name] = schema[name]
         if parent is not None:
             _check_comparable(planned)
+            self._align_keys(planned)
         planned.groups = [self._plan(child, child.related_table, planned) for child in node.groups]
         return planned
 
+    def _align_keys(self, planned: _Planned) -> None:
+        """Keys of different numeric types are compared in the type that SQL's ``=`` gives them, and fractions
+        with one zero: sketches, salts and joins then agree on which values are equal."""
+        mine, theirs = planned.types[planned.node.join_key], planned.parent.types[planned.node.source_join_key]
+        if mine == theirs and not isinstance(mine, T.FractionalType):
+            return
+        common = mine
+        if mine != theirs:
+            none = self.resolve(planned.table).sparkSession.range(0)
+            common = none.select(F.coalesce(*[F.lit(None).cast(kind) for kind in (mine, theirs)]).alias("key")).schema["key"].dataType
+        planned.own_key, planned.key_above = f"n{planned.number}_key", f"n{planned.parent.number}_for{planned.number}"
+        planned.casts[planned.own_key] = (planned.node.join_key, common)
+        planned.parent.casts[planned.key_above] = (planned.node.source_join_key, common)
+
     def _read(self, planned: _Planned) -> DataFrame:
         if planned is self.root and self._limited is not None:
             return self._limited
@@ -212,6 +240,7 @@ class TreeExport:
 
     def _renamed(self, df: DataFrame, planned: _Planned, *more: Column) -> DataFrame:
         chosen = [_quoted(name).alias(alias) for name, alias in planned.columns.items()]
+        chosen += [_common_key(_quoted(name), kind).alias(alias) for alias, (name, kind) in planned.casts.items()]
         if self._row_ids:
             chosen.append(F.monotonically_increasing_id().alias(planned.row_id))
         return df.select(*chosen, *more)
@@ -312,7 +341,7 @@ class TreeExport:
         """Whether all texts of a node, with what they embed, may be broadcast."""
         size = self._sizes[planned.number]
         below = sum(self._group_bound(child) for child in planned.groups)
-        return (size["total"] or 0) + size["all"] * below <= BROADCAST_BYTES
+        return (size["total"] or 0) + size["all"] * below <= self.broadcast_bytes
 
     def _weighed(self, planned: _Planned) -> DataFrame:
         """Rows with the exact size of everything they embed."""
@@ -647,6 +676,10 @@ class TreeExport:
         return spark.createDataFrame([], schema)
 
 
+def cell_name(number: int) -> str:
+    return f"__cell{number}"
+
+
 def leaf_paths(node: Node) -> list[tuple[str, ...]]:
     paths: list[tuple[str, ...]] = []
     for child in node.active:
@@ -694,8 +727,8 @@ def _narrowed(planned: _Planned) -> bool:
 
 
 def _is_plain(planned: _Planned) -> bool:
-    test = (planned.node.filter or "").lower()
-    return planned.node.kind == "array" and not planned.groups and "select" not in test
+    test = planned.node.filter or ""
+    return planned.node.kind == "array" and not planned.groups and not SUBQUERY.search(test)
 
 
 def _source(planned: _Planned) -> tuple:
@@ -718,6 +751,12 @@ def _check_comparable(planned: _Planned) -> None:
         )
 
 
+def _common_key(key: Column, kind: T.DataType) -> Column:
+    key = key.cast(kind)
+    # Minus zero equals zero, but its text does not.
+    return key + F.lit(0).cast(kind) if isinstance(kind, (T.FloatType, T.DoubleType)) else key
+
+
 def _row_bytes(planned: _Planned) -> Column:
     """About the bytes a row adds to its record; reads text columns only."""
     fixed, total = 2 + sum(len(group.target_key) + 6 for group in planned.node.groups), F.lit(0)

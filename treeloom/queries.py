@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -21,11 +22,13 @@ from treeloom.definition import (
     scalar,
 )
 from treeloom.functions.text import package_file_name
+from treeloom.operators.checkpoints import shared_folder
 from treeloom.operators.ordered import first_match
 from treeloom.plans import ledger
 from treeloom.plans.cells import typed_cells
 from treeloom.plans.flat import flat_export, nested_export, tree_export
 from treeloom.plans.lines import csv_lines, document_lines, flat_json_lines
+from treeloom.sinks.package import format_of, package_name, verify_package, write_package
 from treeloom.sources.catalog import observed_catalog, suggest_joins
 from treeloom.sources.tables import Resolve, parquet_tables, with_views
 
@@ -137,6 +140,35 @@ def array_embed(t: Resolve) -> DataFrame:
     return tree_export(t, "customer", tree, keys=["c_custkey"]).json_lines()
 
 
+def object_lookup_mixed_keys(t: Resolve) -> DataFrame:
+    """A fraction as the parent's key, a whole number as the child's, every key salted and nothing broadcast."""
+    typed = derived(t, typed_customer=lambda: t("customer").withColumn("c_nationkey", F.col("c_nationkey").cast("double")))
+    tree = root(scalar("id", "c_custkey"), obj("nation", "nation", "n_nationkey", "c_nationkey", scalar("name", "n_name")))
+    return tree_export(typed, "typed_customer", tree, keys=["c_custkey"], heavy_rows=1, broadcast_bytes=-1).json_lines()
+
+
+def array_embed_mixed_keys(t: Resolve) -> DataFrame:
+    typed = derived(t, typed_customer=lambda: t("customer").withColumn("c_custkey", F.col("c_custkey").cast("decimal(14,2)")))
+    tree = root(
+        scalar("name", "c_name"),
+        array("orders", "orders", "o_custkey", "c_custkey", scalar("key", "o_orderkey"), filter=URGENT, order_by=("o_orderkey",)),
+    )
+    return tree_export(typed, "typed_customer", tree, keys=["c_name"], heavy_rows=1, broadcast_bytes=-1).json_lines()
+
+
+def null_join_keys(t: Resolve) -> DataFrame:
+    """Parents and children without a key find nothing, and nothing finds them."""
+    sparse = derived(
+        t, keyed_nation=lambda: t("nation").withColumn("n_regionkey", F.expr("nullif(n_regionkey, 2)")),
+        keyed_customer=lambda: t("customer").withColumn("c_nationkey", F.expr("nullif(c_nationkey, 3)")),
+    )
+    tree = root(
+        scalar("nation", "n_name"), obj("region", "region", "r_regionkey", "n_regionkey", scalar("name", "r_name")),
+        array("customers", "keyed_customer", "c_nationkey", "n_nationkey", scalar("id", "c_custkey"), order_by=("c_custkey",)),
+    )
+    return tree_export(sparse, "keyed_nation", tree, keys=["n_nationkey"]).json_lines()
+
+
 def _regions() -> object:
     return root(
         scalar("region", "r_name"),
@@ -323,6 +355,12 @@ def map_number(t: Resolve) -> DataFrame:
         "number")
 
 
+def map_number_long(t: Resolve) -> DataFrame:
+    return _typed(t, """case p_partkey % 4 when 0 then concat(repeat('1234567890', 2), '12345678', p_size % 10)
+        when 1 then concat('0.', repeat('3', 30), p_size) when 2 then concat('9', repeat('0', 27), p_size % 10)
+        else concat('-', p_size, '.', repeat('6', 40)) end""", "number")
+
+
 def map_boolean(t: Resolve) -> DataFrame:
     return _typed(t, """case p_partkey % 5 when 0 then ' TRUE ' when 1 then 'false' when 2 then 't' when 3 then '1'
         else cast(null as string) end""", "boolean")
@@ -346,19 +384,26 @@ def csv_lines_conversations(t: Resolve) -> DataFrame:
     return csv_lines(tree_export(t, "conversations", tree, keys=["conv_id", "turn"]))
 
 
+def csv_lines_same_names(t: Resolve) -> DataFrame:
+    """Columns that repeat a name or differ in case only, beside a key column of that name."""
+    orders = Relation("urgent_orders", "o_custkey", "c_custkey", (Field("o_orderkey", "c_custkey"),), delimiter="; ", order_by=("o_orderkey",))
+    mapping = FlatMapping("customer", (Field("c_custkey", "c_custkey"), Field("c_name", "C_CustKey")), (orders,))
+    return csv_lines(flat_export(_urgent_orders(t), mapping, keys=["c_custkey"]))
+
+
 def _customers() -> object:
     return root(scalar("id", "c_custkey"), scalar("name", "c_name"))
 
 
 def json_envelope(t: Resolve) -> DataFrame:
-    return document_lines(tree_export(t, "customer", _customers(), keys=["c_custkey"]), None, EXTRACTED_AT)
+    return document_lines(tree_export(t, "customer", _customers(), keys=["c_custkey"]), None, EXTRACTED_AT).drop("record")
 
 
 def json_envelope_custom(t: Resolve) -> DataFrame:
     envelope = Envelope(
         "export", "customers", "about", (MetadataField("owner", "sales"), MetadataField("at", is_timestamp=True))
     )
-    return document_lines(tree_export(t, "customer", _customers(), keys=["c_custkey"]), envelope, EXTRACTED_AT)
+    return document_lines(tree_export(t, "customer", _customers(), keys=["c_custkey"]), envelope, EXTRACTED_AT).drop("record")
 
 
 def order_cells(t: Resolve) -> DataFrame:
@@ -379,6 +424,17 @@ def manifest_counts(t: Resolve) -> DataFrame:
     )
 
 
+def package_manifests(t: Resolve) -> DataFrame:
+    """Packages of the customers with their orders as the sink writes, counts and verifies them."""
+    spark = t("customer").sparkSession
+    folder, found = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}", []
+    for number, fmt in enumerate(("json", "csv", "xlsx"), 1):
+        manifest = write_package(flat_export(_urgent_orders(t), _customer_orders("string_join")), folder, fmt, number, EXTRACTED_AT)
+        name = package_name(number, EXTRACTED_AT, format_of(fmt).extension)
+        found.append((fmt, manifest["RecordCount"], verify_package(spark, folder, name).count()))
+    return spark.createDataFrame(found, "format string, record_count long, problems long")
+
+
 def package_file_names(t: Resolve) -> DataFrame:
     name = package_file_name(F.col("o_orderkey"), F.col("o_orderdate"), "json")
     return t("orders").select("o_orderkey", name.alias("file_name"), F.replace(name, F.lit(".json"), F.lit(".manifest.json")).alias("manifest_name"))
@@ -494,6 +550,9 @@ CATALOGUE: dict[str, Callable[[Resolve], DataFrame]] = {
     "strip_denied_flat": strip_denied_flat,
     "object_lookup": object_lookup,
     "array_embed": array_embed,
+    "object_lookup_mixed_keys": object_lookup_mixed_keys,
+    "array_embed_mixed_keys": array_embed_mixed_keys,
+    "null_join_keys": null_join_keys,
     "tree_three_levels": tree_three_levels,
     "tree_three_levels_split": tree_three_levels_split,
     "tree_scalars_text": tree_scalars_text,
@@ -515,14 +574,17 @@ CATALOGUE: dict[str, Callable[[Resolve], DataFrame]] = {
     "map_default": map_default,
     "map_date_format": map_date_format,
     "map_number": map_number,
+    "map_number_long": map_number_long,
     "map_boolean": map_boolean,
     "map_in_array": map_in_array,
     "csv_lines": csv_lines_conversations,
+    "csv_lines_same_names": csv_lines_same_names,
     "json_envelope": json_envelope,
     "json_envelope_custom": json_envelope_custom,
     "typed_cells": order_cells,
     "row_checksums": row_checksums,
     "manifest_counts": manifest_counts,
+    "package_manifests": package_manifests,
     "package_file_names": package_file_names,
     "catalog_columns": catalog_columns,
     "suggest_joins": suggested_joins,

@@ -1,12 +1,15 @@
 """Packages: an export written once, published by a rename, described by a manifest.
 
-A package is a folder of part files. It is written beside its final name, counted and checksummed,
-then renamed; the manifest is written last, so a reader that waits for it sees whole packages only.
+A package is a folder of part files whose contents, one after the other (``head``, ``rows``, ``split``, ``tail``, each in
+name order), are the export: a JSON document with its envelope, or CSV with comment and header. It is written under
+a name of its own attempt, counted and checksummed, then renamed; the manifest is written last, so a reader that
+waits for it sees whole packages only.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -14,22 +17,26 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from treeloom.definition import Envelope
 from treeloom.plans.cells import typed_cells
 from treeloom.plans.lines import (
     SCHEMA_VERSION,
     csv_comment,
     csv_header,
     csv_parts,
+    envelope_frame,
     flat_json_parts,
     nested_json_parts,
     round_trip,
 )
-from treeloom.plans.tree import TreeExport
+from treeloom.plans.tree import TreeExport, cell_name
+from treeloom.sinks.stream import first_byte_off, write_stream
 
 # Part names fall into this many groups, so that no checksum is taken over an unbounded list.
 CHECKSUM_BUCKETS = 4096
 RECORDS_PER_FILE = 100_000
-PART_BYTES = 1 << 30
+PART_BYTES = 1 << 28
+RECORDS = "(records)"
 
 
 class EmptyExportError(RuntimeError):
@@ -42,23 +49,32 @@ class PackageError(RuntimeError):
 
 @dataclass(frozen=True)
 class Format:
+    """``ends`` gives what stands before and after the records, ``between`` what stands between two of them and
+    ``after`` what ends each."""
+
     extension: str
     parts: Callable[[TreeExport], tuple[DataFrame, DataFrame | None]]
-    head: Callable[[TreeExport, str, datetime], str | None]
+    ends: Callable[[TreeExport, Envelope | None, str, datetime], tuple[str, str]]
+    between: str = ""
+    after: str = ""
 
 
 def _json_parts(export: TreeExport):
     return flat_json_parts(export) if export.named_by_leaf else nested_json_parts(export)
 
 
-def _csv_head(export: TreeExport, version: str, extracted_at: datetime) -> str:
-    return csv_comment(version, extracted_at) + "\n" + csv_header(export.column_names()) + "\n"
+def _json_ends(export: TreeExport, envelope: Envelope | None, version: str, extracted_at: datetime) -> tuple[str, str]:
+    return envelope_frame(envelope, extracted_at, version)
+
+
+def _csv_ends(export: TreeExport, envelope: Envelope | None, version: str, extracted_at: datetime) -> tuple[str, str]:
+    return csv_comment(version, extracted_at) + "\n" + csv_header(export.column_names()) + "\n", ""
 
 
 FORMATS = {
-    "json": Format("json", _json_parts, lambda export, version, at: None),
-    "csv": Format("csv", csv_parts, _csv_head),
-    "xlsx": Format("cells", TreeExport.flat_parts, lambda export, version, at: None),
+    "json": Format("json", _json_parts, _json_ends, between=","),
+    "csv": Format("csv", csv_parts, _csv_ends, after="\n"),
+    "xlsx": Format("cells", TreeExport.flat_parts, lambda export, envelope, version, at: ("", "")),
 }
 
 
@@ -78,36 +94,40 @@ def manifest_name(package: str) -> str:
 
 def write_package(
     export: TreeExport, folder: str, fmt: str, sequence_no: int, extracted_at: datetime,
-    *, version: str = SCHEMA_VERSION, records_per_file: int = RECORDS_PER_FILE,
+    *, version: str = SCHEMA_VERSION, records_per_file: int = RECORDS_PER_FILE, envelope: Envelope | None = None,
 ) -> dict:
-    """Write and publish one export; returns the manifest. Lines over the record budget are stored
-    as ordered fragments in the package's ``split`` folder."""
+    """Write and publish one export; returns the manifest. ``envelope`` is the wrapper of a JSON document, that of
+    the export's mapping if not given. Lines over the record budget are stored in the folder ``split``."""
     writer = format_of(fmt)
     name = package_name(sequence_no, extracted_at, writer.extension)
-    final, staging, parts_table = f"{folder}/{name}", f"{folder}/{name}.tmp", f"{folder}/{name}.parts"
+    final, parts_table = f"{folder}/{name}", f"{folder}/{name}.parts"
+    staging = f"{final}.{uuid.uuid4().hex}.tmp"  # what another attempt left is never part of this one
     whole, pieces = writer.parts(export)
     spark = whole.sparkSession
     for taken in (final, f"{folder}/{manifest_name(name)}"):
         if _exists(spark, taken):
             raise PackageError(f"{taken} exists already")
     counted = Observation("records")
+    published = False
     try:
-        _write_rows(export, whole.observe(counted, F.count(F.lit(1)).alias("n")), f"{staging}/rows", records_per_file)
-        while (largest := _largest_file(spark, f"{staging}/rows")) > PART_BYTES and records_per_file > 1:
-            # A part is hashed in one read: write smaller parts rather than fail on a large one.
-            records_per_file = max(1, records_per_file * PART_BYTES // (2 * largest))
-            _write_rows(export, whole, f"{staging}/rows", records_per_file)
-        if pieces is not None:
-            pieces.write.parquet(f"{staging}/split")
+        whole = whole.observe(counted, F.count(F.lit(1)).alias("n"))
+        if "line" in whole.columns:
+            _write_lines(spark, staging, writer, whole, pieces, records_per_file)
+        else:
+            _write_cells(export, staging, whole, pieces, records_per_file)
         records = counted.get["n"] + export.split_records
         if records == 0:
             raise EmptyExportError(f"export {sequence_no} has no records")
-        head = writer.head(export, version, extracted_at)
-        if head is not None:
-            _write_text(spark, f"{staging}/head.{writer.extension}", head)
-        part_checksums(spark, staging).write.parquet(parts_table)
+        head, tail = writer.ends(export, export.envelope if envelope is None else envelope, version, extracted_at)
+        for part, text in (("head", head), ("tail", tail)):
+            if text:
+                _write_text(spark, f"{staging}/{part}.{writer.extension}", text)
+        sums = part_checksums(spark, staging)
+        total = spark.createDataFrame([(RECORDS, records)], "name string, bytes long")
+        sums.union(total.withColumn("sha256", F.sha2(F.col("bytes").cast("string"), 256))).write.mode("overwrite").parquet(parts_table)
         digest = package_checksum(spark.read.parquet(parts_table))
         _rename(spark, staging, final)
+        published = True
         manifest = {
             "SequenceNumber": sequence_no, "SchemaVersion": version, "ExtractedAt": round_trip(extracted_at),
             "RecordCount": records, "Sha256Checksum": digest,
@@ -117,32 +137,81 @@ def write_package(
         _discard(spark, staging, parts_table)
         raise
     except Exception as error:
-        _discard(spark, staging, final, parts_table)
+        _discard(spark, staging, parts_table, *([final] if published else []))
         raise PackageError(f"writing {name} failed: {error}") from error
     return manifest
 
 
-def _write_rows(export: TreeExport, whole: DataFrame, target: str, records_per_file: int) -> None:
-    if "line" in whole.columns:
-        whole.select(F.col("line").alias("value")).write.mode("overwrite").option(
-            "maxRecordsPerFile", records_per_file
-        ).text(target)
-        return
+def _write_lines(
+    spark: SparkSession, staging: str, writer: Format, whole: DataFrame, pieces: DataFrame | None, records_per_file: int
+) -> None:
+    """Every record has the separator before it; the very first one loses it afterwards."""
+    rows = f"{staging}/rows"
+    lines = F.concat(F.lit(writer.between), "line").alias("value")
+    whole.select(lines).write.option("maxRecordsPerFile", records_per_file).text(rows)
+    _smaller(spark, rows, "text", records_per_file)
+    if pieces is not None:
+        first = pieces.groupBy("__record").agg(F.min("part").alias("first"), F.max("part").alias("last"))
+        opens = F.when(F.col("part") == F.col("first"), F.lit(writer.between)).otherwise("")
+        closes = F.when(F.col("part") == F.col("last"), F.lit(writer.after)).otherwise("")
+        marked = pieces.join(first, "__record").select("__record", "part", F.concat(opens, "line", closes).alias("line"))
+        write_stream(marked, ["__record", "part"], f"{staging}/split", PART_BYTES).write.format("noop").mode("overwrite").save()
+    if writer.between:
+        for part in (rows, f"{staging}/split"):
+            if first := _first_file(spark, part):
+                first_byte_off(spark, first)
+                break
+
+
+def _write_cells(export: TreeExport, staging: str, whole: DataFrame, pieces: DataFrame | None, records_per_file: int) -> None:
+    """Cells with the row's number; root keys are not part of a package."""
+    names = export.column_names()
+    places = [cell_name(number) for number in range(len(names))]
     rows = whole.withColumn("__row", F.monotonically_increasing_id())
-    cells = typed_cells(rows, ["__row", *export.keys], export.column_names())
-    cells.write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(target)
-
-
-def _largest_file(spark: SparkSession, folder: str) -> int:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.agg(F.max("length")).first()[0] or 0
+    cells = typed_cells(rows, ["__row"], names, cells=places)
+    cells.write.option("maxRecordsPerFile", records_per_file).parquet(f"{staging}/rows")
+    _smaller(spark := rows.sparkSession, f"{staging}/rows", "parquet", records_per_file)
+    if pieces is not None:
+        fragments = typed_cells(pieces.withColumnRenamed("part", "__part"), ["__record"], names, "__part", cells=places)
+        fragments.where("text <> ''").write.option("maxRecordsPerFile", records_per_file).parquet(f"{staging}/split")
+        _smaller(spark, f"{staging}/split", "parquet", records_per_file)
+
+
+def _smaller(spark: SparkSession, folder: str, kind: str, records_per_file: int) -> None:
+    """Writes the files over the size limit again, each as several; the export itself does not run again."""
+    while records_per_file > 1:
+        files = spark.read.format("binaryFile").load(folder).where(~F.col("path").rlike(r"/[_.][^/]*$")).select("path", "length")
+        large = [row["path"] for row in files.where(F.col("length") > PART_BYTES).limit(1000).collect()]
+        if not large:
+            return
+        records_per_file = max(1, records_per_file // 4)
+        for path in large:
+            spark.read.format(kind).load(path).write.mode("append").option("maxRecordsPerFile", records_per_file).format(kind).save(folder)
+            _discard(spark, path)
+
+
+def _first_file(spark: SparkSession, folder: str) -> str | None:
+    """The first file by name that is not empty, of a folder of part files."""
+    if not _exists(spark, folder):
+        return None
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").where(~F.col("path").rlike(r"/[_.][^/]*$"))
+    return files.agg(F.min("path")).first()[0]
+
+
+def package_text(spark: SparkSession, package: str) -> DataFrame:
+    """``section`` (head, rows, split, tail as 0 to 3), ``name``, ``content`` of the parts of a JSON or CSV package: in this
+    order their contents are the export."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(package)
+    section = F.when(F.col("path").rlike(r"/head\.[a-z]+$"), 0).when(F.col("path").rlike("/rows/[^/]*$"), 1).when(
+        F.col("path").rlike("/split/[^/]*$"), 2
+    ).otherwise(3)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    return files.select(section.alias("section"), name.alias("name"), F.col("content")).where(~F.col("name").rlike("^[_.]"))
 
 
-def write_document(lines: DataFrame, keys: list[str], target: str) -> None:
-    """One JSON document over ordered text files: reading them in name order gives the document."""
-    order = ["section", *keys, "part"]
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.select(F.col("line").alias("value")).write.text(target)
+def write_document(lines: DataFrame, target: str) -> None:
+    """One JSON document (see ``document_lines``) over ordered files: their contents in name order are the document."""
+    write_stream(lines, ["section", "record", "part"], target, PART_BYTES).write.format("noop").mode("overwrite").save()
 
 
 def part_checksums(spark: SparkSession, package: str) -> DataFrame:
@@ -151,7 +220,7 @@ def part_checksums(spark: SparkSession, package: str) -> DataFrame:
     name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
     return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(
         ~F.col("name").rlike(r"/[_.][^/]*$")
-    ).withColumn("name", F.regexp_replace("name", r"^.*\.(json|csv|cells)(\.tmp)?/", ""))
+    ).withColumn("name", F.regexp_replace("name", r"^.*\.(json|csv|cells)(\.[0-9a-f]+\.tmp)?/", ""))
 
 
 def package_checksum(parts: DataFrame) -> str:
@@ -177,14 +246,16 @@ def verify_package(spark: SparkSession, folder: str, package: str) -> DataFrame:
     manifest = read_manifest(spark, folder, package)
     stored = spark.read.parquet(f"{folder}/{package}.parts").withColumnRenamed("sha256", "stored")
     actual = part_checksums(spark, f"{folder}/{package}").withColumnRenamed("sha256", "actual")
-    both = stored.select("name", "stored").join(actual.select("name", "actual"), "name", "full")
+    listed = stored.where(F.col("name") != RECORDS)
+    both = listed.select("name", "stored").join(actual.select("name", "actual"), "name", "full")
     problems = both.select(
         "name",
         F.when(F.col("actual").isNull(), "missing").when(F.col("stored").isNull(), "not listed")
         .when(F.col("actual") != F.col("stored"), "changed").alias("problem"),
     ).where("problem is not null")
-    digest = package_checksum(actual.select("name", F.col("actual").alias("sha256")))
-    records = count_records(spark, f"{folder}/{package}")
+    total = stored.where(F.col("name") == RECORDS).select("name", F.col("stored").alias("sha256"), F.col("bytes").alias("records"))
+    digest = package_checksum(actual.select("name", F.col("actual").alias("sha256")).union(total.select("name", "sha256")))
+    records = total.agg(F.sum("records")).first()[0]
     summary = [
         (package, problem)
         for problem, wrong in (
@@ -196,20 +267,6 @@ def verify_package(spark: SparkSession, folder: str, package: str) -> DataFrame:
     return problems.union(spark.createDataFrame(summary, "name string, problem string"))
 
 
-def count_records(spark: SparkSession, package: str) -> int:
-    rows = f"{package}/rows"
-    if package.endswith(".csv"):
-        whole = spark.read.csv(rows, header=False, multiLine=True, escape='"').count()
-    elif package.endswith(".cells"):
-        whole = spark.read.parquet(rows).select(F.col("__row")).distinct().count()
-    else:
-        whole = spark.read.text(rows).count()
-    if not _exists(spark, f"{package}/split"):
-        return whole
-    split = spark.read.parquet(f"{package}/split")
-    return whole + split.select("__record").distinct().count()
-
-
 def expired_files(spark: SparkSession, folder: str, cutoff: datetime) -> DataFrame:
     """Package files last written before the cutoff; a listing, nothing is deleted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

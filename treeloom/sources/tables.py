@@ -21,15 +21,26 @@ def session_tables(spark: SparkSession) -> Resolve:
 def jdbc_tables(
     spark: SparkSession, url: str, user: str, password: str, split: dict[str, dict] | None = None, **options: str
 ) -> Resolve:
-    """Tables of a database. ``split`` gives ``partitionColumn``, ``lowerBound``, ``upperBound`` and
-    ``numPartitions`` per table; a table without it is read over one connection."""
+    """Tables of a database. ``split`` gives ``partitionColumn`` and ``numPartitions`` per table; where it leaves out
+    ``lowerBound`` and ``upperBound``, the database is asked for the least and the greatest key. A table without it is
+    read over one connection, which large tables should not be. Statements have no time limit unless ``options``
+    sets ``queryTimeout``."""
 
     def read(name: str) -> DataFrame:
         quoted = '"' + name.replace('"', '""') + '"'
-        reader = spark.read.format("jdbc").options(
-            url=url, user=user, password=password, dbtable=quoted, queryTimeout="30", fetchsize="10000"
-        )
-        return reader.options(**options, **(split or {}).get(name, {})).load()
+        parts = dict((split or {}).get(name, {}))
+        if "partitionColumn" in parts and "lowerBound" not in parts:
+            column = '"' + parts["partitionColumn"].replace('"', '""') + '"'
+            ends = load(query=f"select min({column}) as low, max({column}) as high from {quoted}").first()
+            if ends["low"] is None:
+                parts = {}  # no rows
+            else:
+                parts |= {"lowerBound": str(ends["low"]), "upperBound": str(ends["high"])}
+        return load(dbtable=quoted, **parts)
+
+    def load(**what: str) -> DataFrame:
+        reader = spark.read.format("jdbc").options(url=url, user=user, password=password, fetchsize="10000")
+        return reader.options(**options).options(**what).load()
 
     return read
 
