@@ -2,12 +2,12 @@ import numpy as np
 import pytest
 
 from treeloom.llm import ngram_join as op
-from treeloom.llm.common import WORD, Groups, WordHashes, components, gram_hashes
+from treeloom.llm.common import Groups, WordHashes, components, gram_hashes
 
 
 def brute(rows, threshold=0.8):
     hashes = WordHashes()
-    sets = [set(gram_hashes(hashes.of(WORD.findall((text or "").lower())), 5).tolist()) for _, text in rows]
+    sets = [set(gram_hashes(hashes.of_text(text), 5).tolist()) for _, text in rows]
     links, groups = [0] * len(rows), Groups(len(rows))
     for i in range(len(rows)):
         for j in range(i):

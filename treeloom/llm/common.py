@@ -11,27 +11,43 @@ from pyspark.sql import functions as F
 
 from treeloom.operators.checkpoints import checkpointed
 
-WORD = re.compile(r"\w+")
+OTHER = re.compile(r"\W+")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def plain_word(word: str) -> str:
+    """A lower-cased word without any characters but letters, digits and underscores."""
+    return OTHER.sub("", word)
+
+
 class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound (the words repeat; the bound only limits memory)."""
+    """64-bit hashes of words in their normal form, 0 where that is empty. Words lie between white space and are
+    lower-cased; hashes are remembered up to a bound (words repeat; the bound only limits memory)."""
 
-    BOUND = 400_000
+    BOUND = 1_000_000
+
+    def __init__(self, normal=plain_word):
+        super().__init__()
+        self.normal = normal
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.BOUND:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        normal = self.normal(word)
+        value = self[word] = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass")) or 1 if normal else 0
         return value
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+    def of_text(self, text: str | None) -> np.ndarray:
+        """The hashes of a text's words, without empty ones."""
+        values = self.of((text or "").lower().split())
+        return values[values != 0]
+
 
 def mixed(values: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values, so that sums of word hashes spread over all bits."""
@@ -76,22 +92,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def in_blocks(members: DataFrame, most_rows: int, most_weight: int) -> DataFrame:
-    """Groups dealt out so that no task gets a large one whole. ``members`` (id, root, weight, …) gain ``block``,
-    ``left``, ``right``: a group is cut into blocks of about ``most_rows`` rows and ``most_weight``, and each
-    pair of its blocks (left, right) is one unit of work. A group that fits is one unit (0, 0); a member of a
-    larger one goes to as many units as the group has blocks. Pairs are compared inside units, never emitted.
-    """
+    """``members`` (id, root, weight, …) with ``block`` and ``blocks``: a group is cut into blocks of about ``most_rows``
+    rows and ``most_weight``, so that no task gets a large group whole."""
     sizes = members.groupBy("root").agg(
         F.greatest(
             F.ceil(F.count(F.lit(1)) / F.lit(most_rows)), F.ceil(F.sum("weight") / F.lit(most_weight)), F.lit(1)
         ).cast("int").alias("blocks")
     )
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    return members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
+def as_units(rows: DataFrame) -> DataFrame:
+    """Rows with a block go to every unit of work of their group: the pairs of its blocks (``left``, ``right``). A group
+    of one block is one unit. Pairs of rows are compared inside units, never emitted."""
     return (
-        members.join(sizes, "root").withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other"))
-        .drop("other")
+        rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("left", F.least("block", "other")).withColumn("right", F.greatest("block", "other")).drop("other", "blocks")
     )
 
 

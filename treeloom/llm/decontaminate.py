@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import WORD, WordHashes, gram_hashes
+from treeloom.llm.common import WordHashes, gram_hashes
 from treeloom.operators.checkpoints import checkpointed
 
 MATCH, OTHER, GAP = 2, -1, -1
@@ -30,7 +30,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
         hashes = WordHashes()
-        words = [(key, hashes.of(WORD.findall((text or "").lower()))) for key, text in rows]
+        words = [(key, hashes.of_text(text)) for key, text in rows]
         words = [(key, w) for key, w in words if len(w)]
         self.ids, self.words = [key for key, _ in words], [w for _, w in words]
         self.sizes = sorted({min(n, len(w)) for w in self.words})
@@ -40,7 +40,12 @@ class Items:
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams, self.owner, self.place = grams[order], self.owner[order], self.place[order]
+        self._index()
+
+    def _index(self) -> None:
         self.seeds = np.unique(self.grams)
+        self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a seed
+        self.maybe[self.seeds >> np.uint64(44)] = True
 
     def keep_rare(self, documents: dict[int, int]) -> None:
         """Keep the rarer half of each item's n-grams (ties: the earlier ones)."""
@@ -52,15 +57,16 @@ class Items:
         rank = np.arange(len(owner)) - np.repeat(starts, sizes)
         kept = np.sort(order[rank < np.repeat((sizes + 1) // 2, sizes)])
         self.grams, self.owner, self.place = self.grams[kept], self.owner[kept], self.place[kept]
-        self.seeds = np.unique(self.grams)
+        self._index()
 
     def found(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in the document, seeds there), for each n-gram size in use."""
         for size in self.sizes:
             if len(words) >= size:
                 grams = gram_hashes(words, size)
-                at = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
-                hit = np.flatnonzero(self.seeds[at] == grams)
+                hit = np.flatnonzero(self.maybe[grams >> np.uint64(44)])
+                at = np.minimum(np.searchsorted(self.seeds, grams[hit]), len(self.seeds) - 1)
+                hit = hit[self.seeds[at] == grams[hit]]
                 yield hit, grams[hit]
 
 
@@ -70,7 +76,7 @@ def _count(items):
         for batch in batches:
             held = []
             for text in batch["text"]:
-                for _, seeds in items.value.found(hashes.of(WORD.findall((text or "").lower()))):
+                for _, seeds in items.value.found(hashes.of_text(text)):
                     held.append(np.unique(seeds))
             seeds, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pd.DataFrame({"seed": seeds.view(np.int64), "n": counts})
@@ -119,7 +125,7 @@ def _search(items, least: float):
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                words = hashes.of(WORD.findall((text or "").lower()))
+                words = hashes.of_text(text)
                 near: dict[int, list[tuple[int, int]]] = {}
                 for places, seeds in known.found(words):
                     low, high = np.searchsorted(known.grams, seeds), np.searchsorted(known.grams, seeds, "right")
@@ -143,7 +149,7 @@ def contaminated(
     """``doc_id``, ``item_id``, ``score`` (0 to 1), ``first_word``, ``last_word`` (of the aligned passage, words of
     the document counted from 0) for each document row and test item with a score of at least ``least``.
 
-    Words are runs of letters, digits and underscores, lower-cased. Null, empty and wordless texts on either side
+    Words lie between white space, lower-cased, without characters other than letters, digits and underscores. Null, empty and wordless texts on either side
     match nothing; an item of fewer than ``n`` words is its own seed. Repeated rows are answered for each row
     (repeated items once per distinct id and text); ids may be null. Other columns are ignored; an empty table on
     either side gives an empty result.

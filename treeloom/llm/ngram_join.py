@@ -1,6 +1,7 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
-Words are runs of letters, digits and underscores of the lower-cased text; an n-gram is ``n`` words in a row (a text
+Words lie between white space; they are lower-cased and lose all characters but letters, digits and underscores
+(words that are then empty go). An n-gram is ``n`` words in a row (a text
 of fewer words is one n-gram). Documents with the same words in the same order are copies and are joined once,
 through the copy with the smallest id. The number of bands and rows follows from the recall wanted at the threshold.
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import WORD, Groups, WordHashes, components, gram_hashes, in_blocks, mixed
+from treeloom.llm.common import Groups, WordHashes, as_units, components, gram_hashes, in_blocks, mixed
 from treeloom.operators.checkpoints import checkpointed
 
 BLOCK_ROWS = 1024
@@ -38,8 +39,8 @@ def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int,
     return best
 
 
-def _digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))
+def _digest(words: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(words.tobytes())
 
 
 def _sets(n: int):
@@ -50,11 +51,11 @@ def _sets(n: int):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                words = WORD.findall((row.text or "").lower())
+                words = hashes.of_text(row.text)
                 if _digest(words) == row.digest:
-                    grams = np.unique(gram_hashes(hashes.of(words), n))
-                    out.append((row.node, row.copies, row.root, row.weight, grams.tobytes()))
-            yield pd.DataFrame(out, columns=["id", "copies", "root", "weight", "set"])
+                    grams = np.unique(gram_hashes(words, n))
+                    out.append((row.node, row.copies, row.root, row.block, row.blocks, grams.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "copies", "root", "block", "blocks", "set"])
 
     return built
 
@@ -70,8 +71,8 @@ def _signatures(n: int, bands: int, rows: int):
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                words = WORD.findall((text or "").lower())
-                grams = np.unique(gram_hashes(hashes.of(words), n))
+                words = hashes.of_text(text)
+                grams = np.unique(gram_hashes(words, n))
                 keys = None
                 if len(grams):
                     low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
@@ -186,12 +187,11 @@ def ngram_join(
     keyed = unique.select("node", F.explode("bands").alias("band"))
     first = keyed.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = components(keyed.join(first, "band").select("a", F.col("node").alias("b")))
-    members = unique.join(found, "node").select(
-        F.col("least").alias("id"), "digest", "copies", "node", "root", F.col("grams").cast("long").alias("weight")
-    )
-    sets = texts.join(members, "id").mapInPandas(_sets(n), "id long, copies long, root long, weight long, set binary")
+    members = unique.join(found, "node").select(F.col("node").alias("id"), "least", "digest", "copies", "root", F.col("grams").alias("weight"))
+    members = in_blocks(members, BLOCK_ROWS, BLOCK_GRAMS).select(F.col("id").alias("node"), F.col("least").alias("id"), "digest", "copies", "root", "block", "blocks")
+    sets = texts.join(members, "id").mapInPandas(_sets(n), "id long, copies long, root long, block int, blocks int, set binary")
     compared = checkpointed(
-        in_blocks(sets, BLOCK_ROWS, BLOCK_GRAMS).groupBy("root", "left", "right")
+        as_units(sets).groupBy("root", "left", "right")
         .applyInPandas(_compare(threshold), "node long, links long, low long")
     )
     linked = compared.groupBy("node").agg(F.sum("links").alias("links"))

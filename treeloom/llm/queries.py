@@ -18,9 +18,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def ready(spark: SparkSession) -> None:
-    """Small Arrow batches: long texts must not add up in a Python worker."""
+    """Arrow batches are bounded by bytes: long texts must not add up in a Python worker."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
