@@ -27,45 +27,47 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 ODD = regex.compile(r"[\x1c-\x1f\u0250-\U0010ffff]|<\|")
 
 
-class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. Words between white space are encoded once and remembered,
-    which gives the tokenizer's ids because it never merges across white space; texts with special tokens or
-    letters beyond the first Unicode blocks go through the tokenizer whole."""
+def byte_letters() -> dict[int, int]:
+    """The letters under which byte-level vocabularies keep bytes: visible ones stand for themselves, the others, in
+    order, for the letters from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [byte for byte in range(256) if byte not in visible]
+    return {byte: 256 + place for place, byte in enumerate(hidden)}
 
-    BOUND = 500_000
+
+class Encoder(dict):
+    """Token ids as little-endian unsigned 32-bit bytes. Words between white space are cut into the tokenizer's pieces
+    and these are merged by its model, once; both are remembered. The tokenizer never merges across pieces, so the
+    ids are its own. Texts with special tokens or letters beyond the first Unicode blocks go through it whole."""
+
+    BOUND = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer, self.letters = Tokenizer.from_file(path), byte_letters()
+        self.merge = self.tokenizer.model.tokenize
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def __missing__(self, word: str) -> bytes:
+        pieces = PIECES.findall(word)
+        if pieces == [word]:
+            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = np.array([token.id for token in self.merge(letters)], "<u4").tobytes()
+        else:
+            ids = b"".join([self[piece] for piece in pieces])
+        self[word] = ids
+        return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if ODD.search(text) or not unicodedata.is_normalized("NFC", text):
-            return self._ids(text.encode("utf-8", "replace").decode("utf-8")).tobytes()
-        words, known = text.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.BOUND:
-                known.clear()
-            self._learn([word for word in dict.fromkeys(words) if word not in known])
-            return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call; tokens go to words by the number of the word's pieces."""
-        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        of_piece = np.bincount([piece for piece in encoded.word_ids if piece is not None])
-        pieces = np.cumsum([len(PIECES.findall(word)) for word in words])
-        ends = np.cumsum(of_piece)[pieces - 1] * 4
-        ids, start = np.array(encoded.ids, "<u4").tobytes(), 0
-        for word, end in zip(words, ends.tolist()):
-            self.known[word] = ids[start:end]
-            start = end
+            whole = self.tokenizer.encode(text.encode("utf-8", "replace").decode("utf-8"), add_special_tokens=False)
+            return np.array(whole.ids, "<u4").tobytes()
+        if len(self) > self.BOUND:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 @dataclass(frozen=True)
