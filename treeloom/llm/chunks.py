@@ -16,8 +16,6 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeloom.operators.checkpoints import checkpointed
-
 GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 MASK = np.uint32(0b11111 << 27)  # high bits: they depend on the last 28 to 32 bytes; on average every 32nd place ends a chunk
 SHORTEST, LONGEST = 16, 256
@@ -91,7 +89,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks. Rows that repeat both id and text are one document. A null id counts as the smallest. Other columns are
     ignored; an empty table gives an empty result.
     """
-    cut = checkpointed(chunks(docs, id_col, text_col))
+    cut = chunks(docs, id_col, text_col)  # cut twice rather than kept: cutting costs less than the disk
     place = F.struct("id", "of_text", "chunk")
     first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     again = (
