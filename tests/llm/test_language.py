@@ -34,6 +34,19 @@ def test_forward_sums_all_segmentations():
         assert counts <= len(word) + 1e-9
 
 
+def test_side_by_side_sums_equal_the_forward_algorithm():
+    pieces = ["▁", "a", "b", "▁ab", "ab", "ba", "aba"]
+    model = op.Model(["x", "y"], pieces, [[0.3, 0.1, 0.2, 0.1, 0.1, 0.1, 0.1], [0.1, 0.3, 0.1, 0.2, 0.1, 0.1, 0.1]])
+    scores = op.WordScores(model)
+    for word in ("▁ab", "▁abab", "▁" + "abxa" * 5, "▁" + "ab" * 200):
+        edges = model.lattice.edges(word)
+        want = [op.log_chance(edges, len(word), chance) for chance in model.chances]
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(scores.logs(word), want))
+    row = scores.rows[scores["ab,ba!"]]
+    assert row[-1] == 2 and math.isclose(row[0], sum(scores.logs("▁" + w)[0] for w in ("ab", "ba")))
+    assert scores.rows[scores["12"]].tolist() == [0, 0, 0]
+
+
 def test_long_words_do_not_underflow():
     lattice = op.Lattice(["a", "aa"])
     word = "a" * 5000 + "x" * 100

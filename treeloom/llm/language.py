@@ -94,26 +94,48 @@ class WordScores(dict):
     """Log probabilities of words between white space under every language, remembered up to a bound. A row of
     the table holds a word's sums over its runs of letters, and how many it has."""
 
-    BOUND = 300_000
+    BOUND = 1_000_000
+    SHORT = 24  # the probability of a run of so many letters is far from the smallest number
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.lattice = model, model.lattice
+        self.chances = dict(zip(model.pieces, zip(*model.chances)))
+        self.unknown = (UNKNOWN,) * len(model.languages)
         self.rows = np.zeros((4096, len(model.languages) + 1))
 
     def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
+        runs = LETTERS.findall(word)
+        if runs == [word]:
+            row = np.array([*self.logs(START + word), 1.0])
+        else:
+            row = self.rows[[self[run] for run in runs]].sum(axis=0)
+        place = len(self)
         if place == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        row = np.zeros(self.rows.shape[1])
-        for run in LETTERS.findall(word):
-            run = START + run
-            edges = self.lattice.edges(run)
-            row[:-1] += [log_chance(edges, len(run), chance) for chance in self.model.chances]
-            row[-1] += 1
         self.rows[place] = row
+        self[word] = place
         return place
 
+    def logs(self, run: str) -> list[float]:
+        """The forward sums of all languages side by side."""
+        size, get, longest = len(run), self.chances.get, self.lattice.longest
+        if size > self.SHORT:
+            edges = self.lattice.edges(run)
+            return [log_chance(edges, size, chance) for chance in self.model.chances]
+        none = [0.0] * len(self.unknown)
+        sums = [[1.0] * len(none)] + [none] * size
+        for start in range(size):
+            here = sums[start]
+            for end in range(start + 1, min(size, start + longest) + 1):
+                chance = get(run[start:end])
+                if chance is None:
+                    if end > start + 1:
+                        continue
+                    chance = self.unknown
+                sums[end] = [total + part * each for total, part, each in zip(sums[end], here, chance)]
+        return list(map(math.log, sums[size]))
+
     def predict(self, text: str | None) -> tuple[str, float]:
         if len(self) > self.BOUND:
             self.clear()
