@@ -74,6 +74,13 @@ def _catalog() -> str:
         "lineitem": ["l_orderkey bigint", "l_partkey bigint", "l_suppkey bigint", "l_linenumber int", "l_quantity double",
                      "l_extendedprice double", "l_discount double", "l_tax double", "l_returnflag string",
                      "l_linestatus string", "l_shipdate timestamp_ntz"],
+        "events": ["event_id bigint", "ts timestamp_ntz", "user_id bigint", "event_type string", "value double", "props string"],
+        "documents": ["doc_id bigint", "text string", "lang string", "source string", "n_chars bigint"],
+        "embeddings": ["vec_id bigint", "embedding array<float>", "label int"],
+        "pages": ["page_id bigint", "url string", "html string"],
+        "benchmark": ["item_id bigint", "text string"],
+        "labels": ["doc_id bigint", "quality int", "toxic int"],
+        "conversations": ["conv_id bigint", "turn bigint", "role string", "text string"],
     }
     references = {
         "n_regionkey": ("region", "r_regionkey"), "c_nationkey": ("nation", "n_nationkey"),
@@ -87,7 +94,7 @@ def _catalog() -> str:
             key = "false"
             if number == 1:
                 key = f"(SELECT count(*) = count(DISTINCT {name}) FROM {table})"
-            target = references.get(name)
+            target = ("documents", "doc_id") if (table, name) == ("labels", "doc_id") else references.get(name)
             fk = f"'{target[0]}', '{target[1]}'" if target else "CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
             rows.append(
                 f"SELECT '{table}' AS table_name, {number} AS ordinal, '{name}' AS column_name, '{kind}' AS data_type, "

@@ -29,7 +29,7 @@ from treeloom.plans.cells import typed_cells
 from treeloom.plans.flat import flat_export, nested_export, tree_export
 from treeloom.plans.lines import csv_lines, document_lines, flat_json_lines
 from treeloom.sinks.package import format_of, package_name, verify_package, write_package
-from treeloom.sources.catalog import observed_catalog, suggest_joins
+from treeloom.sources.catalog import observed_catalog, schema_catalog, suggest_joins
 from treeloom.sources.tables import Resolve, parquet_tables, with_views
 
 NOW = datetime(1998, 6, 1, tzinfo=timezone.utc)
@@ -444,13 +444,14 @@ def package_file_names(t: Resolve) -> DataFrame:
 
 PRIMARY_KEYS = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey",
-    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey",
+    "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id",
+    "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id",
 }
 FOREIGN_KEYS = [
     ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
     ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
     ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
-    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"),
 ]
 
 
@@ -459,7 +460,7 @@ def catalog_columns(t: Resolve) -> DataFrame:
 
 
 def suggested_joins(t: Resolve) -> DataFrame:
-    return suggest_joins(catalog_columns(t), "nation", [("supplier", "s_nationkey", "n_nationkey")])
+    return suggest_joins(schema_catalog(t, list(PRIMARY_KEYS), PRIMARY_KEYS, FOREIGN_KEYS), "nation", [("supplier", "s_nationkey", "n_nationkey")])
 
 
 # --- ledger -------------------------------------------------------------------------------------

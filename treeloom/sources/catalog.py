@@ -34,6 +34,43 @@ def by_table(found: DataFrame) -> DataFrame:
     return found.groupBy("table_name").agg(F.sort_array(F.collect_list(column)).alias("columns"))
 
 
+def declared_catalog(
+    columns: DataFrame, constraints: DataFrame, key_columns: DataFrame, referenced: DataFrame, schema: str = "public"
+) -> DataFrame:
+    """The catalog of a database, from frames shaped like the views of its ``information_schema``: ``columns``,
+    ``table_constraints``, ``key_column_usage`` and ``constraint_column_usage``. Only these are read, no data."""
+    here = F.col("table_schema") == schema
+    described = columns.where(here).select(
+        "table_name", F.col("ordinal_position").cast("int").alias("ordinal"), "column_name", "data_type",
+        (F.upper("is_nullable") == "YES").alias("nullable"),
+    )
+    named = constraints.where(here).select("constraint_name", "table_name", "constraint_type")
+    used = key_columns.where(here).select("constraint_name", "table_name", "column_name").join(named, ["constraint_name", "table_name"])
+    primary = used.where("constraint_type = 'PRIMARY KEY'").select("table_name", "column_name")
+    target = referenced.select("constraint_name", F.col("table_name").alias("fk_table"), F.col("column_name").alias("fk_column"))
+    foreign = used.where("constraint_type = 'FOREIGN KEY'").join(target, "constraint_name").select("table_name", "column_name", "fk_table", "fk_column")
+    return catalog(described, primary, foreign)
+
+
+def information_schema(resolve: Resolve, schema: str = "public") -> DataFrame:
+    """The catalog of a resolver that reads a database's ``information_schema``."""
+    views = ("columns", "table_constraints", "key_column_usage", "constraint_column_usage")
+    return declared_catalog(*[resolve(f"information_schema.{view}") for view in views], schema)
+
+
+def schema_catalog(
+    resolve: Resolve, tables: list[str], primary_keys: dict[str, str], foreign_keys: list[tuple[str, str, str, str]]
+) -> DataFrame:
+    """The catalog of files from their schemas and declared keys; no data is read."""
+    spark = resolve(tables[0]).sparkSession
+    rows = [
+        (table, number, field.name, field.dataType.simpleString(), field.nullable)
+        for table in tables for number, field in enumerate(resolve(table).schema.fields, 1)
+    ]
+    keys = spark.createDataFrame(list(primary_keys.items()), PRIMARY_KEYS)
+    return catalog(spark.createDataFrame(rows, COLUMNS), keys, spark.createDataFrame(foreign_keys, FOREIGN_KEYS))
+
+
 def observed_catalog(
     resolve: Resolve, tables: list[str], primary_keys: dict[str, str], foreign_keys: list[tuple[str, str, str, str]]
 ) -> DataFrame:

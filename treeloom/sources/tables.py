@@ -21,13 +21,13 @@ def session_tables(spark: SparkSession) -> Resolve:
 def jdbc_tables(
     spark: SparkSession, url: str, user: str, password: str, split: dict[str, dict] | None = None, **options: str
 ) -> Resolve:
-    """Tables of a database. ``split`` gives ``partitionColumn`` and ``numPartitions`` per table; where it leaves out
+    """Tables of a database, by name or by ``schema.name``. ``split`` gives ``partitionColumn`` and ``numPartitions`` per table; where it leaves out
     ``lowerBound`` and ``upperBound``, the database is asked for the least and the greatest key. A table without it is
     read over one connection, which large tables should not be. Statements have no time limit unless ``options``
     sets ``queryTimeout``."""
 
     def read(name: str) -> DataFrame:
-        quoted = '"' + name.replace('"', '""') + '"'
+        quoted = ".".join('"' + part.replace('"', '""') + '"' for part in name.split("."))
         parts = dict((split or {}).get(name, {}))
         if "partitionColumn" in parts and "lowerBound" not in parts:
             column = '"' + parts["partitionColumn"].replace('"', '""') + '"'
