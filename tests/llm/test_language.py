@@ -45,6 +45,9 @@ def test_side_by_side_sums_equal_the_forward_algorithm():
     row = scores.rows[scores["ab,ba!"]]
     assert row[-1] == 2 and math.isclose(row[0], sum(scores.logs("▁" + w)[0] for w in ("ab", "ba")))
     assert scores.rows[scores["12"]].tolist() == [0, 0, 0]
+    for number in range(5000):  # the table grows
+        word = "".join("ab"[number >> bit & 1] for bit in range(13))
+        assert scores.rows[scores[f"({word})"]].tolist() == scores.rows[scores[word]].tolist()
 
 
 def test_long_words_do_not_underflow():

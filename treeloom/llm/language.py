@@ -109,7 +109,8 @@ class WordScores(dict):
         if runs == [word]:
             row = np.array([*self.logs(START + word), 1.0])
         else:
-            row = self.rows[[self[run] for run in runs]].sum(axis=0)
+            places = [self[run] for run in runs]  # may replace the table by a larger one
+            row = self.rows[places].sum(axis=0)
         place = len(self)
         if place == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
