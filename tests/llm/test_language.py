@@ -47,7 +47,8 @@ def test_side_by_side_sums_equal_the_forward_algorithm():
     assert scores.rows[scores["12"]].tolist() == [0, 0, 0]
     for number in range(5000):  # the table grows
         word = "".join("ab"[number >> bit & 1] for bit in range(13))
-        assert scores.rows[scores[f"({word})"]].tolist() == scores.rows[scores[word]].tolist()
+        places = scores[f"({word})"], scores[word]
+        assert scores.rows[places[0]].tolist() == scores.rows[places[1]].tolist()
 
 
 def test_long_words_do_not_underflow():
