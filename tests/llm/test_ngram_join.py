@@ -2,12 +2,11 @@ import numpy as np
 import pytest
 
 from treeloom.llm import ngram_join as op
-from treeloom.llm.common import Groups, WordHashes, components, gram_hashes
+from treeloom.llm.common import Groups, components, gram_hashes, hash_words, words_of
 
 
 def brute(rows, threshold=0.8):
-    hashes = WordHashes()
-    sets = [set(gram_hashes(hashes.of_text(text), 5).tolist()) for _, text in rows]
+    sets = [set(gram_hashes(words_of(text), 5).tolist()) for _, text in rows]
     links, groups = [0] * len(rows), Groups(len(rows))
     for i in range(len(rows)):
         for j in range(i):
@@ -42,6 +41,17 @@ def test_bands_reach_the_recall():
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9995
 
 
+def test_words_in_pieces_and_long_words(prose, monkeypatch):
+    from treeloom.llm import common
+
+    text = prose(300, 1) + "\n" + "x" * 70_000 + " ende, Zwölf\tx_1 !!! (a)"
+    want = [hash_words(w.encode())[0][0] for w in common.cleaned(text).decode().split()]
+    assert len(set(want)) > 200 and words_of(text).tolist() == want
+    monkeypatch.setattr(common, "PIECE", 64)
+    assert words_of(text).tolist() == want
+    assert words_of("A, b-c") .tolist() == words_of("a bc!").tolist() and not len(words_of(" .,; "))
+
+
 def test_shared_counts():
     random = np.random.default_rng(1)
     sets = [np.unique(np.r_[random.integers(0, 400, 60), np.arange(1000, 1030)]).astype(np.uint64) for _ in range(40)]

@@ -6,17 +6,16 @@ from test_line_dedup import brute as dropped_lines
 from test_ngram_join import brute as classes
 from test_packing import check, ids_of
 from treeloom.llm import decontaminate, packing
-from treeloom.llm.common import WordHashes
+from treeloom.llm.common import words_of
 from treeloom.llm.queries import tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
 
 def holds_item(items, text):
-    hashes = WordHashes()
-    words = hashes.of_text(text)
+    words = words_of(text)
     for item in items:
-        item = hashes.of_text(item)
+        item = words_of(item)
         if len(item) and len(words) and decontaminate.alignment(item, words)[0] >= 0.5 * decontaminate.MATCH * len(item) - 1e-9:
             return True
     return False
@@ -66,6 +65,3 @@ def test_run_equals_the_stages_and_registers(spark):
     pieces = entry.queries()["pipeline"](spark, SF)
     assert pieces.where("start = 0").count() == pieces.select("doc_id").distinct().count() > 100
 
-
-def test_float_positions_do_not_matter():
-    assert np.array_equal(WordHashes().of_text("A b,c  D!"), WordHashes().of_text("a bc d"))

@@ -2,51 +2,58 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeloom.operators.checkpoints import checkpointed
 
-OTHER = re.compile(r"\W+")
+#: Bytes that words lose: ASCII without white space, letters, digits and the underscore.
+DROPPED = bytes(byte for byte in range(128) if not (chr(byte).isalnum() or byte in b"_ \t\n\r\x0b\x0c"))
+PIECE = 1 << 20
+_random = np.random.default_rng(13)
+LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64)
+POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def plain_word(word: str) -> str:
-    """A lower-cased word without any characters but letters, digits and underscores."""
-    return OTHER.sub("", word)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words in their normal form, 0 where that is empty. Words lie between white space and are
-    lower-cased; hashes are remembered up to a bound (words repeat; the bound only limits memory)."""
-
-    BOUND = 1_000_000
-
-    def __init__(self, normal=plain_word):
-        super().__init__()
-        self.normal = normal
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.BOUND:
-            self.clear()
-        normal = self.normal(word)
-        value = self[word] = xxhash.xxh3_64_intdigest(normal.encode("utf-8", "surrogatepass")) or 1 if normal else 0
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-    def of_text(self, text: str | None) -> np.ndarray:
-        """The hashes of a text's words, without empty ones."""
-        values = self.of((text or "").lower().split())
-        return values[values != 0]
+def cleaned(text: str | None) -> bytes:
+    """A lower-cased text in UTF-8 without ASCII punctuation and control characters."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, DROPPED)
+
+
+def hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words between white space of a cleaned text, and where each begins. A text is hashed in
+    pieces that end between words, so that memory does not follow its length."""
+    hashes, places, start = [], [], 0
+    while start < len(raw):
+        end = start + PIECE
+        if end < len(raw):
+            cut = max(raw.rfind(b" ", start, end), raw.rfind(b"\n", start, end))
+            after = [at for at in (raw.find(b" ", end), raw.find(b"\n", end)) if at >= 0]
+            end = cut + 1 if cut >= start else min(after, default=len(raw))
+        data = np.frombuffer(raw[start:end], np.uint8)
+        inside = data > 32
+        spots = np.flatnonzero(inside)
+        if len(spots):
+            first = np.flatnonzero(np.r_[True, np.diff(spots) > 1])
+            sizes = np.diff(np.r_[first, len(spots)])
+            place = np.arange(len(spots)) - np.repeat(first, sizes)
+            sums = np.add.reduceat(LETTER[data[spots]] * POWER[place & 0xFFFF], first)
+            hashes.append(mixed(sums + sizes.astype(np.uint64)))
+            places.append(spots[first] + start)
+        start = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def words_of(text: str | None) -> np.ndarray:
+    """The hashes of a text's words in order."""
+    return hash_words(cleaned(text))[0]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import WordHashes, gram_hashes
+from treeloom.llm.common import gram_hashes, words_of
 from treeloom.operators.checkpoints import checkpointed
 
 MATCH, OTHER, GAP = 2, -1, -1
@@ -29,8 +29,7 @@ class Items:
     """Words and n-grams of a block of test items, ready to be looked up."""
 
     def __init__(self, rows: list[tuple[int, str]], n: int):
-        hashes = WordHashes()
-        words = [(key, hashes.of_text(text)) for key, text in rows]
+        words = [(key, words_of(text)) for key, text in rows]
         words = [(key, w) for key, w in words if len(w)]
         self.ids, self.words = [key for key, _ in words], [w for _, w in words]
         self.sizes = sorted({min(n, len(w)) for w in self.words})
@@ -72,11 +71,10 @@ class Items:
 
 def _count(items):
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             held = []
             for text in batch["text"]:
-                for _, seeds in items.value.found(hashes.of_text(text)):
+                for _, seeds in items.value.found(words_of(text)):
                     held.append(np.unique(seeds))
             seeds, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pd.DataFrame({"seed": seeds.view(np.int64), "n": counts})
@@ -121,11 +119,11 @@ def best_passage(item: np.ndarray, words: np.ndarray, places: np.ndarray, offset
 
 def _search(items, least: float):
     def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, known = WordHashes(), items.value
+        known = items.value
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                words = hashes.of_text(text)
+                words = words_of(text)
                 near: dict[int, list[tuple[int, int]]] = {}
                 for places, seeds in known.found(words):
                     low, high = np.searchsorted(known.grams, seeds), np.searchsorted(known.grams, seeds, "right")
@@ -149,7 +147,7 @@ def contaminated(
     """``doc_id``, ``item_id``, ``score`` (0 to 1), ``first_word``, ``last_word`` (of the aligned passage, words of
     the document counted from 0) for each document row and test item with a score of at least ``least``.
 
-    Words lie between white space, lower-cased, without characters other than letters, digits and underscores. Null, empty and wordless texts on either side
+    Words lie between white space, lower-cased, without ASCII punctuation. Null, empty and wordless texts on either side
     match nothing; an item of fewer than ``n`` words is its own seed. Repeated rows are answered for each row
     (repeated items once per distinct id and text); ids may be null. Other columns are ignored; an empty table on
     either side gives an empty result.

@@ -1,7 +1,6 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
-Words lie between white space; they are lower-cased and lose all characters but letters, digits and underscores
-(words that are then empty go). An n-gram is ``n`` words in a row (a text
+Words lie between white space; they are lower-cased and lose ASCII punctuation (words that are then empty go). An n-gram is ``n`` words in a row (a text
 of fewer words is one n-gram). Documents with the same words in the same order are copies and are joined once,
 through the copy with the smallest id. The number of bands and rows follows from the recall wanted at the threshold.
 
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import Groups, WordHashes, as_units, components, gram_hashes, in_blocks, mixed
+from treeloom.llm.common import Groups, as_units, components, gram_hashes, in_blocks, mixed, words_of
 from treeloom.operators.checkpoints import checkpointed
 
 BLOCK_ROWS = 1024
@@ -47,11 +46,10 @@ def _sets(n: int):
     """Of the rows with a member's id those that have its words, with their n-gram sets."""
 
     def built(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                words = hashes.of_text(row.text)
+                words = words_of(row.text)
                 if _digest(words) == row.digest:
                     grams = np.unique(gram_hashes(words, n))
                     out.append((row.node, row.copies, row.root, row.block, row.blocks, grams.tobytes()))
@@ -67,11 +65,10 @@ def _signatures(n: int, bands: int, rows: int):
     place = np.arange(bands, dtype=np.uint64) + np.uint64(1)
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for key, text in zip(batch["id"], batch["text"]):
-                words = hashes.of_text(text)
+                words = words_of(text)
                 grams = np.unique(gram_hashes(words, n))
                 keys = None
                 if len(grams):
