@@ -241,3 +241,33 @@ def test_plans_read_only_what_they_use(spark):
     assert "o_totalprice" not in plan and "PushedFilters: [IsNotNull(o_orderpriority)" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
+
+
+def test_mixed_key_types_join_exactly_when_salted(spark):
+    from decimal import Decimal
+
+    kinds = {
+        "double": [float(n % 7) for n in range(60)] + [-0.0, float("nan"), None], "decimal(12,3)": [Decimal(n % 7) for n in range(60)] + [Decimal("2.500"), None],
+        "float": [float(n % 7) for n in range(60)], "bigint": [n % 7 for n in range(60)],
+    }
+    child = {"int": [(n, f"c{n}") for n in range(7)], "decimal(10,1)": [(Decimal(n), f"c{n}") for n in range(7)], "double": [(float(n), f"c{n}") for n in range(7)]}
+    tree = root(scalar("n"), obj("one", "child", "k", "key", scalar("v")), array("many", "child", "k", "key", scalar("v")))
+    for kind, keys in kinds.items():
+        parents = spark.createDataFrame(list(enumerate(keys)), f"n int, key {kind}")
+        for other, rows in child.items():
+            tables = {"parent": parents, "child": spark.createDataFrame(rows, f"k {other}, v string")}
+            lines = TreeExport(tables.__getitem__, "parent", tree, keys=["n"], heavy_rows=1, broadcast_bytes=-1).json_lines().collect()
+            for row in lines:
+                key = keys[row["n"]]
+                found = None if key is None or key != key or key != int(key) else f"c{int(key)}"
+                want = {"n": str(row["n"]), "one": {"v": found} if found else None, "many": [{"v": found}] if found else []}
+                assert json.loads(row["json"]) == want
+
+
+def test_large_lookups_are_cut_to_filtered_parents(shop):
+    resolve, _ = shop
+    tree = root(scalar("id"), obj("home", "city", "id", "city_id", scalar("name")), filter="name = 'Nord'")
+    export = TreeExport(resolve, "maker", tree, broadcast_bytes=-1)
+    df = export.json_lines()
+    assert "LeftSemi" in df._jdf.queryExecution().executedPlan().toString()
+    assert [json.loads(r["json"]) for r in df.collect()] == [{"id": "m1", "home": {"name": "Hub"}}]

@@ -386,7 +386,9 @@ class TreeExport:
     def _children(self, planned: _Planned) -> DataFrame:
         rows = self._read(planned)
         if planned.node.kind != "array":
-            return rows
+            # A large lookup of few parents is cut to their keys before its content is shuffled.
+            few = self._limited is None and _narrowed(planned) and not self._is_small_side(planned)
+            return self._reduced(planned, rows) if few else rows
         rows = self._within_budget(planned, rows)
         return self._reduced(planned, rows) if self._limited is None and _narrowed(planned) else rows
 
