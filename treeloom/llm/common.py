@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,6 +121,29 @@ def as_units(rows: DataFrame) -> DataFrame:
     )
 
 
+def each_unit(rows: DataFrame, function: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """``function`` of every unit (rows of the same ``root``, ``left`` and ``right``, as arrays). Units are small and many:
+    they are dealt to tasks in buckets, several to a shuffle partition."""
+    buckets = 8 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def answered(bucket: pd.DataFrame) -> pd.DataFrame:
+        columns = {name: bucket[name].to_numpy() for name in bucket.columns}
+        keys = [columns[name] for name in ("right", "left", "root")]
+        order = np.lexsort(keys)
+        new = np.zeros(len(order), bool)
+        for key in keys:
+            new[1:] |= np.diff(key[order]) != 0
+        starts = np.r_[0, np.flatnonzero(new)]
+        found = [
+            function({name: values[order[a:b]] for name, values in columns.items()})
+            for a, b in zip(starts, np.r_[starts[1:], len(order)])
+        ]
+        return pd.DataFrame({name: np.concatenate([each[name] for each in found]) for name in found[0]})
+
+    bucket = F.pmod(F.xxhash64("root", "left", "right"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(answered, schema)
+
+
 class Groups:
     """Union-find over positions; the smallest position of a group is its root."""
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeloom.llm.common import Groups, as_units, components, gram_hashes, in_blocks, mixed, words_of
+from treeloom.llm.common import Groups, as_units, components, each_unit, gram_hashes, in_blocks, mixed, words_of
 from treeloom.operators.checkpoints import checkpointed
 
 BLOCK_ROWS = 1024
@@ -128,20 +128,19 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare(threshold: float):
-    def compared(unit: pd.DataFrame) -> pd.DataFrame:
-        unit = unit.drop_duplicates("id")  # rows that repeat both id and text
-        sets = [np.frombuffer(s, np.uint64) for s in unit["set"]]
+    def compared(unit: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        ids, first = np.unique(unit["id"], return_index=True)  # rows that repeat both id and text
+        sets = [np.frombuffer(unit["set"][at], np.uint64) for at in first]
+        copies, block = unit["copies"][first], unit["block"][first]
         sizes = np.array([len(s) for s in sets], np.float64)
         shared = shared_counts(sets).astype(np.float64)
         # shared / union >= threshold, without dividing
         linked = shared * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
         np.fill_diagonal(linked, False)
-        block = unit["block"].to_numpy()
-        if unit["left"].iat[0] != unit["right"].iat[0]:
+        if unit["left"][0] != unit["right"][0]:
             linked &= block[:, None] != block[None, :]
-        ids, groups = unit["id"].to_numpy(), Groups(len(unit))
-        left = np.ones(len(unit), bool)
-        for at in range(len(unit)):  # a walk through each group: one link for each new member
+        groups, left = Groups(len(ids)), np.ones(len(ids), bool)
+        for at in range(len(ids)):  # a walk through each group: one link for each new member
             if not left[at]:
                 continue
             left[at], front = False, [at]
@@ -152,8 +151,7 @@ def _compare(threshold: float):
                 for other in new:
                     groups.link(here, int(other))
                 front.extend(new.tolist())
-        links = linked @ unit["copies"].to_numpy()
-        return pd.DataFrame({"node": ids, "links": links, "low": [ids[groups.root(i)] for i in range(len(unit))]})
+        return {"node": ids, "links": linked @ copies, "low": ids[[groups.root(at) for at in range(len(ids))]]}
 
     return compared
 
@@ -188,8 +186,7 @@ def ngram_join(
     members = in_blocks(members, BLOCK_ROWS, BLOCK_GRAMS).select(F.col("id").alias("node"), F.col("least").alias("id"), "digest", "copies", "root", "block", "blocks")
     sets = texts.join(members, "id").mapInPandas(_sets(n), "id long, copies long, root long, block int, blocks int, set binary")
     compared = checkpointed(
-        as_units(sets).groupBy("root", "left", "right")
-        .applyInPandas(_compare(threshold), "node long, links long, low long")
+        each_unit(as_units(sets), _compare(threshold), "node long, links long, low long")
     )
     linked = compared.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(compared.select(F.col("node").alias("a"), F.col("low").alias("b")))
