@@ -37,7 +37,7 @@ def test_document_files_in_name_order_are_the_document(shop, tmp_path):
     resolve, _ = shop
     tree = root(scalar("id"), array("a", "address", "maker_id", "id", scalar("city"), order_by=("no",)), filter="id is not null")
     export = tree_export(resolve, "maker", tree, keys=["id"], record_bytes=80)
-    write_document(document_lines(export, None, AT), export.keys, str(tmp_path / "doc"))
+    write_document(document_lines(export, None, AT), str(tmp_path / "doc"))
     text = "".join(open(f).read() for f in sorted(glob.glob(str(tmp_path / "doc" / "part-*"))))
     records = json.loads(text)["records"]
     assert [(r["id"], len(r["a"])) for r in records] == [("m1", 4), ("m2", 0), ("m3", 1)]
