@@ -127,8 +127,8 @@ def build_index(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     """``id`` and the ``kinds`` whose query its postings satisfy."""
     clauses = [(kind, number, len(grams), gram) for kind, query in queries.items() for number, grams in enumerate(query) for gram in grams]
-    spark = index.sparkSession
-    wanted = spark.createDataFrame(clauses, "kind string, clause int, size int, gram string")  # as small as the rules
+    each = [F.struct(*[F.lit(value).alias(name) for name, value in zip(("kind", "clause", "size", "gram"), row)]) for row in clauses]
+    wanted = index.sparkSession.range(1).select(F.inline(F.array(*each)))  # as small as the rules
     met = index.join(F.broadcast(wanted), "gram").groupBy("id", "kind", "clause").agg(
         F.countDistinct("gram").alias("n"), F.first("size").alias("size")
     )
