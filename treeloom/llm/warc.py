@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from treeloom.operators.checkpoints import checkpointed, shared_folder
 
 PIECE = 1 << 20
-LEVEL = 3
+LEVEL = 6  # the usual one
 NAME = "https://record.invalid/"
 DATE = "2026-01-01T00:00:00Z"
 
