@@ -9,6 +9,7 @@ queries need for the recall wanted, and is answered there by exact inner product
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,8 +50,8 @@ class Router:
 def nearest(vectors: np.ndarray, queries: np.ndarray, count: int) -> np.ndarray:
     """Positions of the largest inner products, for each query, the query itself included if it is a vector."""
     found = []
-    for start in range(0, len(queries), 1024):
-        score = queries[start : start + 1024] @ vectors.T
+    for start in range(0, len(queries), 256):
+        score = queries[start : start + 256] @ vectors.T
         found.append(np.argpartition(-score, min(count, score.shape[1]) - 1, axis=1)[:, :count])
     return np.concatenate(found)
 
@@ -146,6 +147,16 @@ def fit(sample: np.ndarray, total: int, recall: float, count: int) -> Router:
     return router
 
 
+def _fit(total: int, recall: float, count: int):
+    """The model is fitted in one task, on the bounded sample; the driver gets the model alone."""
+
+    def fitted(sample: pd.DataFrame) -> pd.DataFrame:
+        vectors = np.stack(sample["v"].to_numpy())
+        return pd.DataFrame({"model": [pickle.dumps(fit(vectors[np.lexsort(vectors.T)], total, recall, count))]})
+
+    return fitted
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``id`` and ``v`` (doubles) of the rows that take part."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
@@ -175,11 +186,8 @@ def search(
     total, rows = sizes["n"], checkpointed(rows.where(F.size("v") == sizes["size"]))
     asked = _usable(queries, id_col, vector_col).where(F.size("v") == sizes["size"]).distinct()
     share = min(1.0, SAMPLE / total)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").limit(2 * SAMPLE).toPandas()
-    if not len(sample):
-        sample = rows.select("v").limit(2 * SAMPLE).toPandas()
-    fitted = np.stack(sample["v"].to_numpy())
-    router = fit(fitted[np.lexsort(fitted.T)], total, recall, count)
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").limit(2 * SAMPLE)
+    router = pickle.loads(sample.groupBy(F.lit(1)).applyInPandas(_fit(total, recall, count), "model binary").first()["model"])
     shared = spark.sparkContext.broadcast(router)
 
     def routed(probes: int):
