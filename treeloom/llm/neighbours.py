@@ -187,7 +187,7 @@ def search(
     asked = _usable(queries, id_col, vector_col).where(F.size("v") == sizes["size"]).distinct()
     share = min(1.0, SAMPLE / total)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").limit(2 * SAMPLE)
-    router = pickle.loads(sample.groupBy(F.lit(1)).applyInPandas(_fit(total, recall, count), "model binary").first()["model"])
+    router = pickle.loads(sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_fit(total, recall, count), "model binary").first()["model"])
     shared = spark.sparkContext.broadcast(router)
 
     def routed(probes: int):
