@@ -61,7 +61,8 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_dedup(table(spark, folder, "documents")).select("doc_id", "text", "lines", "dropped")
+    """What to drop of every document; the pipeline's stage writes the texts."""
+    return line_dedup.line_dedup(table(spark, folder, "documents")).select("doc_id", "lines", "dropped")
 
 
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
