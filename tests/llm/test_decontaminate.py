@@ -49,3 +49,29 @@ def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.contaminated(docs_of([(1, "a b c")]), none).collect() == []
     assert op.contaminated(docs_of([]), spark.createDataFrame([(1, "a b c d")], "item_id long, text string")).collect() == []
+
+
+def test_edited_copies_are_found_as_by_full_alignment(spark, docs_of, prose):
+    from treeloom.llm.common import words_of
+
+    dice, items, rows = np.random.default_rng(7), [prose(40, 500 + k) for k in range(40)], []
+    for k, item in enumerate(items):
+        words = item.split()
+        rows.append((k, f"{prose(30, k)} {item}"))  # a verbatim copy, so that lost n-grams occur in one document
+        for every in (6, 5, 4):
+            rows.append((1000 * every + k, " ".join("edited" if at % every == every - 1 else w for at, w in enumerate(words))))
+        for percent in (15, 20, 25, 30):
+            changed = []
+            for w in words:
+                kind = dice.choice(4, p=[1 - percent / 100, percent / 200, percent / 400, percent / 400])
+                changed += [[w], ["other"], [], [w, "more"]][kind]
+            rows.append((100_000 * percent + k, f"{prose(20, 900 + k)} {' '.join(changed)} {prose(20, 950 + k)}"))
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(80 * r["score"]) for r in op.contaminated(docs_of(rows), frame).collect()}
+    full = {(key, at): op.alignment(words_of(item), words_of(text))[0] for key, text in rows for at, item in enumerate(items) if key % 1000 == at}
+    want = {pair: score for pair, score in full.items() if score >= 40}
+    assert {pair: want[pair] for pair in got} == got
+    assert {pair for pair in want if pair[0] < 100_000} <= set(got)
+    for percent in (15, 20, 25, 30):
+        wanted = {pair for pair in want if pair[0] // 100_000 == percent}
+        assert len(wanted) > 20 and len(wanted & set(got)) >= 0.97 * len(wanted), (percent, len(wanted), len(wanted & set(got)))

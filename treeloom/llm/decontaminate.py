@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare word n-grams of the test items are seeds, Smith-Waterman decides.
+"""Benchmark decontamination: word n-grams of the test items are seeds, Smith-Waterman decides.
 
-An item's seeds are the rarer half of its n-grams, by the number of documents that hold them, counted over the
-whole corpus. Wherever a document holds a seed, the passage around it is aligned with the item, word by word
-(match +2, other word -1, missing or added word -1). The score is the best local alignment divided by that of a
-verbatim copy; edited and paraphrased copies keep most of it.
+All n-grams of an item are seeds, common ones too: an edited copy may have kept no other. Wherever a document holds
+a seed, the passage around it is aligned with the item, word by word (match +2, other word -1, missing or added word
+-1), unless it has too few of the item's words to reach ``least``. The score is the best local alignment divided by
+that of a verbatim copy; edited and paraphrased copies keep most of it. A copy without ``n`` unchanged words in a row
+(every third word changed, score about 0.5) has no seed.
 
 The test items are taken in blocks of a measured size, each broadcast; documents never leave their partition.
 """
@@ -39,25 +40,10 @@ class Items:
         grams = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(grams, kind="stable")
         self.grams, self.owner, self.place = grams[order], self.owner[order], self.place[order]
-        self._index()
-
-    def _index(self) -> None:
         self.seeds = np.unique(self.grams)
         self.maybe = np.zeros(1 << 20, bool)  # by the first bits of a seed
         self.maybe[self.seeds >> np.uint64(44)] = True
 
-    def keep_rare(self, documents: dict[int, int]) -> None:
-        """Keep the rarer half of each item's n-grams (ties: the earlier ones)."""
-        often = np.array([documents.get(int(g), 0) for g in self.grams.view(np.int64)])
-        order = np.lexsort((self.place, often, self.owner))
-        owner = self.owner[order]
-        starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        sizes = np.diff(np.r_[starts, len(owner)])
-        rank = np.arange(len(owner)) - np.repeat(starts, sizes)
-        kept = np.sort(order[rank < np.repeat((sizes + 1) // 2, sizes)])
-        self.grams, self.owner, self.place = self.grams[kept], self.owner[kept], self.place[kept]
-        self._index()
-
     def found(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places in the document, seeds there), for each n-gram size in use."""
         for size in self.sizes:
@@ -69,19 +55,6 @@ class Items:
                 yield hit, grams[hit]
 
 
-def _count(items):
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = []
-            for text in batch["text"]:
-                for _, seeds in items.value.found(words_of(text)):
-                    held.append(np.unique(seeds))
-            seeds, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pd.DataFrame({"seed": seeds.view(np.int64), "n": counts})
-
-    return counted
-
-
 def alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Score of the best local alignment, and the passage's position where it ends (the first such).
 
@@ -124,15 +97,17 @@ def _search(items, least: float):
             out = []
             for key, text in zip(batch["id"], batch["text"]):
                 words = words_of(text)
-                near: dict[int, list[tuple[int, int]]] = {}
+                hits = []
                 for places, seeds in known.found(words):
                     low, high = np.searchsorted(known.grams, seeds), np.searchsorted(known.grams, seeds, "right")
-                    for place, a, b in zip(places.tolist(), low.tolist(), high.tolist()):
-                        for which in range(a, b):
-                            near.setdefault(int(known.owner[which]), []).append((place, int(known.place[which])))
-                for owner, hits in near.items():
-                    places, offsets = np.array(hits).T
-                    if found := best_passage(known.words[owner], words, places, offsets, least):
+                    counts = high - low
+                    which = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                    hits.append((known.owner[which], np.repeat(places, counts), known.place[which]))
+                owners, places, offsets = (np.concatenate(part) for part in zip(*hits)) if hits else (np.zeros(0, np.int64),) * 3
+                order = np.argsort(owners, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(owners[order])) + 1) if len(order) else []:
+                    owner = int(owners[mine[0]])
+                    if found := best_passage(known.words[owner], words, places[mine], offsets[mine], least):
                         out.append((key, known.ids[owner], *found))
             frame = pd.DataFrame(out, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
             yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
@@ -164,8 +139,6 @@ def contaminated(
         known = Items([(row["id"], row["text"]) for row in mine], n)
         if not len(known.grams):
             continue
-        counts = texts.mapInPandas(_count(spark.sparkContext.broadcast(known)), "seed long, n long")
-        known.keep_rare({row["seed"]: row["n"] for row in counts.groupBy("seed").agg(F.sum("n").alias("n")).collect()})
         total = total.union(texts.mapInPandas(_search(spark.sparkContext.broadcast(known), least), schema))
     return total
 
