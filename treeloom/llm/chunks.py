@@ -3,7 +3,8 @@
 A gear rolling hash over the UTF-8 bytes (its last 32 bytes count) sets a chunk's end wherever chosen bits are zero,
 so that chunk limits depend on the text around them and come back after an insertion. Chunks are compared by a
 128-bit digest. A repeated chunk is one whose digest occurs earlier, by (document id, text hash, place). Runs of
-neighbouring repeated chunks of at least ``least`` bytes are the repeated passages.
+neighbouring repeated chunks are seeds: ``whole_passages`` extends them byte by byte to both sides as long as the text
+equals that around the first occurrence of the run's outer chunk, and then asks for ``least`` bytes.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.operators.checkpoints import checkpointed
+
 GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
 MASK = np.uint32(0b11111 << 27)  # high bits: they depend on the last 28 to 32 bytes; on average every 32nd place ends a chunk
 SHORTEST, LONGEST = 16, 256
 PIECE = 1 << 20  # bytes hashed at once
+REACH = 512  # bytes compared to each side of a run at first; four times as many where all are equal
 
 
 def gear_ends(data: np.ndarray) -> np.ndarray:
@@ -89,20 +93,128 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     chunks. Rows that repeat both id and text are one document. A null id counts as the smallest. Other columns are
     ignored; an empty table gives an empty result.
     """
+    runs = _runs(docs, id_col, text_col).where(F.col("end") - F.col("start") >= least)
+    return runs.select(F.col("id").alias("doc_id"), "start", "end", "chunks", "first_doc_id")
+
+
+def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Runs of neighbouring repeated chunks, and where their outer chunks occur first: ``head`` and ``tail`` (id, of_text
+    and the place of the run's start or end there)."""
     cut = chunks(docs, id_col, text_col)  # cut twice rather than kept: cutting costs less than the disk
-    place = F.struct("id", "of_text", "chunk")
-    first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    place = F.struct("id", "of_text", "chunk", "start")
+    first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.max(F.struct("id", "of_text", "chunk")).alias("last"))
+    first = first.where(F.struct("first.id", "first.of_text", "first.chunk") != F.col("last")).drop("last")
     again = (
         cut.join(first, ["d0", "d1"]).where(place != F.col("first"))
-        .select("id", "of_text", "chunk", "start", "end", F.col("first.id").alias("first_doc_id"))
+        .select("id", "of_text", "chunk", "start", "end", "first")
         .distinct()
     )
     in_order = Window.partitionBy("id", "of_text").orderBy("chunk")
     runs = again.withColumn("run", F.col("chunk") - F.row_number().over(in_order))
-    longest = F.struct((F.col("end") - F.col("start")).alias("size"), -F.col("chunk"), "first_doc_id")
+    longest = F.struct((F.col("end") - F.col("start")).alias("size"), -F.col("chunk"), F.col("first.id").alias("first_doc_id"))
+    there = F.col("first.start")
+    outer = lambda at: F.struct("chunk", F.col("first.id").alias("id"), F.col("first.of_text").alias("of_text"), at.alias("at"))
+    return runs.groupBy("id", "of_text", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks"), F.max(longest)["first_doc_id"].alias("first_doc_id"),
+        F.min(outer(there)).alias("head"), F.max(outer(there + F.col("end") - F.col("start"))).alias("tail"),
+    )
+
+
+def _contexts(reach: int):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, of_text, text, wanted in zip(batch["id"], batch["of_text"], batch["text"], batch["wanted"]):
+                raw = text.encode("utf-8", "replace")
+                for each in wanted:
+                    at, after = each["at"], each["after"]
+                    out.append((key, of_text, at, after, raw[at : at + reach] if after else raw[max(0, at - reach) : at]))
+            frame = pd.DataFrame(out, columns=["id", "of_text", "at", "after", "bytes"])
+            yield frame.astype({"id": "Int64"})
+
+    return read
+
+
+def equal_bytes(mine: bytes, other: bytes, after: bool) -> int:
+    """How many first bytes (last ones, if not ``after``) are equal, whole letters of ``mine``."""
+    if not after:
+        mine, other = mine[::-1], other[::-1]
+    size = min(len(mine), len(other))
+    differ = np.frombuffer(mine, np.uint8, size) != np.frombuffer(other, np.uint8, size)
+    size = int(differ.argmax()) if differ.any() else size
+    edge = lambda: mine[size : size + 1] if after else mine[size - 1 : size]  # noqa: E731  the first byte of a letter
+    while size and edge() and 0x80 <= edge()[0] < 0xC0:
+        size -= 1
+    return size
+
+
+def _compared(reach: int):
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sides = list(zip(batch["mine"], batch["other"], batch["after"]))
+            more = [equal_bytes(*side) for side in sides]
+            whole = [len(mine) == reach and mine == other for mine, other, _ in sides]
+            yield batch[["id", "of_text", "run", "after", "at", "there"]].assign(more=more, whole=whole)
+
+    return compared
+
+
+def _extended(ends: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
+    """``ends`` of runs (id, of_text, run, after, at, there: place of the first occurrence) with ``more``, the equal bytes
+    beyond them, and ``whole``: all that were compared are equal."""
+    there = F.col("there")
+    wanted = ends.select("id", "of_text", "at", "after").union(ends.select(there["id"], there["of_text"], there["at"], "after")).distinct()
+    wanted = wanted.groupBy(F.col("id").alias("of_id"), F.col("of_text").alias("of")).agg(F.collect_list(F.struct("at", "after")).alias("wanted"))
+    same = texts["id"].eqNullSafe(F.col("of_id")) & (texts["of_text"] == F.col("of"))
+    read = texts.join(wanted, same).select("id", "of_text", "text", "wanted").mapInPandas(
+        _contexts(reach), "id long, of_text long, at int, after boolean, bytes binary"
+    )
+    read = checkpointed(read.dropDuplicates(["id", "of_text", "at", "after"]))  # rows that repeat id and text
+    found = ends
+    for name, key in (("mine", F.struct("id", "of_text", "at", "after")), ("other", F.struct(there["id"].alias("id"), there["of_text"].alias("of_text"), there["at"].alias("at"), "after"))):
+        side = read.select(*[F.col(c).alias(f"__{c}") for c in ("id", "of_text", "at", "after")], F.col("bytes").alias(name))
+        found = found.withColumn("__key", key).join(
+            side, F.col("__key.id").eqNullSafe(F.col("__id")) & (F.col("__key.of_text") == F.col("__of_text"))
+            & (F.col("__key.at") == F.col("__at")) & (F.col("__key.after") == F.col("__after")),
+        ).drop("__key", "__id", "__of_text", "__at", "__after")
+    kinds = "id long, of_text long, run int, after boolean, at int, there struct<id:long,of_text:long,at:int>, more int, whole boolean"
+    return found.select("id", "of_text", "run", "after", "at", "there", "mine", "other").mapInPandas(_compared(reach), kinds)
+
+
+def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 120) -> DataFrame:
+    """As ``repeated_passages``, from where the copy begins to where it ends: runs of any size are extended against the
+    first occurrence of their outer chunks, those that then overlap are one (``chunks`` added up, ``first_doc_id`` of
+    the largest), and ``least`` bytes are asked of the result. A passage in which no chunk lies whole is not found."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("of_text"), F.col(text_col).alias("text"))
+    runs = checkpointed(_runs(docs, id_col, text_col).withColumn("run", F.col("run").cast("int")))
+    side = lambda after, at, outer: runs.select(
+        "id", "of_text", "run", F.lit(after).alias("after"), F.col(at).cast("int").alias("at"),
+        F.struct(F.col(f"{outer}.id").alias("id"), F.col(f"{outer}.of_text").alias("of_text"), F.col(f"{outer}.at").cast("int").alias("at")).alias("there"),
+    )
+    ends, limits, reach = side(False, "start", "head").union(side(True, "end", "tail")), [], REACH
+    while True:
+        found = checkpointed(_extended(ends, texts, reach))
+        step = F.when(F.col("after"), F.col("more")).otherwise(-F.col("more"))
+        found = found.withColumn("at", F.col("at") + step).withColumn("there", F.col("there").withField("at", F.col("there.at") + step))
+        limits.append(found.where("not whole"))
+        ends = found.where("whole").drop("more", "whole")
+        if ends.isEmpty():
+            break
+        reach *= 4
+    every = limits[0]
+    for each in limits[1:]:
+        every = every.union(each)
+    limit = every.groupBy("id", "of_text", "run").agg(F.min("at").alias("start"), F.max("at").alias("end"))
+    limit = limit.select(F.col("id").alias("of_id"), F.col("of_text").alias("of"), F.col("run").alias("of_run"), "start", "end")
+    same = runs["id"].eqNullSafe(limit["of_id"]) & (runs["of_text"] == limit["of"]) & (runs["run"] == limit["of_run"])
+    long = runs.drop("start", "end").join(limit, same)
+    in_order = Window.partitionBy("id", "of_text").orderBy("start", "end", "run")
+    before = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    long = long.withColumn("new", F.when(F.col("start") < before, 0).otherwise(1)).withColumn("passage", F.sum("new").over(in_order))
+    largest = F.struct((F.col("end") - F.col("start")).alias("size"), -F.col("run"), "first_doc_id")
     return (
-        runs.groupBy("id", "of_text", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks"), F.max(longest)["first_doc_id"].alias("first_doc_id"))
+        long.groupBy("id", "of_text", "passage")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("chunks").alias("chunks"), F.max(largest)["first_doc_id"].alias("first_doc_id"))
         .where(F.col("end") - F.col("start") >= least)
         .select(F.col("id").alias("doc_id"), "start", "end", "chunks", "first_doc_id")
     )
@@ -115,16 +227,16 @@ def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             raw, kept, at = text.encode("utf-8", "replace"), [], 0
             for span in sorted(spans, key=lambda s: s["start"]):
                 kept.append(raw[at : span["start"]])
-                at = span["end"]
+                at = max(at, span["end"])
             kept.append(raw[at:])
             texts.append(b"".join(kept).decode("utf-8", "ignore"))  # a cut letter goes
         yield pd.DataFrame({"id": batch["id"].astype("Int64"), "text": texts})
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 120) -> DataFrame:
-    """``doc_id`` and ``text`` of every distinct document, without its repeated passages (see ``repeated_passages``;
+    """``doc_id`` and ``text`` of every distinct document, without its repeated passages (see ``whole_passages``;
     of documents that share an id, each loses the passages found in any of them)."""
-    found = repeated_passages(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("of")).agg(
+    found = whole_passages(docs, id_col, text_col, least).groupBy(F.col("doc_id").alias("of")).agg(
         F.collect_list(F.struct("start", "end")).alias("spans")
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

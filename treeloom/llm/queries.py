@@ -53,7 +53,7 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return chunks.repeated_passages(table(spark, folder, "documents"))
+    return chunks.whole_passages(table(spark, folder, "documents"))
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
