@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import chunks, decontaminate, language, line_dedup, neighbours, ngram_join, packing, secrets, spelling, url_filter, warc
+from treeloom.llm import chunks, collocations, decontaminate, language, line_dedup, neighbours, ngram_join, packing, secrets, spelling, url_filter, warc
 from treeloom.llm.common import table
 
 
@@ -69,6 +69,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
@@ -84,9 +88,10 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_collocations": op11_collocations,
     "op13_spelling": op13_spelling,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_collocations": collocations.SQL}
 
 
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
