@@ -253,7 +253,7 @@ with rows as (
 ), totals as (
     select lang, sum(len(ws)) as n from pieces group by lang
 ), grams as (
-    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i:i + k - 1], ' '))) as phrase
+    select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase
     from pieces, range(1, 6) ks(k) where len(ws) >= k
 ), f as (
     select lang, k, phrase, count(*) as a from grams group by all having count(*) >= 100

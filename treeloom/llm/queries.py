@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeloom.llm import chunks, collocations, decontaminate, language, line_dedup, neighbours, ngram_join, packing, secrets, spelling, url_filter, warc
+from treeloom.llm import chunks, collocations, decontaminate, language, line_dedup, neighbours, ngram_join, packing, secrets, spelling, toxicity, url_filter, warc
 from treeloom.llm.common import table
 
 
@@ -73,6 +73,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(table(spark, folder, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    found = toxicity.toxicity(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, folder, "documents"))
 
@@ -89,6 +94,7 @@ CATALOGUE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_decontaminate": op10_decontaminate,
     "op11_collocations": op11_collocations,
+    "op12_toxicity": op12_toxicity,
     "op13_spelling": op13_spelling,
 }
 ORACLE: dict[str, str] = {"op11_collocations": collocations.SQL}
