@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from treeloom.operators.ordered import block_bounds, block_of, first_match
+from treeloom.operators.ordered import carried, first_match, in_ranges
 from treeloom.operators.skew import Heavy, measure_heavy, skew_join
 from treeloom.plans import ledger
 from treeloom.sources.catalog import by_table, catalog, missing_columns, observed_catalog, suggest_joins
@@ -21,10 +21,10 @@ def numbers():
     return dict(zip(found, states))
 
 
-@pytest.mark.parametrize("blocks", [1, 5, 40])
-def test_gap_warnings(spark, numbers, blocks):
+@pytest.mark.parametrize("rows", [1000, 30, 1])
+def test_gap_warnings(spark, numbers, rows):
     runs = spark.createDataFrame(list(numbers.items()), "sequence_no int, status string")
-    got = {r[0]: r[1] for r in ledger.gap_warnings(runs, blocks).collect()}
+    got = {r[0]: r[1] for r in ledger.gap_warnings(runs, rows).collect()}
     want = {}
     for number, state in numbers.items():
         if state != ledger.PENDING:
@@ -38,18 +38,42 @@ def test_gap_warnings(spark, numbers, blocks):
     assert got == want
 
 
-@pytest.mark.parametrize("blocks", [1, 7])
-def test_sequence_gaps(spark, numbers, blocks):
+@pytest.mark.parametrize("rows", [1000, 2])
+def test_sequence_gaps(spark, numbers, rows):
     runs = spark.createDataFrame(list(numbers.items()), "sequence_no int, status string")
-    got = [r[0] for r in ledger.sequence_gaps(runs, blocks).collect()]
+    got = [r[0] for r in ledger.sequence_gaps(runs, rows).collect()]
     assert sorted(got) == [n for n in range(min(numbers), max(numbers)) if n not in numbers]
 
 
-def test_blocks_cover_every_key(spark, numbers):
+def test_ranges_follow_the_key(spark, numbers):
     runs = spark.createDataFrame([(n,) for n in numbers], "sequence_no int")
-    bounds = block_bounds(runs, "sequence_no", 10)
-    sizes = [r["n"] for r in runs.groupBy(block_of(F.col("sequence_no"), bounds)).agg(F.count("*").alias("n")).collect()]
-    assert sum(sizes) == len(numbers) and len(sizes) == len(bounds) + 1 and max(sizes) <= 3 * len(numbers) / 10
+    rows = in_ranges(runs, "sequence_no", 10).orderBy("sequence_no").collect()
+    places = [r["__range"] for r in rows]
+    assert places == sorted(places) and max(places.count(p) for p in set(places)) <= 10 and len(set(places)) >= len(numbers) / 10
+
+
+@pytest.mark.parametrize("fan", [2, 5, 1024])
+def test_scan_in_levels(spark, fan):
+    draw = random.Random(3)
+    values = {n: draw.choice([None, "a", "b", "c"]) for n in range(0, 130, 3)}
+    frame = spark.createDataFrame(list(values.items()), "__range long, value string")
+    got = {r["__range"]: r["before"] for r in carried(frame, lambda a, b: F.concat(a, b), fan).collect()}
+    assert got == {n: "".join(v for m, v in values.items() if m < n and v) or None for n in values}
+    assert carried(frame.limit(0), lambda a, b: b, fan).collect() == []
+
+
+def test_a_hundred_thousand_ranges(spark):
+    """One run to a range: the scan has levels, and neither plan nor driver hold the ranges."""
+    states = F.expr("case when id % 1000 = 7 then 'Pending' when id % 997 = 3 then 'Failed' else 'Released' end")
+    runs = spark.range(1, 100_001).where("id % 5000 <> 0").select(F.col("id").alias("sequence_no"), states.alias("status"))
+    assert {r[0] for r in ledger.sequence_gaps(runs, 1).collect()} == set(range(5000, 100_000, 5000))
+    got = {r[0]: r[1] for r in ledger.gap_warnings(runs, 1).collect()}
+    open_runs = [n for n in range(1, 100_001) if n % 5000 and (n % 1000 == 7 or n % 997 == 3)]
+    pending = [n for n in open_runs if n % 1000 == 7]
+    assert set(got) == set(pending)
+    for number in pending:
+        top = [n for n in open_runs if n < number][-3:][::-1]
+        assert got[number] is None if not top else f"({', '.join(f'#{n}' for n in top)})" in got[number]
 
 
 def test_stale_expired_and_next(spark):

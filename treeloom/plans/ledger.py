@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeloom.functions.text import sha256_short
 from treeloom.operators.checkpoints import checkpointed
-from treeloom.operators.ordered import block_bounds, block_of
+from treeloom.operators.ordered import ROWS_PER_RANGE, carried, in_ranges
 from treeloom.operators.skew import HEAVY_ROWS, measure_heavy, skew_join
 
 # Run states.
@@ -48,60 +48,41 @@ def latest(audit: DataFrame, count: int = 100, key: str = "id") -> DataFrame:
     return audit.orderBy(F.desc(key)).limit(count)
 
 
-def gap_warnings(runs: DataFrame, blocks: int | None = None) -> DataFrame:
+def gap_warnings(runs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Pending runs with up to three earlier runs that are neither released nor skipped.
 
-    The ledger is cut into ranges of the sequence. A window looks back inside a range; what the
-    ranges before contribute is three numbers each.
+    A window looks back inside a range of the sequence; what the ranges before contribute is an array of three numbers,
+    from a scan over the ranges.
     """
-    bounds = block_bounds(runs, "sequence_no", blocks)
     open_run = ~F.coalesce(F.col("status").isin(RELEASED, SKIPPED), F.lit(False))
-    placed = runs.select(
-        "sequence_no", "status", block_of(F.col("sequence_no"), bounds).alias("__block"),
-        F.when(open_run, F.col("sequence_no")).alias("__open"),
+    numbered = runs.select("sequence_no", "status", F.when(open_run, F.col("sequence_no").cast("bigint")).alias("__open"))
+    placed = in_ranges(numbered, "sequence_no", rows_per_range)
+    newest = F.slice(F.sort_array(F.collect_list("__open"), asc=False), 1, GAP_SHOWN)
+    carry = carried(
+        placed.groupBy("__range").agg(newest.alias("value")), lambda earlier, later: F.slice(F.concat(later, earlier), 1, GAP_SHOWN)
     )
-    newest = Window.partitionBy("__block").orderBy(F.desc("__open"))
-    tops = (
-        placed.where("__open is not null").withColumn("__rank", F.row_number().over(newest))
-        .where(F.col("__rank") <= GAP_SHOWN).select("__block", "__open").collect()  # three per range
-    )
-    carried: list[list[int]] = []
-    for block in range(len(bounds) + 1):
-        before = sorted((row["__open"] for row in tops if row["__block"] < block), reverse=True)
-        carried.append(before[:GAP_SHOWN])
-    carry = F.array(*[_numbers(found) for found in carried])[F.col("__block")]
     near = F.array_compact(F.array(*_lookback()))
-    found = F.slice(F.concat(near, carry), 1, GAP_SHOWN)
+    looked = placed.withColumn("__near", near).where(F.col("status") == PENDING).join(carry, "__range")
+    found = F.slice(F.concat("__near", F.coalesce("before", F.array().cast("array<bigint>"))), 1, GAP_SHOWN)
     texts = F.transform(found, lambda n: F.concat(F.lit("#"), n.cast("string")))
     warning = F.format_string(GAP_WARNING, F.size(found), F.array_join(texts, ", "), F.col("sequence_no"))
-    looked = placed.withColumn("gap_warning", F.when(F.size(found) > 0, warning))
-    return looked.where(F.col("status") == PENDING).select("sequence_no", "gap_warning")
+    return looked.select("sequence_no", F.when(F.size(found) > 0, warning).alias("gap_warning"))
 
 
 def _lookback() -> list[Column]:
     """The three nearest open runs before the current row in its range."""
-    window = "(partition by __block order by sequence_no)"
+    window = "(partition by __range order by sequence_no)"
     return [F.expr(f"cast(lag(__open, {k}) ignore nulls over {window} as bigint)") for k in range(1, GAP_SHOWN + 1)]
 
 
-def _numbers(values: list[int]) -> Column:
-    return F.array(*[F.lit(v).cast("bigint") for v in values]) if values else F.array().cast("array<bigint>")
-
-
-def sequence_gaps(runs: DataFrame, blocks: int | None = None) -> DataFrame:
+def sequence_gaps(runs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Sequence numbers that no run carries, between the first and the last run."""
-    bounds = block_bounds(runs, "sequence_no", blocks)
-    placed = runs.select(
-        F.col("sequence_no").cast("bigint").alias("__seq"), block_of(F.col("sequence_no"), bounds).alias("__block")
-    )
-    ends = {r["__block"]: r["last"] for r in placed.groupBy("__block").agg(F.max("__seq").alias("last")).collect()}
-    carried, last = [], None
-    for block in range(len(bounds) + 1):
-        carried.append(last)
-        last = ends.get(block, last)
-    carry = F.array(*[F.lit(value).cast("bigint") for value in carried])[F.col("__block")]
-    back = Window.partitionBy("__block").orderBy("__seq")
-    gaps = placed.withColumn("__before", F.coalesce(F.lag("__seq").over(back), carry)).where(
+    numbers = runs.where("sequence_no is not null").select(F.col("sequence_no").cast("bigint").alias("__seq"))
+    placed = in_ranges(numbers, "__seq", rows_per_range)
+    carry = carried(placed.groupBy("__range").agg(F.max("__seq").alias("value")), lambda earlier, later: later)
+    back = Window.partitionBy("__range").orderBy("__seq")
+    near = placed.withColumn("__near", F.lag("__seq").over(back))
+    gaps = near.join(carry, "__range").withColumn("__before", F.coalesce("__near", "before")).where(
         F.col("__before") < F.col("__seq") - 1
     )
     # A wide gap is spread in two steps, so that no row holds all of its numbers.
