@@ -213,6 +213,18 @@ ORACLE: dict[str, str] = {
         FROM orders LEFT JOIN customer ON c_custkey = o_custkey""",
     "strip_denied_nested": f"""SELECT s_suppkey, {PART}, CAST(json_object('id', CAST(s_suppkey AS VARCHAR), 'nation',
         json_object('name', n_name)) AS VARCHAR) AS json FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+    "strip_denied_any": """WITH said AS (SELECT conv_id, '[' || string_agg('{"said":{"role":"' || role || '"},"sizes":' ||
+        CASE role WHEN 'assistant' THEN '{}' ELSE '{"' || role || '":' || length(text) || '}' END || ',"turn":' || turn || '}', ',' ORDER BY turn) || ']'
+        AS turns FROM conversations GROUP BY conv_id) SELECT conv_id, turns, turns AS document FROM said""",
+    "flatten_any": "SELECT conv_id, " + ", ".join(
+        f"""coalesce(string_agg({value}, ', ' ORDER BY turn), '') AS "{column}.{path}" """ for column in ("turns", "document") for path, value in (
+            ("said.Contact_Name", "length(text)::varchar"), ("said.role", "role"), ("turn", "turn::varchar"),
+            *((f"sizes.{role}", f"CASE role WHEN '{role}' THEN length(text)::varchar END") for role in ("assistant", "system", "user")),
+        )
+    ) + " FROM conversations GROUP BY conv_id",
+    "package_flattened": """SELECT CAST(c_custkey AS VARCHAR) AS id, n_name AS "nation.name", coalesce((SELECT string_agg(o_orderkey::varchar, ', ' ORDER BY o_orderkey)
+        FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'), '') AS "orders.key"
+        FROM customer JOIN nation ON n_nationkey = c_nationkey""",
     "lateral_first_match": """SELECT n_nationkey, n_name, f.s_suppkey, f.s_name FROM nation LEFT JOIN LATERAL
         (SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey = n_nationkey ORDER BY s_suppkey LIMIT 1) f ON true""",
     "map_upper": f"SELECT CAST(p_partkey AS VARCHAR) AS id, upper(p_name) AS value, {PART} FROM part",

@@ -28,7 +28,8 @@ from treeloom.plans import ledger
 from treeloom.plans.cells import typed_cells
 from treeloom.plans.flat import flat_export, nested_export, tree_export
 from treeloom.plans.lines import csv_lines, document_lines, flat_json_lines
-from treeloom.sinks.package import format_of, package_name, verify_package, write_package
+from treeloom.plans.shapes import flatten_any, strip_any
+from treeloom.sinks.package import format_of, package_name, package_records, verify_package, write_package
 from treeloom.sources.catalog import observed_catalog, schema_catalog, suggest_joins
 from treeloom.sources.tables import Resolve, parquet_tables, with_views
 
@@ -294,6 +295,42 @@ def strip_denied_nested(t: Resolve) -> DataFrame:
     return tree_export(t, "supplier", tree, keys=["s_suppkey"]).json_lines()
 
 
+def _talks(t: Resolve) -> DataFrame:
+    """Conversations as nested records: turns with structs and maps, and the same once more as a VARIANT."""
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    talks = t("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+
+    def nested(one):
+        said = F.struct(one["size"].alias("Contact_Name"), one["role"].alias("role"))
+        return F.struct(said.alias("said"), F.create_map(one["role"], one["size"]).alias("sizes"), one["turn"].alias("turn"))
+
+    turns = F.transform("turns", nested)
+    return talks.select("conv_id", turns.alias("turns"), F.parse_json(F.to_json(turns)).alias("document"))
+
+
+def strip_denied_any(t: Resolve) -> DataFrame:
+    found = strip_any(_talks(t), ["CONTACT_NAME", "assistant"])
+    return found.select("conv_id", F.to_json("turns").alias("turns"), F.to_json("document").alias("document"))
+
+
+def flattened_talks(t: Resolve) -> DataFrame:
+    return flatten_any(_talks(t), ["conv_id"])
+
+
+def package_flattened(t: Resolve) -> DataFrame:
+    """A JSON package as the sink writes it, read back and flattened without its definition."""
+    spark = t("customer").sparkSession
+    folder = f"{shared_folder(spark)}/packages-{uuid.uuid4().hex}"
+    tree = root(
+        scalar("id", "c_custkey"), obj("nation", "nation", "n_nationkey", "c_nationkey", scalar("name", "n_name")),
+        array("orders", "urgent_orders", "o_custkey", "c_custkey", scalar("key", "o_orderkey"), order_by=("o_orderkey",)),
+    )
+    write_package(tree_export(_urgent_orders(t), "customer", tree, keys=["c_custkey"]), folder, "json", 1, EXTRACTED_AT)
+    records = package_records(spark, f"{folder}/{package_name(1, EXTRACTED_AT, 'json')}")
+    found = flatten_any(records)
+    return found.toDF(*[name.removeprefix("record.") for name in found.columns])
+
+
 def lateral_first_match(t: Resolve) -> DataFrame:
     first = first_match(t("supplier"), "s_nationkey", "s_suppkey", ["s_suppkey", "s_name"])
     nations = t("nation")
@@ -567,6 +604,9 @@ CATALOGUE: dict[str, Callable[[Resolve], DataFrame]] = {
     "preview_first_n": preview_first_n,
     "nested_native_types": nested_native_types,
     "strip_denied_nested": strip_denied_nested,
+    "strip_denied_any": strip_denied_any,
+    "flatten_any": flattened_talks,
+    "package_flattened": package_flattened,
     "lateral_first_match": lateral_first_match,
     "map_upper": map_upper,
     "map_lower": map_lower,

@@ -209,6 +209,17 @@ def package_text(spark: SparkSession, package: str) -> DataFrame:
     return files.select(section.alias("section"), name.alias("name"), F.col("content")).where(~F.col("name").rlike("^[_.]"))
 
 
+def package_records(spark: SparkSession, package: str) -> DataFrame:
+    """The records of a JSON package as a column ``record`` (VARIANT), read where they lie. A package with records that
+    were too large for a row has no such column for them and is refused."""
+    if _exists(spark, f"{package}/split"):
+        raise PackageError(f"{package} holds records over the row budget")
+    if not _exists(spark, f"{package}/rows"):
+        raise PackageError(f"{package} has no records")
+    lines = spark.read.text(f"{package}/rows").where("value <> ''")
+    return lines.select(F.parse_json(F.regexp_replace("value", "^,", "")).alias("record"))
+
+
 def write_document(lines: DataFrame, target: str) -> None:
     """One JSON document (see ``document_lines``) over ordered files: their contents in name order are the document."""
     write_stream(lines, ["section", "record", "part"], target, PART_BYTES).write.format("noop").mode("overwrite").save()
