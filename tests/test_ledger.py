@@ -116,10 +116,10 @@ def test_requests(spark, heavy_rows):
     checked = ledger.check_requests(runs, requests, users, heavy_rows)
     got = {r["request_no"]: (r["accepted"], r["reason"]) for r in checked.collect()}
     assert sorted(n for n, (ok, _) in got.items() if ok) == [3, 5, 7]
-    assert got[1][1].startswith("Operator and approver") and got[2][1] == "Unknown approver: zoe"
-    assert got[4][1].startswith("Another request") and got[6][1] == "Run #3 is already delivered"
-    assert got[8][1] == "Run #2 cannot be skipped: Released" and got[9][1] == "No run #99"
-    assert got[10][1] == "Approver is required." and got[11][1].startswith("Only released") and got[12][1].startswith("Delivery notes")
+    assert got[1][1] == "same_person" and got[2][1] == "unknown_approver"
+    assert got[4][1] == "overtaken" and got[6][1] == "delivered_before"
+    assert got[8][1] == "not_skippable" and got[9][1] == "no_run"
+    assert got[10][1] == "no_approver" and got[11][1] == "not_released" and got[12][1] == "long_notes"
     after = {r["sequence_no"]: r for r in ledger.apply_requests(runs, checked, NOW).collect()}
     assert (after[1]["status"], after[1]["operated_by"], after[1]["approved_by"]) == ("Released", "ann", "Bob")
     assert after[1]["released_at"].startswith("2026-06-28T06:00:00")
@@ -129,6 +129,58 @@ def test_requests(spark, heavy_rows):
     assert audit == {"#1 approved by Bob": "export_released", "#2": "export_delivered", "#4: broken": "export_skipped"}
 
 
+@pytest.mark.parametrize("heavy_rows", [1_000_000, 5])
+def test_requests_in_turn(spark, heavy_rows):
+    """Against a walk through the requests one by one."""
+    draw = random.Random(11)
+    states = {n: (draw.choice([ledger.PENDING, ledger.PENDING, ledger.RELEASED, ledger.FAILED, ledger.SKIPPED]), draw.choice([None, None, "then"])) for n in range(12)}
+    asked = [
+        (no, draw.choice([0, 0, *range(14)]), draw.choice(["release", "deliver", "skip", "deliver", "reopen"]), draw.choice(["ann", "bob"]),
+         draw.choice(["Ann", "BOB", "zoe", " ", None]), no, draw.choice([None, "n" * 2001, "fine"]))
+        for no in range(400)
+    ]
+    runs = spark.createDataFrame([(n, s, d) for n, (s, d) in states.items()], "sequence_no int, status string, delivered_at string")
+    for name in ("operated_by", "approved_by", "released_at", "delivered_by", "delivery_notes"):
+        runs = runs.withColumn(name, F.lit(None).cast("string"))
+    runs = runs.withColumn("imported_record_count", F.lit(None).cast("int"))
+    requests = spark.createDataFrame(
+        asked, "request_no long, sequence_no int, action string, actor string, approver string, imported_record_count int, notes string"
+    )
+    users = spark.createDataFrame([("ann",), ("BOB",)], "username string")
+    want, now = {}, dict(states)
+    for no, run, action, actor, approver, _, notes in asked:
+        state, delivered = now.get(run, (None, None))
+        who = (approver or "").lower()
+        if action == "release" and not who.strip():
+            want[no] = "no_approver"
+        elif action == "release" and who == actor:
+            want[no] = "same_person"
+        elif action == "release" and who == "zoe":
+            want[no] = "unknown_approver"
+        elif action == "reopen":
+            want[no] = "unknown_action"
+        elif state is None:
+            want[no] = "no_run"
+        elif action == "release":
+            want[no] = None if state == ledger.PENDING else "not_pending"
+        elif action == "skip":
+            want[no] = None if state in (ledger.PENDING, ledger.FAILED) else "not_skippable"
+        elif state != ledger.RELEASED:
+            want[no] = "not_released"
+        elif delivered:
+            want[no] = "delivered_before"
+        else:
+            want[no] = "long_notes" if notes and len(notes) > 2000 else None
+        if want[no] is None:
+            now[run] = {"release": (ledger.RELEASED, delivered), "skip": (ledger.SKIPPED, delivered), "deliver": (state, "now")}[action]
+    judged = ledger.judge_in_turn(runs, requests, users, heavy_rows)
+    assert {r["request_no"]: r["reason"] for r in judged.collect()} == want
+    assert all(r["accepted"] == (r["reason"] is None) for r in judged.collect())
+    after = {r["sequence_no"]: r for r in ledger.apply_requests(runs, judged, NOW).collect()}
+    assert {n: r["status"] for n, r in after.items()} == {n: s for n, (s, _) in now.items()}
+    assert {n for n, r in after.items() if r["delivered_by"]} == {n for n, (_, d) in now.items() if d == "now"}
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_salted_joins_equal_plain_joins(spark, how):
     rows = [(n, "hot" if n % 3 else None if n % 2 else f"k{n}") for n in range(90)]

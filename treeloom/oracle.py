@@ -21,17 +21,17 @@ JUDGED = RUNS + """, requests AS (
   FROM events),
 checked AS (
   SELECT q.*, r.status AS run_status, CASE
-    WHEN action = 'release' AND trim(approver) = '' THEN 'Approver is required.'
-    WHEN action = 'release' AND lower(actor) = lower(approver) THEN 'Operator and approver must be different users.'
+    WHEN action = 'release' AND trim(approver) = '' THEN 'no_approver'
+    WHEN action = 'release' AND lower(actor) = lower(approver) THEN 'same_person'
     WHEN action = 'release' AND lower(approver) NOT IN (SELECT 'u' || user_id FROM events WHERE value > 200)
-      THEN 'Unknown approver: ' || approver
-    WHEN r.status IS NULL THEN 'No run #' || q.sequence_no
-    WHEN action = 'release' AND r.status <> 'Pending' THEN 'Run #' || q.sequence_no || ' is already ' || r.status
-    WHEN action = 'deliver' AND r.status <> 'Released' THEN 'Only released runs can be delivered.'
-    WHEN action = 'deliver' AND r.delivered_at IS NOT NULL THEN 'Run #' || q.sequence_no || ' is already delivered'
-    WHEN action = 'deliver' AND length(notes) > 2000 THEN 'Delivery notes are too long.'
+      THEN 'unknown_approver'
+    WHEN r.status IS NULL THEN 'no_run'
+    WHEN action = 'release' AND r.status <> 'Pending' THEN 'not_pending'
+    WHEN action = 'deliver' AND r.status <> 'Released' THEN 'not_released'
+    WHEN action = 'deliver' AND r.delivered_at IS NOT NULL THEN 'delivered_before'
+    WHEN action = 'deliver' AND length(notes) > 2000 THEN 'long_notes'
     WHEN action = 'skip' AND r.status NOT IN ('Pending', 'Failed')
-      THEN 'Run #' || q.sequence_no || ' cannot be skipped: ' || r.status
+      THEN 'not_skippable'
     END AS refusal
   FROM requests q LEFT JOIN runs r ON r.sequence_no = q.sequence_no),
 judged AS (
@@ -39,6 +39,36 @@ judged AS (
     OVER (PARTITION BY sequence_no) AS accepted
   FROM checked)"""
 
+# Requests take turns: each run is walked through its well-formed requests, one after the other.
+CHAIN = JUDGED.replace("event_id * 3 % 17000", "event_id % 211 * 7") + """, formed AS (
+  SELECT q.*, r.status AS s, r.delivered_at IS NOT NULL AS d, row_number() OVER (PARTITION BY q.sequence_no ORDER BY request_no) AS turn
+  FROM requests q JOIN runs r ON r.sequence_no = q.sequence_no),
+walk AS (
+  SELECT sequence_no, turn, request_no, s, d, action, coalesce(refusal IN ('no_approver', 'same_person', 'unknown_approver') OR
+    (action = 'deliver' AND length(notes) > 2000), false) AS bad FROM formed JOIN (SELECT request_no, refusal FROM checked) USING (request_no)),
+steps AS (
+  WITH RECURSIVE run(sequence_no, turn, request_no, s, d, yes) AS (
+    SELECT sequence_no, 0::BIGINT, NULL::BIGINT, min(s), bool_or(d), false FROM walk GROUP BY sequence_no
+    UNION ALL
+    SELECT w.sequence_no, w.turn, w.request_no,
+      CASE WHEN w.bad THEN r.s WHEN w.action = 'release' AND r.s = 'Pending' THEN 'Released' WHEN w.action = 'skip' AND r.s IN ('Pending', 'Failed') THEN 'Skipped' ELSE r.s END,
+      r.d OR (NOT w.bad AND w.action = 'deliver' AND r.s = 'Released'),
+      NOT w.bad AND ((w.action = 'release' AND r.s = 'Pending') OR (w.action = 'skip' AND r.s IN ('Pending', 'Failed')) OR (w.action = 'deliver' AND r.s = 'Released' AND NOT r.d))
+    FROM run r JOIN walk w ON w.sequence_no = r.sequence_no AND w.turn = r.turn + 1)
+  SELECT * FROM run),
+chain AS (
+  SELECT q.request_no, q.sequence_no, q.action, q.actor, q.approver, q.imported_record_count, coalesce(n.yes, false) AS accepted, CASE WHEN NOT coalesce(n.yes, false) THEN CASE
+    WHEN action = 'release' AND trim(approver) = '' THEN 'no_approver'
+    WHEN action = 'release' AND lower(actor) = lower(approver) THEN 'same_person'
+    WHEN action = 'release' AND lower(approver) NOT IN (SELECT 'u' || user_id FROM events WHERE value > 200) THEN 'unknown_approver'
+    WHEN b.sequence_no IS NULL THEN 'no_run'
+    WHEN action = 'release' THEN 'not_pending'
+    WHEN action = 'deliver' AND b.s <> 'Released' THEN 'not_released'
+    WHEN action = 'deliver' AND b.d THEN 'delivered_before'
+    WHEN action = 'deliver' THEN 'long_notes'
+    ELSE 'not_skippable' END END AS reason
+  FROM requests q LEFT JOIN steps n ON n.request_no = q.request_no LEFT JOIN steps b ON b.sequence_no = n.sequence_no AND b.turn = n.turn - 1)"""
+
 SPARSE = """sparse AS (SELECT o_orderkey, nullif(o_orderpriority, '1-URGENT') AS priority,
   CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS ordered FROM orders)"""
 
@@ -287,7 +317,7 @@ ORACLE: dict[str, str] = {
         FROM range((SELECT min(sequence_no) FROM runs), (SELECT max(sequence_no) FROM runs)) r(k)
         WHERE k NOT IN (SELECT sequence_no FROM runs)""",
     "ledger_release_check": f"""WITH {JUDGED} SELECT request_no, sequence_no, action, coalesce(accepted, false) AS accepted,
-        CASE WHEN refusal IS NOT NULL THEN refusal WHEN NOT accepted THEN 'Another request of this batch changed the run first.' END
+        CASE WHEN refusal IS NOT NULL THEN refusal WHEN NOT accepted THEN 'overtaken' END
         AS reason FROM judged""",
     "ledger_after_requests": f"""WITH {JUDGED} SELECT r.sequence_no,
         CASE j.action WHEN 'release' THEN 'Released' WHEN 'skip' THEN 'Skipped' ELSE r.status END AS status,
@@ -296,6 +326,12 @@ ORACLE: dict[str, str] = {
         CASE WHEN j.action = 'deliver' THEN j.actor END AS delivered_by,
         CASE WHEN j.action = 'deliver' THEN j.imported_record_count END AS imported_record_count
         FROM runs r LEFT JOIN (SELECT * FROM judged WHERE accepted) j ON j.sequence_no = r.sequence_no""",
+    "ledger_request_chain": f"WITH {CHAIN} SELECT request_no, sequence_no, action, accepted, reason FROM chain",
+    "ledger_after_chain": f"""WITH {CHAIN} SELECT r.sequence_no, CASE WHEN bool_or(c.action = 'skip') THEN 'Skipped' WHEN bool_or(c.action = 'release') THEN 'Released'
+        ELSE any_value(r.status) END AS status, max(c.actor) FILTER (WHERE c.action = 'release') AS operated_by,
+        max(c.approver) FILTER (WHERE c.action = 'release') AS approved_by, max(c.actor) FILTER (WHERE c.action = 'deliver') AS delivered_by,
+        max(c.imported_record_count) FILTER (WHERE c.action = 'deliver') AS imported_record_count
+        FROM runs r LEFT JOIN (SELECT * FROM chain WHERE accepted) c ON c.sequence_no = r.sequence_no GROUP BY r.sequence_no""",
     "audit_latest": """SELECT event_id AS id, 'u' || user_id AS username, event_type AS action, props AS detail
         FROM events ORDER BY event_id DESC LIMIT 100""",
 }

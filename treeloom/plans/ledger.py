@@ -18,6 +18,10 @@ PENDING, RELEASED, FAILED, SKIPPED = "Pending", "Released", "Failed", "Skipped"
 GAP_WARNING = (
     "Sequence gap: %d earlier run(s) are unresolved (%s). Investigate or skip them before releasing #%d."
 )
+# Why a request is refused.
+NO_APPROVER, SAME_PERSON, UNKNOWN_APPROVER, UNKNOWN_ACTION = "no_approver", "same_person", "unknown_approver", "unknown_action"
+NO_RUN, NOT_PENDING, NOT_RELEASED, DELIVERED, LONG_NOTES = "no_run", "not_pending", "not_released", "delivered_before", "long_notes"
+NOT_SKIPPABLE, OVERTAKEN = "not_skippable", "overtaken"
 STALE_AFTER = timedelta(hours=24)
 NOTES_LIMIT = 2000
 GAP_SHOWN = 3
@@ -132,60 +136,109 @@ def check_requests(
     winners = asked.where("reason is null").groupBy("sequence_no").agg(F.min("request_no").alias("__first"))
     judged = asked.join(winners.select("__first"), F.col("request_no") == F.col("__first"), "left")
     accepted = F.col("__first").isNotNull()
-    later = F.when(accepted, F.lit(None)).otherwise(F.lit("Another request of this batch changed the run first."))
+    later = F.when(accepted, F.lit(None)).otherwise(F.lit(OVERTAKEN))
     return judged.select(
         *[c for c in requests.columns if c != "__who"], accepted.alias("accepted"),
         F.coalesce("reason", later).alias("reason"),
     )
 
 
-def _refusal() -> Column:
-    number = F.concat(F.lit("#"), F.col("sequence_no").cast("string"))
-    status, action = F.col("__status"), F.col("action")
+def _form_refusal() -> Column:
+    """What is wrong with a request whatever its run's state; ``__who`` and ``__user`` are its approver and the user found."""
     release = (
-        F.when(F.trim(F.coalesce("approver", F.lit(""))) == "", F.lit("Approver is required."))
-        .when(F.lower("actor") == F.col("__who"), F.lit("Operator and approver must be different users."))
-        .when(F.col("__user").isNull(), F.concat(F.lit("Unknown approver: "), F.col("approver")))
-        .when(status.isNull(), F.concat(F.lit("No run "), number))
-        .when(status != PENDING, F.concat(F.lit("Run "), number, F.lit(" is already "), status))
+        F.when(F.trim(F.coalesce("approver", F.lit(""))) == "", F.lit(NO_APPROVER))
+        .when(F.lower("actor") == F.col("__who"), F.lit(SAME_PERSON))
+        .when(F.col("__user").isNull(), F.lit(UNKNOWN_APPROVER))
     )
-    deliver = (
-        F.when(status.isNull(), F.concat(F.lit("No run "), number))
-        .when(status != RELEASED, F.lit("Only released runs can be delivered."))
-        .when(F.col("__delivered").isNotNull(), F.concat(F.lit("Run "), number, F.lit(" is already delivered")))
-        .when(F.length("notes") > NOTES_LIMIT, F.lit("Delivery notes are too long."))
+    return F.when(F.col("action") == "release", release).when(~F.coalesce(F.col("action").isin("deliver", "skip"), F.lit(False)), F.lit(UNKNOWN_ACTION))
+
+
+def _state_refusal() -> Column:
+    """What the state of its run (``__status``, ``__delivered``) has against a request."""
+    status, action = F.col("__status"), F.col("action")
+    deliver = F.when(status != RELEASED, F.lit(NOT_RELEASED)).when(F.col("__delivered").isNotNull(), F.lit(DELIVERED))
+    return (
+        F.when(status.isNull(), F.lit(NO_RUN))
+        .when((action == "release") & (status != PENDING), F.lit(NOT_PENDING))
+        .when(action == "deliver", deliver)
+        .when((action == "skip") & ~status.isin(PENDING, FAILED), F.lit(NOT_SKIPPABLE))
     )
-    skip = F.when(status.isNull(), F.concat(F.lit("No run "), number)).when(
-        ~status.isin(PENDING, FAILED), F.concat(F.lit("Run "), number, F.lit(" cannot be skipped: "), status)
+
+
+def _refusal() -> Column:
+    notes = F.when((F.col("action") == "deliver") & (F.length("notes") > NOTES_LIMIT), F.lit(LONG_NOTES))
+    return F.coalesce(_form_refusal(), _state_refusal(), notes)
+
+
+def judge_in_turn(runs: DataFrame, requests: DataFrame, users: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Each request with ``accepted`` and a ``reason``, judged by the state that the requests before it left: a run may be
+    released and then delivered in one batch. Columns as in ``check_requests``; ``request_no`` is unique.
+
+    A run can change at most twice (pending, released, delivered), so its whole course is known from two minima over its
+    well-formed requests: the first that its state allows, and the first that the next state allows. Both are combined
+    map-side. Every request then finds its state by comparing its number with these two; none waits for another.
+    """
+    asked = requests.withColumn("__who", F.lower("approver"))
+    known = users.select(F.lower("username").alias("__user")).where("__user is not null").distinct()
+    runs_heavy, users_heavy = measure_heavy(asked, "sequence_no", "__who", heavy_rows=heavy_rows)
+    asked = checkpointed(skew_join(asked, known, "__who", "__user", "request_no", "left", users_heavy))
+    well_formed = _form_refusal().isNull() & ~((F.col("action") == "deliver") & (F.coalesce(F.length("notes"), F.lit(0)) > NOTES_LIMIT))
+    moves = asked.where(well_formed).select(F.col("sequence_no").alias("__seq"), "request_no", "action")
+
+    def first(action: str) -> Column:
+        return F.min(F.when(F.col("action") == action, F.col("request_no"))).alias(f"__{action}")
+
+    course = runs.select(
+        F.col("sequence_no").alias("__seq"), F.col("status").alias("__status"), F.col("delivered_at").alias("__delivered")
+    ).join(moves.groupBy("__seq").agg(first("release"), first("deliver"), first("skip")), "__seq", "left")
+    status = F.col("__status")
+    allowed = (
+        F.when(status == PENDING, F.least("__release", "__skip")).when(status == FAILED, F.col("__skip"))
+        .when((status == RELEASED) & F.col("__delivered").isNull(), F.col("__deliver"))
     )
-    return (
-        F.when(action == "release", release).when(action == "deliver", deliver).when(action == "skip", skip)
-        .otherwise(F.concat(F.lit("Unknown action: "), action))
+    course = course.withColumn("__first", allowed).withColumn(
+        "__then", F.when((status == PENDING) & (F.col("__first") == F.col("__release")), RELEASED).when(status == RELEASED, RELEASED)
+        .when(F.col("__first").isNotNull(), SKIPPED)
+    )
+    # Only of runs that the batch releases is a second change looked for: the first delivery after that.
+    released = course.where((status == PENDING) & (F.col("__then") == RELEASED) & F.col("__delivered").isNull())
+    released = released.select(F.col("__seq").alias("__released"), F.col("__first").alias("__from"))
+    deliveries = skew_join(moves.where("action = 'deliver'"), released, "__seq", "__released", "request_no", "inner", runs_heavy)
+    second = deliveries.where("request_no > __from").groupBy(F.col("__seq").alias("__changed")).agg(F.min("request_no").alias("__second"))
+    course = course.join(second, F.col("__seq") == F.col("__changed"), "left").select(
+        "__seq", status.alias("__before"), F.col("__delivered").alias("__had"), "__first", "__then", "__second"
     )
+    judged = skew_join(asked, course, "sequence_no", "__seq", "request_no", "left", runs_heavy)
+    later = F.coalesce(F.col("request_no") > F.col("__first"), F.lit(False))
+    delivered = F.when(later & (F.col("__before") == RELEASED), F.lit("now")).when(
+        F.coalesce(F.col("request_no") > F.col("__second"), F.lit(False)), F.lit("now")
+    ).otherwise(F.col("__had"))
+    judged = judged.withColumn("__status", F.when(later, F.col("__then")).otherwise(F.col("__before"))).withColumn("__delivered", delivered)
+    judged = judged.withColumn("reason", _refusal())
+    return judged.select(*requests.columns, F.col("reason").isNull().alias("accepted"), "reason")
 
 
 def apply_requests(runs: DataFrame, checked: DataFrame, now: datetime) -> DataFrame:
-    """The ledger after the accepted requests of a batch; at most one applies to a run."""
+    """The ledger after the accepted requests of a batch: of each action at most one to a run, so that their order no
+    longer matters, but that a release comes before a delivery."""
     moment = F.date_format(F.lit(now), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'0+00:00'")
-    done = checked.where("accepted").select(
-        F.col("sequence_no").alias("__seq"), F.col("action").alias("__action"), F.col("actor").alias("__actor"),
-        F.col("approver").alias("__approver"), F.col("imported_record_count").alias("__count"),
-        F.col("notes").alias("__notes"),
+    parts = F.struct("actor", "approver", "imported_record_count", "notes")
+    done = checked.where("accepted").groupBy(F.col("sequence_no").alias("__seq")).agg(
+        *[F.first(F.when(F.col("action") == action, parts), ignorenulls=True).alias(f"__{action}") for action in ("release", "deliver", "skip")]
     )
-    action = F.col("__action")
 
-    def changed(name: str, when: str, value: Column) -> Column:
-        return F.when(action == when, value).otherwise(F.col(name))
+    def changed(name: str, action: str, value: Column) -> Column:
+        return F.when(F.col(f"__{action}").isNotNull(), value).otherwise(F.col(name))
 
     updates = {
-        "status": F.when(action == "release", F.lit(RELEASED)).when(action == "skip", F.lit(SKIPPED)).otherwise(F.col("status")),
-        "operated_by": changed("operated_by", "release", F.col("__actor")),
-        "approved_by": changed("approved_by", "release", F.col("__approver")),
+        "status": F.when(F.col("__skip").isNotNull(), SKIPPED).otherwise(changed("status", "release", F.lit(RELEASED))),
+        "operated_by": changed("operated_by", "release", F.col("__release.actor")),
+        "approved_by": changed("approved_by", "release", F.col("__release.approver")),
         "released_at": changed("released_at", "release", moment),
         "delivered_at": changed("delivered_at", "deliver", moment),
-        "delivered_by": changed("delivered_by", "deliver", F.col("__actor")),
-        "imported_record_count": changed("imported_record_count", "deliver", F.col("__count")),
-        "delivery_notes": changed("delivery_notes", "deliver", F.col("__notes")),
+        "delivered_by": changed("delivered_by", "deliver", F.col("__deliver.actor")),
+        "imported_record_count": changed("imported_record_count", "deliver", F.col("__deliver.imported_record_count")),
+        "delivery_notes": changed("delivery_notes", "deliver", F.col("__deliver.notes")),
     }
     joined = runs.join(done, F.col("sequence_no") == F.col("__seq"), "left")
     return joined.select(*[updates.get(name, F.col(name)).alias(name) for name in runs.columns])

@@ -569,6 +569,21 @@ def ledger_after_requests(t: Resolve) -> DataFrame:
     return after.select("sequence_no", "status", "operated_by", "approved_by", "delivered_by", "imported_record_count")
 
 
+def _turns(t: Resolve) -> DataFrame:
+    """The requests dealt to few runs, so that many meet at each."""
+    return _requests(t).withColumn("sequence_no", F.expr("cast(request_no % 211 * 7 as int)"))
+
+
+def ledger_request_chain(t: Resolve) -> DataFrame:
+    judged = ledger.judge_in_turn(_runs(t), _turns(t), _users(t))
+    return judged.select("request_no", "sequence_no", "action", "accepted", "reason")
+
+
+def ledger_after_chain(t: Resolve) -> DataFrame:
+    after = ledger.apply_requests(_runs(t), ledger.judge_in_turn(_runs(t), _turns(t), _users(t)), EXTRACTED_AT)
+    return after.select("sequence_no", "status", "operated_by", "approved_by", "delivered_by", "imported_record_count")
+
+
 def audit_latest(t: Resolve) -> DataFrame:
     audit = t("events").select(
         F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"),
@@ -637,6 +652,8 @@ CATALOGUE: dict[str, Callable[[Resolve], DataFrame]] = {
     "sequence_gaps": sequence_gaps,
     "ledger_release_check": ledger_release_check,
     "ledger_after_requests": ledger_after_requests,
+    "ledger_request_chain": ledger_request_chain,
+    "ledger_after_chain": ledger_after_chain,
     "audit_latest": audit_latest,
 }
 
