@@ -1,14 +1,14 @@
 """Spelling variants: a trie as an edge table, and a frontier of (word, rest, node, edits) states joined to it level by level.
 
 Words are the distinct lower-cased runs of letters of all texts. Each is put into a path-compressed trie twice, forwards
-and backwards. A node is named by a hash of its prefix; an edge carries the letters up to the next node that branches or
-ends a word. All words start at their root. A round joins every state to the edges of its node: the edge's letters are
-used up, with one letter replaced or left out at most. A state that reaches the end of another word with one edit is a
-neighbour; insertions are the deletions of the longer word.
+and backwards. A node is named by a hash of its prefix; an edge carries the letters up to the next node that branches, ends
+a word or ends the first half of one. A round joins every state to the edges of its node: the edge's letters are used up,
+with one letter replaced or left out at most. A state that reaches the end of another word with one edit is a neighbour;
+insertions are the deletions of the longer word.
 
-One edit leaves the first or the last half of a word alone. So edits are allowed only beyond a word's first half, where
-nodes have few edges; words written backwards find the others. A collision of hashes can only join two nodes, which adds
-paths; the distance of every pair found is checked at the end, so the result is exact.
+One edit leaves the first or the last half of a word alone. So states begin at the node that ends the word's first half,
+beyond which nodes have few edges; words written backwards find the edits before it. A collision of hashes can only join
+two nodes, which adds paths; the distance of every pair found is checked at the end, so the result is exact.
 
 A node with many words below has its edges repeated under several salts, among which states are dealt. Lineage is cut
 after each level. The number of levels is the largest number of branching nodes on one path, not the length of words.
@@ -30,7 +30,7 @@ from treeloom.operators.checkpoints import checkpointed
 LETTERS = "a-zÀ-ÿ"
 SHORTEST = 5
 SALT_ROWS = 20_000  # words below a node for each of its salts
-STATE = ("id", "rest", "node", "exact", "edits", "salts")
+STATE = ("id", "rest", "node", "edits", "salts")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,12 +41,12 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str, least: int, shortes
     runs = docs.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
         F.explode(F.expr(f"regexp_extract_all(translate(`{text_col}`, '{upper}', '{lower}'), '[{LETTERS}]{{{shortest},}}', 0)")).alias("run"),
-    ).groupBy("id", "run").agg(F.count(F.lit(1)).alias("n"))
+    )
     code = F.crc32(F.concat("id", F.lit(":"), "run"))
     at = F.pmod(code, F.length("run")).cast("int")
     spoiled = F.concat(F.expr("run").substr(F.lit(1), at), F.expr("run").substr(at + 2, F.length("run")))
-    words = runs.select(F.when(code % spoil == 0, spoiled).otherwise(F.col("run")).alias("word"), "n")
-    return words.where(F.length("word") >= shortest).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    words = runs.select(F.when(code % spoil == 0, spoiled).otherwise(F.col("run")).alias("word"))
+    return words.where(F.length("word") >= shortest).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def prefix_nodes(texts: list[str], sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -74,9 +74,10 @@ def _prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         row, depth, node, following = prefix_nodes(batch["text"].tolist(), batch["side"].to_numpy())
         ids = batch["id"].to_numpy()[row] * 2 + batch["side"].to_numpy()[row]
+        half = depth == batch["text"].map(len).to_numpy()[row] // 2
         for start in range(0, len(row), 200_000):
             part = slice(start, start + 200_000)
-            yield pd.DataFrame({"node": node[part], "path": ids[part], "depth": depth[part], "following": following[part]})
+            yield pd.DataFrame({"node": node[part], "path": ids[part], "depth": depth[part], "following": following[part], "half": half[part]})
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,19 +103,20 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edge table of ``paths`` (id, side, text): node, salt, first (letter), label, child, salts (of the child), ends.
+    """The edge table of ``paths`` (id, side, text): node, salt, label, child, salts (of the child), ends.
     And the salts of every node that has edges.
 
     Every node belongs to the word with the smallest id below it. What a word owns is then one piece at the end of its
     path, and its edges follow from the branching nodes in that piece: no node looks at all words below it.
     """
     nodes = (
-        paths.mapInPandas(_prefixes, "node long, path long, depth int, following long").groupBy("node").agg(
+        paths.mapInPandas(_prefixes, "node long, path long, depth int, following long, half boolean").groupBy("node").agg(
             F.min("path").alias("path"), F.min("depth").alias("depth"), F.count(F.lit(1)).alias("words"),
             (F.min("following") != F.max("following")).alias("branches"), (F.min("following") == -1).alias("ends"),
+            F.max("half").alias("half"),
         )
     )
-    stop = F.when(F.col("branches") | F.col("ends"), F.struct("depth", "words", "ends"))
+    stop = F.when(F.col("branches") | F.col("ends") | F.col("half"), F.struct("depth", "words", "ends"))
     owned = nodes.groupBy("path").agg(F.min("depth").alias("first"), F.sort_array(F.collect_list(stop)).alias("stops"))
     keyed = paths.withColumn("path", F.col("id") * 2 + F.col("side"))
     stops = [F.col(f"stops.{name}").alias(name) for name in ("depth", "words", "ends")]
@@ -125,32 +127,27 @@ def trie(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     salts = checkpointed(found.groupBy("node").agg(F.ceil(F.sum("words") / F.lit(SALT_ROWS)).cast("int").alias("salts")))
     below = salts.withColumnRenamed("node", "child")
     edges = found.join(salts.withColumnRenamed("salts", "own"), "node").join(below, "child", "left").select(
-        "node", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("salt"), F.substring("label", 1, 1).alias("first"), "label", "child",
+        "node", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("salt"), "label", "child",
         F.coalesce("salts", F.lit(1)).alias("salts"), "ends",
     )
     return checkpointed(edges), salts
 
 
 def _outcomes() -> Column:
-    """What an edge makes of a state: (rest, exact, edits) for each way to use up its label."""
-    rest, label, exact, size = F.col("rest"), F.col("label"), F.col("exact"), F.length("label")
+    """What an edge makes of a state: (rest, edits) for each way to use up its label, null where there is none."""
+    rest, label, size = F.col("rest"), F.col("label"), F.length("label")
     same = F.startswith(rest, label)
-    agreed = F.substr(rest, F.lit(1), exact) == F.substr(label, F.lit(1), exact)
-    left_over = F.greatest(exact - size, F.lit(0))
 
     def outcome(used: Column, edits: Column) -> Column:
-        return F.struct(F.substr(rest, used + 1, F.length(rest)).alias("rest"), left_over.alias("exact"), edits.alias("edits"))
+        return F.struct(F.substr(rest, used + 1, F.length(rest)).alias("rest"), edits.alias("edits"))
 
     def one_edit(used: Column) -> Column:
         part = F.substr(rest, F.lit(1), used)
-        return (F.col("edits") == 0) & ~same & agreed & (F.length(part) == used) & (F.levenshtein(part, label, 1) == 1)
+        return (F.col("edits") == 0) & ~same & (F.length(part) == used) & (F.levenshtein(part, label, 1) == 1)
 
     replaced = one_edit(size) & (F.substr(rest, F.lit(1), size) < label)  # each such pair is found from its smaller word
-    return F.filter(
-        F.array(
-            F.when(same, outcome(size, F.col("edits"))), F.when(replaced, outcome(size, F.lit(1))), F.when(one_edit(size + 1), outcome(size + 1, F.lit(1))),
-        ),
-        lambda one: one.isNotNull(),
+    return F.array(
+        F.when(same, outcome(size, F.col("edits"))), F.when(replaced, outcome(size, F.lit(1))), F.when(one_edit(size + 1), outcome(size + 1, F.lit(1)))
     )
 
 
@@ -159,37 +156,28 @@ def neighbours(words: DataFrame) -> DataFrame:
     sides = [words.select("id", F.lit(side).alias("side"), text.alias("text")) for side, text in ((0, F.col("word")), (1, F.reverse("word")))]
     paths = sides[0].union(sides[1])
     edges, salts = trie(paths)
-    ended = paths.mapInPandas(_ends, "b long, node long")
-    roots = [int(prefix_nodes([""], np.array([side]))[2][0]) for side in (0, 1)]
-    dealt = {row["node"]: row["salts"] for row in salts.where(F.col("node").isin(roots)).collect()}  # two rows
-
-    def of_side(values: list[int]) -> Column:
-        return F.when(F.col("side") == 0, F.lit(values[0])).otherwise(F.lit(values[1]))
-
-    frontier = paths.select(
-        "id", F.col("text").alias("rest"), of_side(roots).alias("node"), F.floor(F.length("text") / 2).cast("int").alias("exact"),
-        F.lit(0).alias("edits"), of_side([dealt.get(root, 1) for root in roots]).alias("salts"),
+    edges = edges.repartition("node", "salt").persist()  # read by every round; lost parts come from the checkpoint
+    places = checkpointed(paths.mapInPandas(_places, "id long, rest string, node long, ending long"))
+    frontier = places.join(salts.where("salts > 1"), "node", "left").select(
+        "id", "rest", "node", F.lit(0).alias("edits"), F.coalesce("salts", F.lit(1)).alias("salts")
     )
     hits: list[DataFrame] = []
-    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        frontier = frontier.withColumn("salt", F.pmod(F.xxhash64("id", "rest"), F.col("salts")).cast("int"))
-        bound = (F.col("edits") == 1) | (F.col("exact") > 0)  # only one edge can carry on
-        straight = frontier.where(bound).withColumn("first", F.substring("rest", 1, 1)).drop("salts").join(edges, ["node", "salt", "first"])
-        free = frontier.where(~bound).drop("salts").join(edges.drop("first"), ["node", "salt"])
-        columns = ["id", F.explode(_outcomes()).alias("now"), "child", "salts", "ends"]
+        dealt = frontier.withColumn("salt", F.pmod(F.xxhash64("id", "rest"), F.col("salts")).cast("int")).drop("salts")
+        met = dealt.join(edges, ["node", "salt"]).where((F.col("edits") == 0) | F.startswith("rest", F.col("label")))
         stepped = checkpointed(
-            straight.select(*columns).union(free.select(*columns))
-            .select("id", F.col("now.rest").alias("rest"), F.col("child").alias("node"), F.col("now.exact").alias("exact"), F.col("now.edits").alias("edits"), "salts", "ends")
-            .coalesce(parts)  # a union has the partitions of both sides, and would double them level by level
+            met.select("id", F.explode(_outcomes()).alias("now"), "child", "salts", "ends").where("now is not null")
+            .select("id", F.col("now.rest").alias("rest"), F.col("child").alias("node"), F.col("now.edits").alias("edits"), "salts", "ends")
         )
         if stepped.isEmpty():
             break
         hits.append(stepped.where(F.col("ends") & (F.length("rest") + F.col("edits") == 1)).select(F.col("id").alias("a"), "node"))
         frontier = stepped.where("rest <> ''").select(*STATE)
+    edges.unpersist()
     if not hits:
         return words.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    met = reduce(DataFrame.union, hits).distinct().join(ended, "node").select("a", "b").where("a <> b").distinct()
+    ended = places.select(F.col("id").alias("b"), F.col("ending").alias("node"))
+    met = reduce(DataFrame.union, hits).join(ended, "node").select("a", "b").where("a <> b").distinct()
     text = words.select("id", "word")
     checked = (
         met.join(text.select(F.col("id").alias("a"), F.col("word").alias("x")), "a").join(text.select(F.col("id").alias("b"), F.col("word").alias("y")), "b")
@@ -199,11 +187,16 @@ def neighbours(words: DataFrame) -> DataFrame:
     return checked.union(checked.select("b", "a")).distinct()
 
 
-def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Where a word's states begin: what is left after its first half and the node there; and the node where it ends."""
     for batch in batches:
-        row, _, node, following = prefix_nodes(batch["text"].tolist(), batch["side"].to_numpy())
-        last = following == -1
-        yield pd.DataFrame({"b": batch["id"].to_numpy()[row[last]], "node": node[last]})
+        texts = batch["text"].tolist()
+        _, _, node, following = prefix_nodes(texts, batch["side"].to_numpy())
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        yield pd.DataFrame({
+            "id": batch["id"], "rest": [text[len(text) // 2 :] for text in texts], "node": node[starts + sizes // 2], "ending": node[following == -1],
+        })
 
 
 def last_forms(forms: DataFrame) -> DataFrame:
