@@ -40,7 +40,6 @@ def test_empty_and_few(spark):
 
 
 def test_recall_over_many_parts_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op, "PART_ROWS", 150)
     monkeypatch.setattr(op, "BLOCK_ROWS", 100)
     monkeypatch.setattr(op, "QUERY_ROWS", 10)
     random = np.random.default_rng(2)

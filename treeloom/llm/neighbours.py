@@ -3,8 +3,10 @@
 On a bounded sample the exact neighbour graph is built and cut into balanced parts: the parts start from a balanced
 hierarchy of splits, and vectors then move to the part that holds most of their neighbours, within the parts'
 capacity. A small network (one hidden layer, softmax) learns the part of a vector from the vector. Every row is
-indexed under its most probable part; a query goes to its most probable parts, as many as the sample's held-out
-queries need for the recall wanted, and is answered there by exact inner products in double precision.
+indexed under its most probable part; a query goes to its most probable parts, as many as queries need that were kept
+out of graph and training, and to further ones until they hold enough rows. There it is answered by exact inner products
+in double precision. The number of parts follows the sample, not the table: it is what the network can tell apart. Large
+parts are read in blocks.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from treeloom.operators.checkpoints import checkpointed
 
 SAMPLE = 8192  # about as many rows are fitted on, at most twice as many
-PART_ROWS = 2_000  # rows of a part aimed at; parts grow beyond it only where there would be over MOST_PARTS
-MOST_PARTS = 1_024
+MOST_PARTS = 32
+SAMPLE_ROWS = 32  # of a part, at least
 BLOCK_ROWS = 20_000  # rows of a part in one task
 QUERY_ROWS = 5_000  # queries of a part in one task
 NEIGHBOURS = 16
@@ -128,31 +130,37 @@ def train(vectors: np.ndarray, label: np.ndarray, parts: int, width: int = 128,
     return Router(shift, scale, *weights)
 
 
-def fit(sample: np.ndarray, total: int, recall: float, count: int) -> Router:
+def fit(sample: np.ndarray, recall: float, count: int) -> Router:
     """``sample``: finite vectors other than zero, one per row."""
     sample = np.unique(sample, axis=0)  # copies would fill a part
-    parts = int(max(1, min(MOST_PARTS, len(sample) // 32, round(total / PART_ROWS))))
-    graph = nearest(sample, sample, min(NEIGHBOURS, len(sample)))
-    router = train(sample, balanced_parts(sample, graph, parts), parts)
-    # how many parts hold the neighbours that the sample's queries want
-    asked = np.random.default_rng(9).permutation(len(sample))[:1024]
-    wanted = nearest(sample, sample[asked], min(count, len(sample)))
+    size = len(sample)
+    parts = max(1, min(MOST_PARTS, size // SAMPLE_ROWS))
+    mixed = np.random.default_rng(9).permutation(size)
+    asked, known = mixed[: min(1024, size // 8)], np.sort(mixed[min(1024, size // 8) :])
+    graph = nearest(sample[known], sample[known], min(NEIGHBOURS, len(known)))
+    router = train(sample[known], balanced_parts(sample[known], graph, parts), parts)
+    if not len(asked) or parts == 1:
+        router.probes = parts
+        return router
+    # How many parts hold the neighbours that queries want which neither graph nor network have seen.
+    wanted = nearest(sample, sample[asked], min(count + 1, size))
+    others = wanted != asked[:, None]
     home = router.parts(sample, 1)[:, 0]
     order = router.parts(sample[asked], parts)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(parts, dtype=order.dtype)[None, :].repeat(len(order), 0), axis=1)
-    place = np.take_along_axis(rank, home[wanted], axis=1)
+    place = np.take_along_axis(rank, home[wanted], axis=1)[others]
     share = np.array([(place < probes).mean() for probes in range(1, parts + 1)])
     router.probes = min(parts, int(np.searchsorted(share, recall)) + 1)
     return router
 
 
-def _fit(total: int, recall: float, count: int):
+def _fit(recall: float, count: int):
     """The model is fitted in one task, on the bounded sample; the driver gets the model alone."""
 
     def fitted(sample: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(sample["v"].to_numpy())
-        return pd.DataFrame({"model": [pickle.dumps(fit(vectors[np.lexsort(vectors.T)], total, recall, count))]})
+        return pd.DataFrame({"model": [pickle.dumps(fit(vectors[np.lexsort(vectors.T)], recall, count))]})
 
     return fitted
 
@@ -187,21 +195,33 @@ def search(
     asked = _usable(queries, id_col, vector_col).where(F.size("v") == sizes["size"]).distinct()
     share = min(1.0, SAMPLE / total)
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("v").limit(2 * SAMPLE)
-    router = pickle.loads(sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_fit(total, recall, count), "model binary").first()["model"])
+    router = pickle.loads(sample.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(_fit(recall, count), "model binary").first()["model"])
     shared = spark.sparkContext.broadcast(router)
 
-    def routed(probes: int):
+    def routed(held: np.ndarray | None):
+        """With the rows that each part holds: to so many parts that these hold ``count`` rows besides the query."""
+
         def route(batches):
             for batch in batches:
-                if len(batch):
-                    batch["part"] = list(shared.value.parts(np.stack(batch["v"].to_numpy()), probes))
-                    yield batch
+                if not len(batch):
+                    continue
+                vectors = np.stack(batch["v"].to_numpy())
+                if held is None:
+                    batch["part"] = list(shared.value.parts(vectors, 1))
+                else:
+                    order = shared.value.parts(vectors, len(held))
+                    enough = (np.cumsum(held[order], axis=1) <= count).sum(axis=1) + 1
+                    batch["part"] = [own[: max(probes, router.probes)] for own, probes in zip(order, enough)]
+                yield batch
 
         return route
 
     schema = "id long, v array<double>, part array<int>"
-    base = checkpointed(rows.mapInPandas(routed(1), schema).withColumn("part", F.col("part")[0]))
-    asked = checkpointed(asked.mapInPandas(routed(router.probes), schema).withColumn("part", F.explode("part")))
+    base = checkpointed(rows.mapInPandas(routed(None), schema).withColumn("part", F.col("part")[0]))
+    held = np.zeros(router.out.shape[1], np.int64)
+    for row in base.groupBy("part").agg(F.countDistinct("id").alias("n")).collect():  # at most MOST_PARTS
+        held[row["part"]] = row["n"]
+    asked = checkpointed(asked.mapInPandas(routed(held), schema).withColumn("part", F.explode("part")))
     per_part = base.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     per_query = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("slices"))
     shape = F.broadcast(per_part.join(per_query, "part"))  # one row per part, at most MOST_PARTS
