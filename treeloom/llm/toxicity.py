@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeloom.llm.common import LETTER, POWER, mixed
+from treeloom.llm.filters import bloom, may_hold
 from treeloom.operators.checkpoints import checkpointed
 
 ORDER = 6
@@ -35,6 +36,7 @@ TAIL = 50  # one word in so many makes the second mean
 MARK = 32
 BUFFER = 6 << 20
 SEGMENT = 4 << 20
+MOST_LABELS = 2_000_000  # labels (an id and a number) that are broadcast to the documents
 KNOWN = 1_000_000  # words remembered by a task, which changes speed only
 INSIDE = np.zeros(256, bool)
 INSIDE[ord("a") : ord("z") + 1] = True
@@ -146,7 +148,7 @@ def entries(tops: DataFrame) -> DataFrame:
     parts: list[DataFrame] = []
     for order in range(ORDER, 0, -1):
         if order == SHARED:
-            level = level.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("toxic", F.lit(-1))
+            level = level.withColumn("toxic", F.lit(-1))
         of = ["toxic", _shorter(F.col("gram"), order, True).alias("context")]
         context = level.groupBy(*of).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
         chance = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
@@ -160,11 +162,12 @@ def entries(tops: DataFrame) -> DataFrame:
                 longer = level.select("gram").distinct().withColumn("toxic", F.lit(-1))
             below = longer.select("toxic", _shorter(F.col("gram"), order, False).alias("gram"), F.lit(1).cast("long").alias("n"))
             first = tops.where(size == order - 1).select(F.lit(-1).alias("toxic") if order - 1 <= SHARED else F.col("toxic"), "gram", "n")
-            level = below.select("toxic", "gram", "n").union(first.select("toxic", "gram", "n")).groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
+            both = below.select("toxic", "gram", "n").union(first.select("toxic", "gram", "n"))
+            level = checkpointed(both.groupBy("toxic", "gram").agg(F.sum("n").alias("n")))
     table = parts[0]
     for part in parts[1:]:
         table = table.union(part)
-    of_class = [F.max(F.when(F.col("toxic").isin(label, -1), F.col(name))).alias(f"{name}{label}") for name in "ab" for label in (0, 1)]
+    of_class = [F.max(F.when(F.col("toxic").isin(label, -1), F.col(name))).cast("float").alias(f"{name}{label}") for name in "ab" for label in (0, 1)]
     return checkpointed(table.groupBy("gram").agg(*of_class))
 
 
@@ -267,7 +270,7 @@ def _with(schema, *columns: str) -> str:
 def by_broadcast(docs: DataFrame, table: DataFrame) -> DataFrame:
     """``docs`` (text, …) with ``whole`` and ``tail`` instead of the text; every task holds the table."""
     rows = table.toArrow()  # at most most_entries rows
-    values = np.column_stack([rows.column(name).to_numpy().astype(np.float32) for name in ("a0", "a1", "b0", "b1")])
+    values = np.column_stack([rows.column(name).to_numpy() for name in ("a0", "a1", "b0", "b1")])
     shared = docs.sparkSession.sparkContext.broadcast((rows.column("gram").to_numpy(), values))
     return docs.mapInPandas(_features(shared), _with(docs.drop("text").schema, "whole double", "tail double"))
 
@@ -321,6 +324,14 @@ def by_join(docs: DataFrame, table: DataFrame) -> DataFrame:
     return docs.drop("text").join(found, "__hash", "left").select(*rest, *filled)
 
 
+def _labelled(known):
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[may_hold(known.value, batch["key"].to_numpy().view(np.uint64))]
+
+    return labelled
+
+
 def logistic(features: np.ndarray, labels: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights (the constant first) by Newton's method, a little drawn to zero; both classes weigh as they occur."""
     x = np.column_stack([np.ones(len(labels)), features])
@@ -344,11 +355,17 @@ class Learned:
         return by_broadcast(docs, self.table) if self.small else by_join(docs, self.table)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_entries: int, fitted_rows: int) -> Learned | None:
-    """The models of the labelled rows that are not held out; a fifth of them only fit the regression, ``fitted_rows`` at most
-    (those with the smallest hashes). None where a class has no row."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_entries: int, fitted_rows: int, most_labels: int = MOST_LABELS) -> Learned | None:
+    """The models of the labelled rows that are not held out; a fifth of them only fit the regression, ``fitted_rows`` of these
+    (about, by the hashes of their ids and texts). None where a class has no row."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("toxic"))
-    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked.where("toxic in (0, 1)"), "id")
+    marked = checkpointed(marked.where("toxic in (0, 1)"))
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if marked.count() <= most_labels:
+        rows = rows.join(F.broadcast(marked), "id")
+    else:  # texts without a label are left out before the others are shuffled
+        known = docs.sparkSession.sparkContext.broadcast(bloom(marked.select(F.xxhash64("id").alias("key"))))
+        rows = rows.withColumn("key", F.xxhash64("id")).mapInPandas(_labelled(known), rows.withColumn("key", F.xxhash64("id")).schema).drop("key").join(marked, "id")
     rows = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.lit(5)))
     tops = checkpointed(
         rows.where("share > 0").select("toxic", "text").mapInPandas(_tops, "toxic int, gram long, n long").groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
@@ -357,8 +374,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         return None
     learned = Learned(entries(tops), True, np.zeros(3))
     learned.small = learned.table.count() <= most_entries
-    asked = rows.where("share = 0").withColumn("order", F.xxhash64("id", "text"))
-    sample = asked.orderBy("order").limit(fitted_rows).select("toxic", "text")
+    kept = rows.where("share = 0")
+    part = min(1.0, fitted_rows / max(kept.select("id").count(), 1))
+    sample = kept.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < part * (1 << 30)).select("toxic", "text")
     fitted = learned.features(sample).toPandas()
     if fitted["toxic"].nunique() < 2:
         learned.weights = np.array([-2.0, 0.0, 0.5])  # nothing to fit: evidence in the tail alone
@@ -369,7 +387,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    least: float = 0.7, most_entries: int = 4_000_000, fitted_rows: int = 20_000,
+    least: float = 0.7, most_entries: int = 4_000_000, fitted_rows: int = 20_000, most_labels: int = MOST_LABELS,
 ) -> DataFrame:
     """``docs`` without its text, with ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``least`` on); columns of
     these names are replaced.
@@ -380,7 +398,7 @@ def toxicity(
     segments. Without a labelled row of either class every score is 0. An empty table gives an empty result.
     """
     docs = docs.drop("held_out", "score", "predicted", "whole", "tail")
-    learned = learn(docs, labels, id_col, text_col, label_col, most_entries, fitted_rows)
+    learned = learn(docs, labels, id_col, text_col, label_col, most_entries, fitted_rows, most_labels)
     rest = [name for name in docs.columns if name != text_col]
     asked = docs.select(F.col(text_col).alias("text"), *[F.col(name).alias(f"c{at}") for at, name in enumerate(rest)])
     if learned is None:
