@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from treeloom.operators.checkpoints import checkpointed
 
 LETTERS = re.compile(r"[^\W\d_]+")
+BLANK = re.compile(r"\s")
+STRETCH = 200  # longer runs of letters are learned from in stretches
 START = "▁"
 UNKNOWN = 1e-8  # of a letter that the vocabulary has no piece for
 SMOOTHING = 0.02
@@ -92,63 +94,121 @@ class Model:
 
 class WordScores(dict):
     """Log probabilities of words between white space under every language, remembered up to a bound. A row of
-    the table holds a word's sums over its runs of letters, and how many it has."""
+    the table holds a word's sums over its runs of letters, and how many it has. New words are scored many at a time."""
 
     BOUND = 1_000_000
     SHORT = 24  # the probability of a run of so many letters is far from the smallest number
+    SEGMENT = 1 << 20  # letters of a text split into words at once
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.lattice = model, model.lattice
-        self.chances = dict(zip(model.pieces, zip(*model.chances)))
-        self.unknown = (UNKNOWN,) * len(model.languages)
-        self.rows = np.zeros((4096, len(model.languages) + 1))
-
-    def __missing__(self, word: str) -> int:
-        runs = LETTERS.findall(word)
-        if runs == [word]:
-            row = np.array([*self.logs(START + word), 1.0])
-        else:
-            places = [self[run] for run in runs]  # may replace the table by a larger one
-            row = self.rows[places].sum(axis=0)
-        place = len(self)
-        if place == len(self.rows):
+        self.ids = self.lattice.ids
+        languages = len(model.languages)
+        # Two more rows: a letter without a piece, and no way to use several letters at once.
+        self.unknown, self.never = len(model.pieces), len(model.pieces) + 1
+        self.chances = np.concatenate([np.array(model.chances).reshape(languages, len(model.pieces)).T, np.full((1, languages), UNKNOWN), np.zeros((1, languages))])
+        self.rows = np.zeros((4096, languages + 1))
+
+    def add(self, words: Iterable[str]) -> None:
+        """Scores the words that are new."""
+        spelled = {word: LETTERS.findall(word) for word in words if word not in self}
+        runs = list({run for found in spelled.values() for run in found if run not in self})
+        self._put(runs, np.column_stack([self.logs(runs), np.ones(len(runs))]))
+        mixed = [word for word in spelled if word not in self]
+        sums = [self.rows[[self[run] for run in spelled[word]]].sum(axis=0) for word in mixed]
+        self._put(mixed, np.array(sums).reshape(len(mixed), -1))
+
+    def _put(self, words: list[str], rows: np.ndarray) -> None:
+        if not words:
+            return
+        first = len(self)
+        while first + len(words) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[place] = row
-        self[word] = place
-        return place
-
-    def logs(self, run: str) -> list[float]:
-        """The forward sums of all languages side by side."""
-        size, get, longest = len(run), self.chances.get, self.lattice.longest
-        if size > self.SHORT:
-            edges = self.lattice.edges(run)
-            return [log_chance(edges, size, chance) for chance in self.model.chances]
-        none = [0.0] * len(self.unknown)
-        sums = [[1.0] * len(none)] + [none] * size
-        for start in range(size):
-            here = sums[start]
-            for end in range(start + 1, min(size, start + longest) + 1):
-                chance = get(run[start:end])
-                if chance is None:
-                    if end > start + 1:
-                        continue
-                    chance = self.unknown
-                sums[end] = [total + part * each for total, part, each in zip(sums[end], here, chance)]
-        return list(map(math.log, sums[size]))
+        self.rows[first : first + len(words)] = rows
+        self.update(zip(words, range(first, first + len(words))))
+
+    def logs(self, runs: list[str]) -> np.ndarray:
+        """The logarithms of the forward sums, a row for each run and a column for each language. Runs of one length take
+        their steps together."""
+        found = np.zeros((len(runs), len(self.model.languages)))
+        by_size: dict[int, list[int]] = {}
+        for at, run in enumerate(runs):
+            by_size.setdefault(len(run) + 1, []).append(at)
+        for size, places in by_size.items():
+            if size > self.SHORT:
+                for at in places:
+                    found[at] = self._long(START + runs[at])
+                continue
+            steps = [(start, end) for end in range(1, size + 1) for start in range(max(0, end - self.lattice.longest), end)]
+            default = [self.unknown if end - start == 1 else self.never for start, end in steps]
+            get = self.ids.get
+            for part in range(0, len(places), 20_000):
+                here = places[part : part + 20_000]
+                names = [START + runs[at] for at in here]
+                pieces = np.array([[get(name[a:b], other) for (a, b), other in zip(steps, default)] for name in names], np.int32)
+                sums = np.zeros((size + 1, len(here), found.shape[1]))
+                sums[0] = 1
+                for step, (start, end) in enumerate(steps):
+                    sums[end] += sums[start] * self.chances[pieces[:, step]]
+                found[here] = np.log(sums[size])
+        return found
+
+    def _long(self, run: str) -> np.ndarray:
+        """One run of any length; only as many sums are held as a piece has letters."""
+        ring, scale = [np.ones(self.chances.shape[1])], np.zeros(self.chances.shape[1])
+        for end in range(1, len(run) + 1):
+            total = np.zeros_like(scale)
+            for back, before in enumerate(reversed(ring), 1):
+                piece = self.ids.get(run[end - back : end], self.unknown if back == 1 else self.never)
+                if piece != self.never:
+                    total += before * self.chances[piece]
+            if total.min() < TINY:
+                ring, scale, total = [before / total for before in ring], scale + np.log(total), np.ones_like(total)
+            ring = [*ring, total][-self.lattice.longest :]
+        return np.log(ring[-1]) + scale
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        totals = np.zeros((len(texts), self.rows.shape[1]))
+        waiting: list[tuple[int, list[str]]] = []
+        held = 0
+        for at, text in enumerate(texts):
+            for segment in _segments((text or "").lower(), self.SEGMENT):
+                waiting.append((at, segment.split()))
+                held += len(segment)
+                if held > self.SEGMENT:
+                    self._sum_up(waiting, totals)
+                    waiting, held = [], 0
+        self._sum_up(waiting, totals)
+        return [self._best(total) for total in totals]
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
+    def _sum_up(self, waiting: list[tuple[int, list[str]]], totals: np.ndarray) -> None:
         if len(self) > self.BOUND:
             self.clear()
-        words = (text or "").lower().split()
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.rows[places].sum(axis=0)
+        self.add(set().union(*(words for _, words in waiting)))
+        for at, words in waiting:
+            totals[at] += self.rows[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(axis=0)
+
+    def _best(self, total: np.ndarray) -> tuple[str, float]:
         if not total[-1] or not self.model.languages:
             return "und", 0.0
         best = int(total[:-1].argmax())
         return self.model.languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())
 
 
+def _segments(text: str, size: int) -> Iterator[str]:
+    """A text in parts that end at white space."""
+    start = 0
+    while start < len(text):
+        blank = BLANK.search(text, start + size)
+        end = blank.end() if blank else len(text)
+        yield text[start:end]
+        start = end
+
+
 def held_out(id_col: str) -> Column:
     """Rows kept from learning: the remainder of the id's CRC-32 is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
@@ -194,10 +254,11 @@ def _expected(shared):
         totals: dict[str, dict[int, float]] = {}
         for batch in batches:
             for lang, word, n in batch.itertuples(index=False):
-                word = START + word[:200]  # learning only: longer runs of letters count by their first letters
-                counts, chance = totals.setdefault(lang, {}), chances[lang]
-                for piece, part in piece_counts(lattice.edges(word), len(word), chance):
-                    counts[piece] = counts.get(piece, 0.0) + n * part
+                word, counts, chance = START + word, totals.setdefault(lang, {}), chances[lang]
+                for at in range(0, len(word), STRETCH):
+                    stretch = word[at : at + STRETCH]
+                    for piece, part in piece_counts(lattice.edges(stretch), len(stretch), chance):
+                        counts[piece] = counts.get(piece, 0.0) + n * part
         for lang, counts in totals.items():
             yield pd.DataFrame({"lang": lang, "piece": list(counts), "n": list(counts.values())})
 
@@ -218,9 +279,10 @@ def piece_counts(edges: list[tuple[int, int, int]], size: int, chance: list[floa
             yield piece, math.exp(math.log(sums[start]) + scale[start] + math.log(chance[piece]) + back[end] - whole)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` (a learned language; ``und`` for a null text or one without a letter) and
-    ``score`` (its share of the probability of all languages, 0 for ``und``). Ties go to the first name."""
+    ``score`` (its share of the probability of all languages, 0 for ``und``). Ties go to the first name.
+    With ``keep`` only these columns come back from the Python workers."""
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.drop("lang_pred", "score").schema
     names = schema.names
 
@@ -229,17 +291,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         scores = WordScores(shared.value)
         for batch in batches:
-            found = [scores.predict(text) for text in batch.column(names.index(text_col)).to_pylist()]
+            found = scores.predict_all(batch.column(names.index(text_col)).to_pylist())
             lang, score = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, score], names=[*names, "lang_pred", "score"])
+            passed = [column for name, column in zip(names, batch.columns) if name in kept]
+            yield pa.RecordBatch.from_arrays([*passed, lang, score], names=[*kept, "lang_pred", "score"])
 
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, lang_pred string, score double"
+    kept = [name for name in names if keep is None or name in keep]
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in kept), "lang_pred string", "score double"])
     return docs.select(*names).mapInArrow(predicted, out)
 
 
 def identify(
     docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    per_language: int = 1500, rounds: int = 3,
+    per_language: int = 1500, rounds: int = 3, keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score`` (columns of these names are replaced).
 
@@ -249,4 +313,4 @@ def identify(
     """
     docs = docs.withColumn("held_out", held_out(id_col))
     model = learn(docs.where("not held_out"), id_col, text_col, lang_col, vocabulary_path, per_language, rounds)
-    return predict(docs, model, text_col)
+    return predict(docs, model, text_col, keep)

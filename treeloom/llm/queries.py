@@ -33,7 +33,8 @@ def op2_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
-    found = language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"), tokenizer_path("piece_bpe_32k.model"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, tokenizer_path("piece_bpe_32k.model"), keep=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
