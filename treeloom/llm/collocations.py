@@ -30,7 +30,7 @@ from treeloom.operators.checkpoints import checkpointed
 LONGEST = 5
 SHARD_BITS = 6  # the last bits of a counted hash are the shard
 SHARD_MASK = np.uint64((1 << SHARD_BITS) - 1)
-BUFFER = 12 << 20  # bytes of text counted together
+BUFFER = 4 << 20  # bytes of text counted together; the arrays take about 60 bytes for each
 SEGMENT = 4 << 20  # longer texts are read in segments
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 blank, 2 between pieces
