@@ -2,12 +2,16 @@
 
 A package is a folder of part files whose contents, one after the other (``head``, ``rows``, ``split``, ``tail``, each in
 name order), are the export: a JSON document with its envelope, or CSV with comment and header. It is written under
-a name of its own attempt, counted and checksummed, then renamed; the manifest is written last, so a reader that
-waits for it sees whole packages only.
+a name of its own attempt, counted and hashed by the tasks that write it, then renamed; the manifest is written last, so a
+reader that waits for it sees whole packages only.
+
+The checksum is the root of a tree: chunks of a part, parts, groups of parts. The chunks' sums lie beside the package, so
+that a changed part is known to the chunk.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -29,11 +33,13 @@ from treeloom.plans.lines import (
     nested_json_parts,
     round_trip,
 )
+from treeloom.operators.checkpoints import checkpointed
 from treeloom.plans.tree import TreeExport, cell_name
-from treeloom.sinks.stream import first_byte_off, write_stream
+from treeloom.sinks.stream import CHUNK_BYTES, SUMS, drop_leftovers, file_sums, first_byte_off, write_stream
 
 # Part names fall into this many groups, so that no checksum is taken over an unbounded list.
 CHECKSUM_BUCKETS = 4096
+TREE_FAN = 1024
 RECORDS_PER_FILE = 100_000
 PART_BYTES = 1 << 28
 RECORDS = "(records)"
@@ -107,24 +113,28 @@ def write_package(
     for taken in (final, f"{folder}/{manifest_name(name)}"):
         if _exists(spark, taken):
             raise PackageError(f"{taken} exists already")
-    counted = Observation("records")
     published = False
     try:
-        whole = whole.observe(counted, F.count(F.lit(1)).alias("n"))
         if "line" in whole.columns:
-            _write_lines(spark, staging, writer, whole, pieces, records_per_file)
+            _write_lines(spark, staging, parts_table, writer, whole, pieces)
+            records = spark.read.parquet(parts_table).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
         else:
-            _write_cells(export, staging, whole, pieces, records_per_file)
-        records = counted.get["n"] + export.split_records
+            counted = Observation("records")
+            _write_cells(export, staging, whole.observe(counted, F.count(F.lit(1)).alias("n")), pieces, records_per_file)
+            _sums_of_folder(spark, staging).write.mode("overwrite").parquet(parts_table)
+            records = counted.get["n"]
+        records += export.split_records
         if records == 0:
             raise EmptyExportError(f"export {sequence_no} has no records")
         head, tail = writer.ends(export, export.envelope if envelope is None else envelope, version, extracted_at)
+        small = [(RECORDS, 0, 0, records, hashlib.sha256(str(records).encode()).hexdigest())]
         for part, text in (("head", head), ("tail", tail)):
             if text:
-                _write_text(spark, f"{staging}/{part}.{writer.extension}", text)
-        sums = part_checksums(spark, staging)
-        total = spark.createDataFrame([(RECORDS, records)], "name string, bytes long")
-        sums.union(total.withColumn("sha256", F.sha2(F.col("bytes").cast("string"), 256))).write.mode("overwrite").parquet(parts_table)
+                name_of_part, raw = f"{part}.{writer.extension}", text.encode("utf-8")
+                _write_text(spark, f"{staging}/{name_of_part}", text)
+                cuts = range(0, len(raw), CHUNK_BYTES)
+                small += [(name_of_part, n, len(raw[at : at + CHUNK_BYTES]), 0, hashlib.sha256(raw[at : at + CHUNK_BYTES]).hexdigest()) for n, at in enumerate(cuts)]
+        spark.createDataFrame(small, SUMS).coalesce(1).write.mode("append").parquet(parts_table)
         digest = package_checksum(spark.read.parquet(parts_table))
         _rename(spark, staging, final)
         published = True
@@ -142,25 +152,32 @@ def write_package(
     return manifest
 
 
-def _write_lines(
-    spark: SparkSession, staging: str, writer: Format, whole: DataFrame, pieces: DataFrame | None, records_per_file: int
-) -> None:
-    """Every record has the separator before it; the very first one loses it afterwards."""
-    rows = f"{staging}/rows"
-    lines = F.concat(F.lit(writer.between), "line").alias("value")
-    whole.select(lines).write.option("maxRecordsPerFile", records_per_file).text(rows)
-    _smaller(spark, rows, "text", records_per_file)
+def _write_lines(spark: SparkSession, staging: str, sums: str, writer: Format, whole: DataFrame, pieces: DataFrame | None) -> None:
+    """Every record has the separator before it; the very first one loses it afterwards. The sums of the parts go to the
+    table ``sums``; of the part that lost its first byte they are taken again."""
+    lines = whole.select(F.concat(F.lit(writer.between), "line").alias("line"))
+    found = write_stream(lines, f"{staging}/rows", PART_BYTES, end="\n")
+    found.withColumn("name", F.concat(F.lit("rows/"), "name")).write.mode("overwrite").parquet(sums)
     if pieces is not None:
         first = pieces.groupBy("__record").agg(F.min("part").alias("first"), F.max("part").alias("last"))
         opens = F.when(F.col("part") == F.col("first"), F.lit(writer.between)).otherwise("")
         closes = F.when(F.col("part") == F.col("last"), F.lit(writer.after)).otherwise("")
         marked = pieces.join(first, "__record").select("__record", "part", F.concat(opens, "line", closes).alias("line"))
-        write_stream(marked, ["__record", "part"], f"{staging}/split", PART_BYTES).write.format("noop").mode("overwrite").save()
+        found = write_stream(marked, f"{staging}/split", PART_BYTES, ["__record", "part"])
+        found.select(F.concat(F.lit("split/"), "name").alias("name"), "chunk", "bytes", F.lit(0).cast("long").alias("records"), "sha256").write.mode("append").parquet(sums)
+    written = spark.read.parquet(sums)
+    for part in ("rows", "split"):
+        drop_leftovers(spark, f"{staging}/{part}", written.where(F.startswith("name", F.lit(f"{part}/"))).select(F.substring("name", len(part) + 2, 1 << 20).alias("name")))
     if writer.between:
-        for part in (rows, f"{staging}/split"):
-            if first := _first_file(spark, part):
-                first_byte_off(spark, first)
-                break
+        shortened = written.where("bytes > 0").agg(F.min("name")).first()[0]  # rows before split, each in name order
+        if shortened:
+            first_byte_off(spark, f"{staging}/{shortened}")
+            kept = written.where((F.col("name") == shortened)).agg(F.sum("records")).first()[0]
+            again = file_sums(spark.createDataFrame([(_qualified(spark, f"{staging}/{shortened}"), shortened)], "path string, name string"))
+            again = again.withColumn("records", F.when(F.col("chunk") == 0, kept).otherwise(0).cast("long"))
+            written.where(F.col("name") != shortened).union(again).write.parquet(f"{sums}.new")
+            _discard(spark, sums)
+            _rename(spark, f"{sums}.new", sums)
 
 
 def _write_cells(export: TreeExport, staging: str, whole: DataFrame, pieces: DataFrame | None, records_per_file: int) -> None:
@@ -190,14 +207,6 @@ def _smaller(spark: SparkSession, folder: str, kind: str, records_per_file: int)
             _discard(spark, path)
 
 
-def _first_file(spark: SparkSession, folder: str) -> str | None:
-    """The first file by name that is not empty, of a folder of part files."""
-    if not _exists(spark, folder):
-        return None
-    files = spark.read.format("binaryFile").load(folder).where("length > 0").where(~F.col("path").rlike(r"/[_.][^/]*$"))
-    return files.agg(F.min("path")).first()[0]
-
-
 def package_text(spark: SparkSession, package: str) -> DataFrame:
     """``section`` (head, rows, split, tail as 0 to 3), ``name``, ``content`` of the parts of a JSON or CSV package: in this
     order their contents are the export."""
@@ -222,29 +231,39 @@ def package_records(spark: SparkSession, package: str) -> DataFrame:
 
 def write_document(lines: DataFrame, target: str) -> None:
     """One JSON document (see ``document_lines``) over ordered files: their contents in name order are the document."""
-    write_stream(lines, ["section", "record", "part"], target, PART_BYTES).write.format("noop").mode("overwrite").save()
+    found = f"{target}.{uuid.uuid4().hex}.sums"
+    write_stream(lines, target, PART_BYTES, ["section", "record", "part"]).write.parquet(found)
+    drop_leftovers(lines.sparkSession, target, lines.sparkSession.read.parquet(found))
+    _discard(lines.sparkSession, found)
 
 
-def part_checksums(spark: SparkSession, package: str) -> DataFrame:
-    """``name, bytes, sha256`` of each part file, hashed where it is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(package)
-    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).where(
-        ~F.col("name").rlike(r"/[_.][^/]*$")
-    ).withColumn("name", F.regexp_replace("name", r"^.*\.(json|csv|cells)(\.[0-9a-f]+\.tmp)?/", ""))
+def _sums_of_folder(spark: SparkSession, package: str) -> DataFrame:
+    """The sums of all parts of a package, read once."""
+    inside = F.length(F.lit(_qualified(spark, package))) + 2
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(package).where(~F.col("path").rlike(r"/[_.][^/]*$"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return file_sums(files.select("path", F.expr("path").substr(inside, F.lit(1 << 20)).alias("name")).repartition(spread, "path"))
 
 
-def package_checksum(parts: DataFrame) -> str:
-    """One checksum over all parts: per bucket of names first, then over the buckets."""
-    entry = F.concat("name", F.lit(":"), "sha256")
-    bucket = F.pmod(F.xxhash64("name"), F.lit(CHECKSUM_BUCKETS)).alias("bucket")
+def package_checksum(sums: DataFrame) -> str:
+    """The root of the tree over the chunks' sums: groups of neighbouring chunks, level by level, up to one sum for each
+    part; then groups of parts by their names, and the groups."""
 
     def digest(texts):
-        return F.sha2(F.array_join(F.sort_array(F.collect_list(texts)), "\n"), 256)
-
-    buckets = parts.groupBy(bucket).agg(digest(entry).alias("sha256"))
-    line = F.concat(F.lpad(F.col("bucket").cast("string"), 4, "0"), F.lit(":"), "sha256")
-    return buckets.agg(digest(line).alias("sha256")).first()["sha256"]
+        return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(texts)), lambda one: one["text"]), "\n"), 256)
+
+    largest = sums.agg(F.max("chunk")).first()[0] or 0
+    level = sums.select("name", "chunk", "sha256")
+    while True:
+        upper = F.floor(F.col("chunk") / TREE_FAN).alias("upper")
+        level = level.groupBy("name", upper).agg(digest(F.struct("chunk", F.col("sha256").alias("text"))).alias("sha256")).withColumnRenamed("upper", "chunk")
+        if largest < TREE_FAN:
+            break
+        largest //= TREE_FAN
+    bucket = F.pmod(F.xxhash64("name"), F.lit(CHECKSUM_BUCKETS)).alias("bucket")
+    entry = F.struct("name", F.concat("name", F.lit(":"), "sha256").alias("text"))
+    buckets = level.groupBy(bucket).agg(digest(entry).alias("sha256"))
+    return buckets.agg(digest(F.struct("bucket", F.concat(F.col("bucket").cast("string"), F.lit(":"), "sha256").alias("text"))).alias("sha256")).first()["sha256"]
 
 
 def read_manifest(spark: SparkSession, folder: str, package: str) -> dict:
@@ -252,27 +271,29 @@ def read_manifest(spark: SparkSession, folder: str, package: str) -> dict:
     return json.loads(text)
 
 
+def damaged_chunks(spark: SparkSession, folder: str, package: str) -> DataFrame:
+    """``name``, ``chunk``, ``problem`` (missing, not listed, changed) of every chunk that differs from its stored sum."""
+    stored = spark.read.parquet(f"{folder}/{package}.parts").where(F.col("name") != RECORDS).select("name", "chunk", F.col("sha256").alias("stored"))
+    actual = _sums_of_folder(spark, f"{folder}/{package}").select("name", "chunk", F.col("sha256").alias("actual"))
+    problem = (
+        F.when(F.col("actual").isNull(), "missing").when(F.col("stored").isNull(), "not listed").when(F.col("actual") != F.col("stored"), "changed")
+    )
+    return stored.join(actual, ["name", "chunk"], "full").select("name", "chunk", problem.alias("problem")).where("problem is not null")
+
+
 def verify_package(spark: SparkSession, folder: str, package: str) -> DataFrame:
-    """What differs from the manifest: ``name, problem``; no rows for a sound package."""
+    """What differs from the manifest: ``name, problem``; no rows for a sound package. The parts are read once; whether the
+    stored sums themselves are those of the manifest needs no part."""
     manifest = read_manifest(spark, folder, package)
-    stored = spark.read.parquet(f"{folder}/{package}.parts").withColumnRenamed("sha256", "stored")
-    actual = part_checksums(spark, f"{folder}/{package}").withColumnRenamed("sha256", "actual")
-    listed = stored.where(F.col("name") != RECORDS)
-    both = listed.select("name", "stored").join(actual.select("name", "actual"), "name", "full")
-    problems = both.select(
-        "name",
-        F.when(F.col("actual").isNull(), "missing").when(F.col("stored").isNull(), "not listed")
-        .when(F.col("actual") != F.col("stored"), "changed").alias("problem"),
-    ).where("problem is not null")
-    total = stored.where(F.col("name") == RECORDS).select("name", F.col("stored").alias("sha256"), F.col("bytes").alias("records"))
-    digest = package_checksum(actual.select("name", F.col("actual").alias("sha256")).union(total.select("name", "sha256")))
-    records = total.agg(F.sum("records")).first()[0]
+    stored = spark.read.parquet(f"{folder}/{package}.parts")
+    damaged = damaged_chunks(spark, folder, package).groupBy("name").agg(F.collect_set("problem").alias("found"))
+    each = F.when(F.array_contains("found", "changed") | (F.size("found") > 1), "changed").otherwise(F.col("found")[0])
+    problems = checkpointed(damaged.select("name", each.alias("problem")))
+    records = stored.where(F.col("name") == RECORDS).agg(F.sum("records")).first()[0]
+    broken = package_checksum(stored) != manifest["Sha256Checksum"] or not problems.isEmpty()
     summary = [
         (package, problem)
-        for problem, wrong in (
-            ("checksum differs", digest != manifest["Sha256Checksum"]),
-            ("record count differs", records != manifest["RecordCount"]),
-        )
+        for problem, wrong in (("checksum differs", broken), ("record count differs", records != manifest["RecordCount"]))
         if wrong
     ]
     return problems.union(spark.createDataFrame(summary, "name string, problem string"))
@@ -292,6 +313,12 @@ def _file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """As Spark lists it."""
+    files, target = _file_system(spark, path)
+    return files.makeQualified(target).toString()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     files, target = _file_system(spark, path)
     return files.exists(target)
