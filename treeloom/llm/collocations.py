@@ -30,8 +30,10 @@ from treeloom.operators.checkpoints import checkpointed
 LONGEST = 5
 SHARD_BITS = 6  # the last bits of a counted hash are the shard
 SHARD_MASK = np.uint64((1 << SHARD_BITS) - 1)
-BUFFER = 4 << 20  # bytes of text counted together; the arrays take about 60 bytes for each
-SEGMENT = 4 << 20  # longer texts are read in segments
+BUFFER = 1 << 20  # bytes of text read together; the arrays take about 60 bytes for each
+HELD_KEYS = 1 << 21  # keys of several blocks counted together
+SEGMENT = 1 << 20  # longer texts are read in segments
+ROWS_OUT = 200_000  # rows handed to Spark together
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 blank, 2 between pieces
 KIND[list(b" \t")] = 1
@@ -125,9 +127,16 @@ def local_keys(block: Block, rows: pd.DataFrame, at: np.ndarray, hashes: np.ndar
 def _mined(sizes: tuple[int, ...], shared) -> Callable:
     """Counts of the phrases of so many words; with a filter, of those whose pairs may all be in it."""
 
+    def summed(found: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        for start in range(0, len(keys), ROWS_OUT):
+            part = slice(start, start + ROWS_OUT)
+            yield pd.DataFrame({"key": keys[part].view(np.int64), "n": n[part].astype(np.int64)})
+
     def mined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = []
         for block, rows in blocks(batches):
-            found, linked = [], np.zeros(len(block.start), bool)  # the word and the next one are a frequent pair
+            linked = np.zeros(len(block.start), bool)  # the word and the next one are a frequent pair
             if shared is not None:
                 *_, (_, at, hashes) = block.phrases(longest=2, every=True) if len(linked) > 1 else [(2, np.zeros(0, int), np.zeros(0, np.uint64))]
                 linked[at[may_hold(shared.value, local_keys(block, rows, at, hashes))]] = True
@@ -139,11 +148,11 @@ def _mined(sizes: tuple[int, ...], shared) -> Callable:
                             keep &= linked[at + step]
                         at, hashes = at[keep], hashes[keep]
                     found.append(local_keys(block, rows, at, hashes))
-            if found:
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                for start in range(0, len(keys), 500_000):
-                    part = slice(start, start + 500_000)
-                    yield pd.DataFrame({"key": keys[part].view(np.int64), "n": n[part].astype(np.int64)})
+            if sum(map(len, found)) >= HELD_KEYS:
+                yield from summed(found)
+                found = []
+        if found:
+            yield from summed(found)
 
     return mined
 
