@@ -31,7 +31,7 @@ LONGEST = 5
 SHARD_BITS = 6  # the last bits of a counted hash are the shard
 SHARD_MASK = np.uint64((1 << SHARD_BITS) - 1)
 BUFFER = 1 << 20  # bytes of text read together; the arrays take about 60 bytes for each
-HELD_KEYS = 1 << 21  # keys of several blocks counted together
+HELD_KEYS = 1 << 22  # keys of several blocks counted together
 SEGMENT = 1 << 20  # longer texts are read in segments
 ROWS_OUT = 200_000  # rows handed to Spark together
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -173,8 +173,12 @@ def _counted(shared) -> Callable:
                 at, full, others = at[held], full[held], others[held] + own[held]
                 if not len(at):
                     continue
-                order = np.lexsort((others, full))
-                new = np.flatnonzero(np.r_[True, (np.diff(full[order]) != 0) | (np.diff(others[order]) != 0)])
+                order = np.argsort(full)
+                other = np.diff(others[order]) != 0
+                if np.any(other & (np.diff(full[order]) == 0)):  # a collision of the first hashes
+                    order = np.lexsort((others, full))
+                    other = np.diff(others[order]) != 0
+                new = np.flatnonzero(np.r_[True, (np.diff(full[order]) != 0) | other])
                 first, n = at[order[new]], np.diff(np.r_[new, len(order)])
                 spots = zip(block.start[first].tolist(), block.end[first + size - 1].tolist())
                 names = [b" ".join(block.raw[a:b].split()).decode("utf-8", "surrogatepass") for a, b in spots]
