@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 
 from treeloom.llm import decontaminate as op
@@ -34,8 +36,9 @@ def test_copies_edits_and_clean(spark, docs_of, corpus, prose):
     assert set(got) == {(100, 1), (101, 1), (103, 2), (None, 1)}
     assert got[100, 1]["score"] == 1 and (got[100, 1]["first_word"], got[100, 1]["last_word"]) == (300, 339)
     assert 0.5 <= got[101, 1]["score"] < 1
-    kept = {r["doc_id"] for r in op.decontaminate(docs_of(rows), items).collect()}
-    assert kept == {k for k, _ in rows} - {100, 101, 103}
+    rows.append((3, " ".join(item)))  # an id that clean rows have as well
+    kept = [(r["doc_id"], r["text"]) for r in op.decontaminate(docs_of(rows), items).collect()]
+    assert Counter(kept) == Counter(row for row in rows if row[0] not in (100, 101, 103) and row[1] != " ".join(item))
 
 
 def test_blocks_of_items(spark, docs_of, prose, monkeypatch):
@@ -75,3 +78,53 @@ def test_edited_copies_are_found_as_by_full_alignment(spark, docs_of, prose):
     for percent in (15, 20, 25, 30):
         wanted = {pair for pair in want if pair[0] // 100_000 == percent}
         assert len(wanted) > 20 and len(wanted & set(got)) >= 0.97 * len(wanted), (percent, len(wanted), len(wanted & set(got)))
+
+
+def seeds_of(spark, rows, items, n=3):
+    from pyspark.sql import functions as F
+
+    texts = spark.createDataFrame(rows, "id long, text string").select("text")
+    tests = spark.createDataFrame(items, "id long, text string").withColumn("of_text", F.xxhash64("text"))
+    named = {r["of_text"]: r["id"] for r in tests.collect()}
+    found = {}
+    for row in op.rare_seeds(texts, tests, n).collect():
+        found.setdefault(named[row["of_text"]], set()).add(row["key"])
+    return found
+
+
+def keys_of(text, n=3):
+    from treeloom.llm.common import gram_hashes, words_of
+
+    return set(gram_hashes(words_of(text), n).view(np.int64).tolist())
+
+
+def test_rare_seeds_equal_counting(spark, docs_of, prose, monkeypatch):
+    monkeypatch.setattr(op, "FEW", 3)
+    phrase = "one of the many"
+    items = [(k, f"{prose(12, 700 + k)} {phrase}") for k in range(30)] + [(50, phrase), (51, "tiny item")]
+    rows = [(k, f"{prose(20, 800 + k)} {phrase} {prose(5, 840 + k)}") for k in range(25)]
+    rows += [(100 + k, items[k][1]) for k in range(5)] + [(200 + k, items[7][1]) for k in range(12)] + [(300, "a tiny item"), (301, ""), (302, None)]
+    held = [keys_of(text) | keys_of(text, 2) for _, text in rows if text]
+    want = {}
+    owners = [keys_of(text) for _, text in items]
+    for (key, _), mine in zip(items, owners):
+        weight = {g: sum(g in h for h in held) * sum(g in o for o in owners) for g in mine}
+        weight = {g: w for g, w in weight.items() if w}
+        bound = max(3, len(rows) / 2)
+        if weight:
+            least = min(weight.values())
+            want[key] = {g for g, w in weight.items() if w <= (bound if least <= bound else 2 * least)}
+    got = seeds_of(spark, rows, items)
+    assert got == want
+    assert not keys_of(phrase) & got[0] and got[50] == keys_of(phrase)  # common in 31 items; the only n-grams of one of them
+    assert got[7] >= keys_of(items[7][1].rsplit(" ", 4)[0])  # copied into many documents, still rare
+
+
+def test_common_phrases_of_thousands_of_items(spark, docs_of, prose):
+    phrase = "which of the following is"
+    items = [(k, f"{phrase} {prose(14, 2000 + k)}") for k in range(3000)]
+    rows = [(k, f"{prose(30, 6000 + k)} {phrase} {prose(30, 7000 + k)}") for k in range(60)]
+    rows += [(1000 + k, f"{prose(10, 8000 + k)} {items[k][1]}") for k in range(0, 3000, 100)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op.contaminated(docs_of(rows), frame).collect()}
+    assert got == {(1000 + k, k) for k in range(0, 3000, 100)}
