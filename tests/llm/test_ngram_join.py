@@ -49,7 +49,7 @@ def test_words_in_pieces_and_long_words(prose, monkeypatch):
     assert len(set(want)) > 200 and words_of(text).tolist() == want
     monkeypatch.setattr(common, "PIECE", 64)
     assert words_of(text).tolist() == want
-    assert words_of("A, b-c") .tolist() == words_of("a bc!").tolist() and not len(words_of(" .,; "))
+    assert words_of("A, b-c") .tolist() == words_of("a b\u2014\u201cc!").tolist() and not len(words_of(" .,; "))
 
 
 def test_shared_counts():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 
 from treeloom.operators.checkpoints import checkpointed
 
-#: Bytes that words lose: ASCII without white space, letters, digits and the underscore.
-DROPPED = bytes(byte for byte in range(128) if not (chr(byte).isalnum() or byte in b"_ \t\n\r\x0b\x0c"))
+#: Bytes that separate words: ASCII without line feeds, letters, digits and the underscore, all turned to blanks.
+BETWEEN = bytes(byte if byte >= 128 or chr(byte).isalnum() or byte in b"_\n" else 32 for byte in range(256))
+#: Unicode's blanks, dashes, quotes and marks of punctuation beyond ASCII that separate words as well.
+MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3003\u3008-\u3020\u30fb\uff01-\uff0f\uff1a-\uff20\uff5b-\uff65]")
 PIECE = 1 << 20
 _random = np.random.default_rng(13)
 LETTER = _random.integers(0, 2**63, 256, dtype=np.uint64)
@@ -24,8 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cleaned(text: str | None) -> bytes:
-    """A lower-cased text in UTF-8 without ASCII punctuation and control characters."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(None, DROPPED)
+    """A lower-cased text in UTF-8, with blanks for punctuation, control characters and white space but line feeds."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = MARKS.sub(" ", text)
+    return text.encode("utf-8", "surrogatepass").translate(BETWEEN)
 
 
 def hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
