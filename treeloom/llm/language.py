@@ -117,7 +117,7 @@ class WordScores(dict):
         self._put(runs, np.column_stack([self.logs(runs), np.ones(len(runs))]))
         mixed = [word for word in spelled if word not in self]
         sums = [self.rows[[self[run] for run in spelled[word]]].sum(axis=0) for word in mixed]
-        self._put(mixed, np.array(sums).reshape(len(mixed), -1))
+        self._put(mixed, np.array(sums).reshape(len(mixed), self.rows.shape[1]))
 
     def _put(self, words: list[str], rows: np.ndarray) -> None:
         if not words:
