@@ -72,3 +72,10 @@ def test_equals_a_dictionary(spark, docs_of, corpus, prose):
 def test_empty_table(docs_of):
     assert op.repeated_passages(docs_of([])).collect() == []
     assert op.substring_dedup(docs_of([(1, None)])).collect()[0]["text"] is None
+
+
+def test_chunks_are_shuffled_with_one_place(docs_of, prose):
+    """Chunks are counted beside their first place; rows that repeat both id and text are still one document."""
+    docs = docs_of([(1, prose(80, 70)), (1, prose(80, 70)), (2, prose(80, 71))])
+    assert op._runs(docs, "doc_id", "text").collect() == []
+    assert "max(struct(id" not in op._runs(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()

@@ -102,8 +102,8 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     and the place of the run's start or end there)."""
     cut = chunks(docs, id_col, text_col)  # cut twice rather than kept: cutting costs less than the disk
     place = F.struct("id", "of_text", "chunk", "start")
-    first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.max(F.struct("id", "of_text", "chunk")).alias("last"))
-    first = first.where(F.struct("first.id", "first.of_text", "first.chunk") != F.col("last")).drop("last")
+    # Counted, not compared by place: chunks that only rows repeating both id and text have drop out below.
+    first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
     again = (
         cut.join(first, ["d0", "d1"]).where(place != F.col("first"))
         .select("id", "of_text", "chunk", "start", "end", "first")
