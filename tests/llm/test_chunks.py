@@ -79,3 +79,26 @@ def test_chunks_are_shuffled_with_one_place(docs_of, prose):
     docs = docs_of([(1, prose(80, 70)), (1, prose(80, 70)), (2, prose(80, 71))])
     assert op._runs(docs, "doc_id", "text").collect() == []
     assert "max(struct(id" not in op._runs(docs, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chunks_that_occur_once_are_not_dealt(docs_of, corpus, prose, monkeypatch):
+    """The filter lets every repeated chunk pass and nearly no other, whatever the buckets and what a task holds."""
+    from collections import Counter
+
+    shared = prose(90, 500)
+    docs = docs_of(corpus + [(300 + k, f"{prose(400, 501 + k)} {shared}") for k in range(9)])
+    for entries, held in ((op.ENTRIES, op.HELD), (20, 1)):
+        monkeypatch.setattr(op, "ENTRIES", entries)
+        monkeypatch.setattr(op, "HELD", held)
+        every = [(r["d0"], r["d1"]) for r in op.chunks(docs).collect()]
+        passed = Counter((r["d0"], r["d1"]) for r in op.chunks(docs, met=op.may_repeat(docs)).collect())
+        times = Counter(every)
+        assert {key: n for key, n in times.items() if n > 1}.items() <= passed.items() <= times.items()
+        assert sum(times[key] == 1 for key in passed) <= 0.01 * len(times) and len(passed) < 0.2 * len(times)
+
+
+def test_ends_found_with_and_without_a_broadcast(docs_of, corpus, monkeypatch):
+    want = sorted(op.whole_passages(docs_of(corpus)).collect(), key=str)
+    monkeypatch.setattr(op, "FEW_ENDS", 0)
+    monkeypatch.setattr(op, "REACH", 24)
+    assert want and sorted(op.whole_passages(docs_of(corpus)).collect(), key=str) == want

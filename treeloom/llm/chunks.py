@@ -2,8 +2,9 @@
 
 A gear rolling hash over the UTF-8 bytes (its last 32 bytes count) sets a chunk's end wherever chosen bits are zero,
 so that chunk limits depend on the text around them and come back after an insertion. Chunks are compared by a
-128-bit digest. A repeated chunk is one whose digest occurs earlier, by (document id, text hash, place). Runs of
-neighbouring repeated chunks are seeds: ``whole_passages`` extends them byte by byte to both sides as long as the text
+128-bit digest. A repeated chunk is one whose digest occurs earlier, by (document id, text hash, place). Most chunks
+occur once: parts of the digests alone are dealt first, those that meet another fill a Bloom filter, and only chunks
+that pass it are dealt with their places. Runs of neighbouring repeated chunks are seeds: ``whole_passages`` extends them byte by byte to both sides as long as the text
 equals that around the first occurrence of the run's outer chunk, and then asks for ``least`` bytes.
 """
 
@@ -14,9 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from treeloom.llm.filters import bloom, may_hold
 from treeloom.operators.checkpoints import checkpointed
 
 GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint64).astype(np.uint32)
@@ -24,6 +27,9 @@ MASK = np.uint32(0b11111 << 27)  # high bits: they depend on the last 28 to 32 b
 SHORTEST, LONGEST = 16, 256
 PIECE = 1 << 20  # bytes hashed at once
 REACH = 512  # bytes compared to each side of a run at first; four times as many where all are equal
+ENTRIES = 500_000  # parts of digests compared in one task, about
+HELD = 1 << 20  # and held by a task before they are dealt
+FEW_ENDS = 10_000  # of so few runs' ends the documents are found by a broadcast
 
 
 def gear_ends(data: np.ndarray) -> np.ndarray:
@@ -58,31 +64,85 @@ def chunk_limits(data: np.ndarray) -> list[int]:
     return limits
 
 
-def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ids, texts, numbers, starts, ends, digests = [], [], [], [], [], bytearray()
-        for key, of_text, text in zip(batch["id"], batch["of_text"], batch["text"]):
-            raw = (text or "").encode("utf-8", "replace")
-            limits = chunk_limits(np.frombuffer(raw, np.uint8))
-            for start, end in zip(limits, limits[1:]):
-                digests += xxhash.xxh3_128_digest(raw[start:end])
-            count = len(limits) - 1
-            ids += [key] * count
-            texts += [of_text] * count
-            numbers.append(np.arange(count, dtype=np.int32))
-            starts += limits[:-1]
-            ends += limits[1:]
-        pairs = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
-        yield pd.DataFrame({
-            "id": pd.array(ids, "Int64"), "of_text": texts, "chunk": np.concatenate(numbers) if numbers else [],
-            "start": starts, "end": ends, "d0": pairs[:, 0], "d1": pairs[:, 1],
-        })
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``of_text``, ``chunk`` (number), ``start``, ``end`` (bytes), ``d0``, ``d1`` (digest) of every chunk."""
+def _digests(raw: bytes, limits: list[int]) -> bytes:
+    return b"".join(xxhash.xxh3_128_digest(raw[start:end]) for start, end in zip(limits, limits[1:]))
+
+
+def digest_keys(digests: bytes | bytearray, buckets: int) -> np.ndarray:
+    """Of every digest its bucket and 32 more bits, as one number: the more chunks, the more buckets and bits."""
+    pairs = np.frombuffer(bytes(digests), np.uint64).reshape(-1, 2)
+    return (pairs[:, 1] % np.uint64(buckets)) << np.uint64(32) | pairs[:, 0] & np.uint64(0xFFFFFFFF)
+
+
+def _dealt(buckets: int):
+    """Keys by their bucket, packed; of equal ones that a task holds at a time two are enough."""
+
+    def packed(held: list[np.ndarray]) -> pd.DataFrame:
+        keys = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        keys = keys[np.r_[True, True, keys[2:] != keys[:-2]][: len(keys)]]
+        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, np.diff(bucket) > 0][: len(bucket)])
+        low = keys.astype(np.uint32)
+        return pd.DataFrame({"bucket": bucket[starts], "entries": [low[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(low)])]})
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for text in batch["text"]:
+                raw = (text or "").encode("utf-8", "replace")
+                held.append(digest_keys(_digests(raw, chunk_limits(np.frombuffer(raw, np.uint8))), buckets))
+            if sum(map(len, held)) >= HELD:
+                yield packed(held)
+                held = []
+        yield packed(held)
+
+    return dealt
+
+
+def _met(bucket: pd.DataFrame) -> pd.DataFrame:
+    keys = np.sort(np.frombuffer(b"".join(bucket["entries"]), np.uint32))
+    keys = np.unique(keys[1:][keys[1:] == keys[:-1]]).astype(np.int64)
+    return pd.DataFrame({"key": keys + (int(bucket["bucket"].iloc[0]) << 32)})
+
+
+def may_repeat(docs: DataFrame, text_col: str = "text") -> tuple[Broadcast, int]:
+    """A filter of the chunks that occur more than once, and the number of buckets its keys are made with."""
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    buckets = 1 + size // (2 * SHORTEST * ENTRIES)
+    keys = docs.select(F.col(text_col).alias("text")).mapInPandas(_dealt(buckets), "bucket long, entries binary")
+    met = bloom(checkpointed(keys.groupBy("bucket").applyInPandas(_met, "key long")))
+    return docs.sparkSession.sparkContext.broadcast(met), buckets  # at most 64 MB, see filters
+
+
+def _chunked(met: tuple[Broadcast, int] | None):
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, texts, numbers, starts, ends, digests = [], [], [], [], [], bytearray()
+            for key, of_text, text in zip(batch["id"], batch["of_text"], batch["text"]):
+                raw = (text or "").encode("utf-8", "replace")
+                limits = chunk_limits(np.frombuffer(raw, np.uint8))
+                digests += _digests(raw, limits)
+                count = len(limits) - 1
+                ids += [key] * count
+                texts += [of_text] * count
+                numbers.append(np.arange(count, dtype=np.int32))
+                starts += limits[:-1]
+                ends += limits[1:]
+            pairs = np.frombuffer(bytes(digests), np.int64).reshape(-1, 2)
+            frame = pd.DataFrame({
+                "id": pd.array(ids, "Int64"), "of_text": texts, "chunk": np.concatenate(numbers) if numbers else [],
+                "start": starts, "end": ends, "d0": pairs[:, 0], "d1": pairs[:, 1],
+            })
+            yield frame[may_hold(met[0].value, digest_keys(digests, met[1]))] if met else frame
+
+    return chunked
+
+
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", met: tuple[Broadcast, int] | None = None) -> DataFrame:
+    """``id``, ``of_text``, ``chunk`` (number), ``start``, ``end`` (bytes), ``d0``, ``d1`` (digest) of every chunk; with
+    ``met`` (see ``may_repeat``) of those that may occur more than once."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("of_text"), F.col(text_col).alias("text"))
-    return texts.mapInPandas(_chunked, "id long, of_text long, chunk int, start int, end int, d0 long, d1 long")
+    return texts.mapInPandas(_chunked(met), "id long, of_text long, chunk int, start int, end int, d0 long, d1 long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 120) -> DataFrame:
@@ -100,7 +160,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Runs of neighbouring repeated chunks, and where their outer chunks occur first: ``head`` and ``tail`` (id, of_text
     and the place of the run's start or end there)."""
-    cut = chunks(docs, id_col, text_col)  # cut twice rather than kept: cutting costs less than the disk
+    cut = chunks(docs, id_col, text_col, may_repeat(docs, text_col))  # cut again rather than kept: cutting costs less than the disk
     place = F.struct("id", "of_text", "chunk", "start")
     # Counted, not compared by place: chunks that only rows repeating both id and text have drop out below.
     first = cut.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places")).where("places > 1").drop("places")
@@ -120,17 +180,18 @@ def _runs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _around(raw: bytes, at: int, after: bool, reach: int) -> bytes:
+    return raw[at : at + reach] if after else raw[max(0, at - reach) : at]
+
+
 def _contexts(reach: int):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, of_text, text, wanted in zip(batch["id"], batch["of_text"], batch["text"], batch["wanted"]):
+            for key, no_id, of_text, text, *wanted in zip(*(batch[name] for name in (*DOCUMENT, "text", "at", "after"))):
                 raw = text.encode("utf-8", "replace")
-                for each in wanted:
-                    at, after = each["at"], each["after"]
-                    out.append((key, of_text, at, after, raw[at : at + reach] if after else raw[max(0, at - reach) : at]))
-            frame = pd.DataFrame(out, columns=["id", "of_text", "at", "after", "bytes"])
-            yield frame.astype({"id": "Int64"})
+                out += [(key, no_id, of_text, at, after, _around(raw, at, after, reach)) for at, after in zip(*wanted)]
+            yield pd.DataFrame(out, columns=[*THERE, "bytes"])
 
     return read
 
@@ -148,55 +209,66 @@ def equal_bytes(mine: bytes, other: bytes, after: bool) -> int:
     return size
 
 
+DOCUMENT = ("key", "no_id", "of_text")  # a document: its id (0 for null), whether that is null, and its text's hash
+THERE = ("t_key", "t_no_id", "t_of_text", "t_at", "after")  # a place in a document, and to which side
+END = ("run", "after", "at", *THERE[:4])
+
+
 def _compared(reach: int):
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sides = list(zip(batch["mine"], batch["other"], batch["after"]))
-            more = [equal_bytes(*side) for side in sides]
-            whole = [len(mine) == reach and mine == other for mine, other, _ in sides]
-            yield batch[["id", "of_text", "run", "after", "at", "there"]].assign(more=more, whole=whole)
+            out = []
+            for key, no_id, of_text, text, others, *ends in zip(*(batch[name] for name in (*DOCUMENT, "text", "bytes", *END))):
+                raw = text.encode("utf-8", "replace")
+                for other, *end in zip(others, *ends):
+                    mine = _around(raw, end[2], end[1], reach)
+                    whole = len(mine) == reach and mine == other
+                    out.append((key, no_id, of_text, *end, equal_bytes(mine, other, end[1]), whole))
+            yield pd.DataFrame(out, columns=[*DOCUMENT, *END, "more", "whole"])
 
     return compared
 
 
-def _extended(ends: DataFrame, texts: DataFrame, reach: int) -> DataFrame:
-    """``ends`` of runs (id, of_text, run, after, at, there: place of the first occurrence) with ``more``, the equal bytes
-    beyond them, and ``whole``: all that were compared are equal."""
-    there = F.col("there")
-    wanted = ends.select("id", "of_text", "at", "after").union(ends.select(there["id"], there["of_text"], there["at"], "after")).distinct()
-    wanted = wanted.groupBy(F.col("id").alias("of_id"), F.col("of_text").alias("of")).agg(F.collect_list(F.struct("at", "after")).alias("wanted"))
-    same = texts["id"].eqNullSafe(F.col("of_id")) & (texts["of_text"] == F.col("of"))
-    read = texts.join(wanted, same).select("id", "of_text", "text", "wanted").mapInPandas(
-        _contexts(reach), "id long, of_text long, at int, after boolean, bytes binary"
-    )
-    read = checkpointed(read.dropDuplicates(["id", "of_text", "at", "after"]))  # rows that repeat id and text
-    found = ends
-    for name, key in (("mine", F.struct("id", "of_text", "at", "after")), ("other", F.struct(there["id"].alias("id"), there["of_text"].alias("of_text"), there["at"].alias("at"), "after"))):
-        side = read.select(*[F.col(c).alias(f"__{c}") for c in ("id", "of_text", "at", "after")], F.col("bytes").alias(name))
-        found = found.withColumn("__key", key).join(
-            side, F.col("__key.id").eqNullSafe(F.col("__id")) & (F.col("__key.of_text") == F.col("__of_text"))
-            & (F.col("__key.at") == F.col("__at")) & (F.col("__key.after") == F.col("__after")),
-        ).drop("__key", "__id", "__of_text", "__at", "__after")
-    kinds = "id long, of_text long, run int, after boolean, at int, there struct<id:long,of_text:long,at:int>, more int, whole boolean"
-    return found.select("id", "of_text", "run", "after", "at", "there", "mine", "other").mapInPandas(_compared(reach), kinds)
+def _document(id_: Column | str, of_text: Column | str, before: str = "") -> list[Column]:
+    id_, of_text = (F.col(c) if isinstance(c, str) else c for c in (id_, of_text))
+    return [c.alias(before + name) for c, name in zip((F.coalesce(id_, F.lit(0)), id_.isNull(), of_text), DOCUMENT)]
+
+
+def _extended(ends: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
+    """``ends`` of runs (``DOCUMENT`` and ``END``: the first occurrence's place with ``t_``) with ``more``, the equal bytes
+    beyond them, and ``whole``: all that were compared are equal. The bytes around first occurrences go to the documents
+    that repeat them; each text is shuffled once, if only few are asked for no other."""
+    if len(ends.take(FEW_ENDS + 1)) <= FEW_ENDS:
+        asked = ends.select(*DOCUMENT).union(ends.select(*THERE[:3])).distinct()
+        docs = docs.join(F.broadcast(asked), list(DOCUMENT), "left_semi")
+    texts = docs.dropDuplicates(list(DOCUMENT))  # rows that repeat id and text
+    places = ends.select(*[F.col(t).alias(name) for t, name in zip(THERE, (*DOCUMENT, "at", "after"))]).distinct()
+    places = places.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("at", "after")).alias("each"))
+    places = places.select(*DOCUMENT, F.col("each.at").alias("at"), F.col("each.after").alias("after"))
+    kinds = "t_key long, t_no_id boolean, t_of_text long, t_at int, after boolean"
+    there = texts.join(places, list(DOCUMENT)).select(*DOCUMENT, "text", "at", "after").mapInPandas(_contexts(reach), f"{kinds}, bytes binary")
+    mine = ends.join(there, list(THERE)).groupBy(*DOCUMENT).agg(F.collect_list(F.struct("bytes", *END)).alias("each"))
+    mine = mine.select(*DOCUMENT, *[F.col(f"each.{name}").alias(name) for name in ("bytes", *END)])
+    kinds = "key long, no_id boolean, of_text long, run int, after boolean, at int, t_key long, t_no_id boolean, t_of_text long, t_at int"
+    return texts.join(mine, list(DOCUMENT)).select(*DOCUMENT, "text", "bytes", *END).mapInPandas(_compared(reach), f"{kinds}, more int, whole boolean")
 
 
 def whole_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 120) -> DataFrame:
     """As ``repeated_passages``, from where the copy begins to where it ends: runs of any size are extended against the
     first occurrence of their outer chunks, those that then overlap are one (``chunks`` added up, ``first_doc_id`` of
     the largest), and ``least`` bytes are asked of the result. A passage in which no chunk lies whole is not found."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("of_text"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(*_document(F.col(id_col).cast("long"), F.xxhash64(text_col)), F.col(text_col).alias("text"))
     runs = checkpointed(_runs(docs, id_col, text_col).withColumn("run", F.col("run").cast("int")))
     side = lambda after, at, outer: runs.select(
-        "id", "of_text", "run", F.lit(after).alias("after"), F.col(at).cast("int").alias("at"),
-        F.struct(F.col(f"{outer}.id").alias("id"), F.col(f"{outer}.of_text").alias("of_text"), F.col(f"{outer}.at").cast("int").alias("at")).alias("there"),
+        *_document("id", "of_text"), "run", F.lit(after).alias("after"), F.col(at).cast("int").alias("at"),
+        *_document(f"{outer}.id", f"{outer}.of_text", "t_"), F.col(f"{outer}.at").cast("int").alias("t_at"),
     )
     ends, limits, reach = side(False, "start", "head").union(side(True, "end", "tail")), [], REACH
     while True:
         found = checkpointed(_extended(ends, texts, reach))
         step = F.when(F.col("after"), F.col("more")).otherwise(-F.col("more"))
-        found = found.withColumn("at", F.col("at") + step).withColumn("there", F.col("there").withField("at", F.col("there.at") + step))
-        limits.append(found.where("not whole"))
+        found = found.withColumn("at", F.col("at") + step).withColumn("t_at", F.col("t_at") + step)
+        limits.append(found.where("not whole").select(F.when(~F.col("no_id"), F.col("key")).alias("id"), "of_text", "run", "at"))
         ends = found.where("whole").drop("more", "whole")
         if ends.isEmpty():
             break
